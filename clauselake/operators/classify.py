@@ -125,7 +125,7 @@ def risks(sections: DataFrame, rules: DataFrame | None = None,
         return docs.select(id_col, risks_empty().alias("risks"))
     n_rules = rules.count()
     r = F.broadcast(rules) if n_rules <= max_rules else rules
-    hits = (sections.join(r, F.col("text").rlike(F.col("pattern")))
+    hits = (sections.join(r, F.expr("text RLIKE pattern"))
             .groupBy(id_col, "type", "description", "severity").agg(F.min("sec_no").alias("first_sec")))
     agg = hits.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(
         "first_sec", "type", "description", "severity"))).alias("r"))

@@ -105,7 +105,9 @@ def clause_array(text, sep: str = "\n\n") -> Column:
 
 # --- G5 ----------------------------------------------------------------------
 _H = V.WS_CHARS.replace(r"\n", "")           # whitespace inside one line
-_P1 = rf"\p{{Nd}}+\.[{_H}]*[A-Z][^\n]+"      # numbered   "1. Definitions"
+# numbered "1. Definitions": after the capital, at least one more character
+# of the *stripped* line, i.e. some non-whitespace character.
+_P1 = rf"\p{{Nd}}+\.[{_H}]*[A-Z][^\n]*[^{V.WS_CHARS}]"
 _P2 = rf"[A-Z][A-Z{_H}]+:"                    # all caps   "ARTICLE I:"
 _P3 = rf"[A-Z][a-z]+(?:[{_H}]+[A-Z][a-z]+)*:"  # title case "Payment Terms:"
 

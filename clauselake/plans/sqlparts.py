@@ -10,9 +10,11 @@ replace.
 from __future__ import annotations
 
 from clauselake import vocab as V
+from clauselake.functions.text import jre
 
 WS = V.WS
 NWS = f"[^{V.WS_CHARS}]"
+WORDCH = r"[\p{L}\p{N}_]"
 
 
 def q(s: str) -> str:
@@ -28,6 +30,10 @@ def strip(x: str) -> str:
     return f"regexp_replace({x}, {q('^' + WS + '+|' + WS + '+$')}, '', 'g')"
 
 
+def squash(x: str) -> str:
+    return f"trim(regexp_replace({x}, {q(WS + '+')}, ' ', 'g'))"
+
+
 def wc(x: str) -> str:
     return f"len(regexp_extract_all({x}, {q(NWS + '+')}))"
 
@@ -63,4 +69,52 @@ def ordered_distinct(lst: str) -> str:
     return f"list_filter({lst}, lambda v, i: list_position({lst}, v) = i)"
 
 
+def ellipsize(x: str, n: int) -> str:
+    return f"(CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '...' ELSE {x} END)"
+
+
+def section_type(x: str) -> tuple[str, str]:
+    """C1 -> (type expr, confidence expr)."""
+    low = f"lower({x})"
+    t, c = [], []
+    for label, conf, words in V.SECTION_TYPE_RULES:
+        cond = " OR ".join(f"contains({low}, {q(w)})" for w in words)
+        t.append(f"WHEN {cond} THEN {q(label)}")
+        c.append(f"WHEN {cond} THEN {conf}::DOUBLE")
+    dt, dc = V.DEFAULT_SECTION_TYPE
+    return (f"(CASE {' '.join(t)} ELSE {q(dt)} END)", f"(CASE {' '.join(c)} ELSE {dc}::DOUBLE END)")
+
+
+def clean_app(x: str) -> str:
+    t = squash(f"replace({x}, chr(0), '')")
+    for a, b in ((" .", "."), (" ,", ","), ("..", "."), (".,", ","), ("  ", " ")):
+        t = f"replace({t}, {q(a)}, {q(b)})"
+    return strip(t)
+
+
+def clean_basic(x: str) -> str:
+    t = squash(f"replace({x}, chr(0), '')")
+    t = strip(f"replace(replace({t}, ' .', '.'), ' ,', ',')")
+    return f"nullif({t}, '')"
+
+
+def clean_summary(x: str) -> str:
+    t = f"regexp_replace({x}, {q(WS + '+')}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_' + V.WS_CHARS + '.,;:!?()]')}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(WS + '+([.,;:!?])')}, '\\1', 'g')"
+    t = f"regexp_replace({t}, {q(chr(92) + '.+')}, '.', 'g')"
+    t = f"regexp_replace({t}, {q('([.!?])' + WS + '*([A-Z])')}, '\\1 \\2', 'g')"
+    return strip(t)
+
+
+def iso(ts: str) -> str:
+    return f"strftime({ts}, '%Y-%m-%dT%H:%M:%S')"
+
+
+def re2(p: str) -> str:
+    """A Python regex restated for RE2 (same rule as the Spark side)."""
+    return jre(p)
+
+
 PARTY_ALT = "|".join(f"(?:{p})" for lab, p in V.PATTERN_ENTITY_RULES if lab == "PARTY")
+ENTITY_ALT = "|".join(f"(?:{p})" for _, p in V.PATTERN_ENTITY_RULES)

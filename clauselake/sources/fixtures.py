@@ -114,3 +114,61 @@ def contract_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, name).createOrReplaceTempView(v)
         views[name] = v
     return spark.sql(contract_view_sql(views["orders"], views["customer"], views["lineitem"]))
+
+
+# --- derived fixtures (FIXTURES.md section 4) --------------------------------
+# Clause type of the annotated corpus by K % 3 (fixed fixture values).
+FIXTURE_CLAUSE_TYPES = ("CONFIDENTIALITY", "ASSIGNMENT", "TERMINATION")
+
+
+def annotated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CUAD-shaped rows from the contract view: (doc_id, text, annotations)
+    with a PARTY span at the customer name, a DATE span at the agreement
+    date, a clause type by K % 3 (absent when K % 10 = 9) and a summary =
+    the agreement line."""
+    from pyspark.sql import functions as F
+
+    cv = contract_view(spark, sf_dir)
+    k = F.col("doc_id")
+    date = F.concat_ws("/", F.month("modified_at").cast("string"), F.dayofmonth("modified_at").cast("string"),
+                       F.year("modified_at").cast("string"))
+    ps = (F.instr("text", F.col("c_name")) - 1).cast("int")
+    ds = (F.instr("text", date) - 1).cast("int")
+    none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def ann(entity, start, end, label, ctype, summ):
+        return F.struct(entity.alias("entity"), start.alias("start"), end.alias("end"),
+                        label.alias("label"), ctype.alias("clause_type"), summ.alias("summary"))
+
+    ctype = F.element_at(F.array(*[F.lit(c) for c in FIXTURE_CLAUSE_TYPES]), (k % 3 + 1).cast("int"))
+    line2 = F.concat(F.lit("This Agreement is made on "), date, F.lit(" between the parties named here."))
+    empty = F.expr("CAST(array() AS array<struct<entity:string,start:int,end:int,label:string,"
+                   "clause_type:string,summary:string>>)")
+    anns = F.concat(
+        F.array(ann(F.col("c_name"), ps, (ps + F.length("c_name")).cast("int"), F.lit("PARTY"), none_s, none_s),
+                ann(date, ds, (ds + F.length(date)).cast("int"), F.lit("DATE"), none_s, none_s)),
+        F.when(k % 10 != 9, F.array(ann(none_s, none_i, none_i, none_s, ctype, none_s))).otherwise(empty),
+        F.array(ann(none_s, none_i, none_i, none_s, none_s, line2)))
+    return cv.select("doc_id", "text", anns.alias("annotations"))
+
+
+def predicted_spans(gold: DataFrame) -> DataFrame:
+    """Predictions for A2/A3: gold spans, end shifted by one when
+    K % 5 = 0, dropped when K % 11 = 0."""
+    from pyspark.sql import functions as F
+
+    k = F.col("doc_id")
+    return gold.filter(k % 11 != 0).withColumn(
+        "end", F.when(k % 5 == 0, F.col("end") + 1).otherwise(F.col("end")).cast("int"))
+
+
+def conversation_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as paragraphs: conv_id = document, turn = order;
+    heading when role = 'system' or turn % 4 = 0 (more headings)."""
+    from pyspark.sql import functions as F
+
+    from clauselake.sources.tables import table
+
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("para_no"), "text",
+                    ((F.col("role") == "system") | (F.col("turn") % 4 == 0)).alias("is_heading"))
