@@ -31,3 +31,11 @@ def indices(arr: Column) -> Column:
     """0-based positions of ``arr`` (empty for an empty array)."""
     return F.when(F.size(arr) > 0, F.sequence(F.lit(0), F.size(arr) - 1)).otherwise(
         F.expr("CAST(array() AS array<int>)"))
+
+
+def let_(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body`` (a
+    one-element ``transform``).  Higher-order functions and generators get
+    no common-subexpression elimination, so repeated references to one
+    expression would otherwise be evaluated each time."""
+    return F.get(F.transform(F.array(value), body), 0)

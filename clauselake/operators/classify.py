@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake import vocab as V
+from clauselake.functions.arrays import let_
 from clauselake.functions.text import col_, jre
 
 # Java: case-insensitive (Unicode), only \n ends a line for '.'.
@@ -21,17 +22,18 @@ _C2_FLAGS = "(?iud)"
 def section_type(text) -> Column:
     """struct(type, confidence) by substring of the lower-cased text,
     first rule wins."""
-    low = F.lower(col_(text))
-    expr = F.struct(F.lit(V.DEFAULT_SECTION_TYPE[0]).alias("type"),
-                    F.lit(V.DEFAULT_SECTION_TYPE[1]).alias("confidence"))
-    for label, conf, words in reversed(V.SECTION_TYPE_RULES):
-        cond = None
-        for w in words:
-            c = F.instr(low, w) > 0
-            cond = c if cond is None else (cond | c)
-        expr = F.when(cond, F.struct(F.lit(label).alias("type"),
-                                     F.lit(conf).alias("confidence"))).otherwise(expr)
-    return expr
+    def body(low):
+        expr = F.struct(F.lit(V.DEFAULT_SECTION_TYPE[0]).alias("type"),
+                        F.lit(V.DEFAULT_SECTION_TYPE[1]).alias("confidence"))
+        for label, conf, words in reversed(V.SECTION_TYPE_RULES):
+            cond = None
+            for w in words:
+                c = F.instr(low, w) > 0
+                cond = c if cond is None else (cond | c)
+            expr = F.when(cond, F.struct(F.lit(label).alias("type"),
+                                         F.lit(conf).alias("confidence"))).otherwise(expr)
+        return expr
+    return let_(F.lower(col_(text)), body)
 
 
 # --- C2 ----------------------------------------------------------------------
@@ -60,21 +62,21 @@ def classify_clause(text) -> Column:
 
     Scores are normalised by their total; the argmax keeps category order on
     ties; no hit at all gives ("DEFINITION", 0.0)."""
-    text = col_(text)
     cats = [c for c, _ in V.CLAUSE_RULES]
-    pts = clause_scores(text)
-    total = F.aggregate(pts, F.lit(0), lambda a, x: a + x)
-    # argmax: highest points, then lowest category position.
-    best = F.array_max(F.array(*[
-        F.struct(F.element_at(pts, i + 1).alias("p"), F.lit(-i).alias("o"),
-                 F.lit(c).alias("category"))
-        for i, c in enumerate(cats)]))
-    conf = F.when(total > 0, best["p"] / total).otherwise(F.lit(0.0))
-    scores = F.map_from_arrays(
-        F.array(*[F.lit(c) for c in cats]),
-        F.transform(pts, lambda p: F.when(total > 0, p / total).otherwise(F.lit(0.0))))
-    return F.struct(best["category"].alias("category"), conf.cast("double").alias("confidence"),
-                    scores.alias("scores"))
+
+    def body(pts):
+        total = F.aggregate(pts, F.lit(0), lambda a, x: a + x)
+        # argmax: highest points, then lowest category position.
+        best = F.array_max(F.array(*[
+            F.struct(F.get(pts, i).alias("p"), F.lit(-i).alias("o"), F.lit(c).alias("category"))
+            for i, c in enumerate(cats)]))
+        conf = F.when(total > 0, best["p"] / total).otherwise(F.lit(0.0))
+        scores = F.map_from_arrays(
+            F.array(*[F.lit(c) for c in cats]),
+            F.transform(pts, lambda p: F.when(total > 0, p / total).otherwise(F.lit(0.0))))
+        return F.struct(best["category"].alias("category"), conf.cast("double").alias("confidence"),
+                        scores.alias("scores"))
+    return let_(clause_scores(col_(text)), body)
 
 
 def classify_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -89,15 +91,16 @@ def classify_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 def document_type(text) -> Column:
     """Type with most distinct keywords present; first wins; none ->
     "document" (a sentinel entry with score 0 that wins all-zero ties)."""
-    low = F.lower(col_(text))
-    entries = [F.struct(F.lit(0).alias("s"), F.lit(1).alias("o"), F.lit("document").alias("t"))]
-    for i, (name, words) in enumerate(V.DOC_TYPE_KEYWORDS):
-        score = None
-        for w in words:
-            x = F.when(F.instr(low, w) > 0, 1).otherwise(0)
-            score = x if score is None else score + x
-        entries.append(F.struct(score.alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("t")))
-    return F.array_max(F.array(*entries))["t"]
+    def body(low):
+        entries = [F.struct(F.lit(0).alias("s"), F.lit(1).alias("o"), F.lit("document").alias("t"))]
+        for i, (name, words) in enumerate(V.DOC_TYPE_KEYWORDS):
+            score = None
+            for w in words:
+                x = F.when(F.instr(low, w) > 0, 1).otherwise(0)
+                score = x if score is None else score + x
+            entries.append(F.struct(score.alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("t")))
+        return F.array_max(F.array(*entries))["t"]
+    return let_(F.lower(col_(text)), body)
 
 
 # --- C9 ----------------------------------------------------------------------

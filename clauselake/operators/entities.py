@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake import vocab as V
-from clauselake.functions.arrays import empty_array, with_arrays
+from clauselake.functions.arrays import empty_array, let_, with_arrays
 from clauselake.functions.text import col_, lit_str_array, sentence_array, span_context, word_tokens
 
 ENTITY = ("struct<source:string,ord:int,text:string,label:string,confidence:double,"
@@ -33,21 +33,22 @@ def regex_spans(text, pattern: str) -> Column:
 
     Offsets: ``split`` on the same pattern gives the gaps between matches;
     a start is the sum of the lengths of all earlier gaps and matches
-    (folded with ``aggregate``)."""
+    (folded with ``aggregate``).  The text is scanned twice (matches, gaps).
+    """
     text = col_(text)
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(text, pattern)
-    pairs = F.arrays_zip(gaps.alias("g"), matches.alias("m"))
-    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
-    starts = F.aggregate(
-        pairs,
-        F.struct(F.expr("CAST(array() AS array<int>)").alias("a"), F.lit(0).alias("off")),
-        lambda st, x: F.struct(
-            F.concat(st["a"], F.array(st["off"] + F.length(x["g"]))).alias("a"),
-            (st["off"] + F.length(x["g"]) + F.length(x["m"])).alias("off")),
-        lambda st: st["a"])
-    return F.zip_with(matches, starts, lambda m, s: F.struct(
-        m.alias("text"), s.alias("start"), (s + F.length(m)).alias("end")))
+
+    def body(v):
+        pairs = F.filter(F.arrays_zip(v["g"].alias("g"), v["m"].alias("m")), lambda x: x["m"].isNotNull())
+        return F.aggregate(
+            pairs,
+            F.expr("CAST(array() AS array<struct<text:string,start:int,end:int>>)"),
+            lambda acc, x: F.concat(acc, F.array(F.struct(
+                x["m"].alias("text"),
+                (F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0)) + F.length(x["g"])).alias("start"),
+                (F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0)) + F.length(x["g"])
+                 + F.length(x["m"])).alias("end")))))
+    return let_(F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"),
+                         F.split(text, pattern).alias("g")), body)
 
 
 def _alternation(patterns) -> str:
@@ -84,12 +85,15 @@ def party_mentions(text) -> Column:
 def gazetteer_array(text, terms, context: str, source: str, confidence: float = 0.8) -> Column:
     """One entity per term whose lower-case form occurs in the
     lower-cased text, in list order."""
-    low = F.lower(col_(text))
-    table = F.array(*[F.struct(F.lit(i).alias("o"), F.lit(t).alias("t"), F.lit(lab).alias("l"))
+    table = F.array(*[F.struct(F.lit(i).alias("o"), F.lit(t).alias("t"), F.lit(t.lower()).alias("lt"),
+                               F.lit(lab).alias("l"))
                       for i, (t, lab) in enumerate(terms)])
-    hits = F.filter(table, lambda x: F.instr(low, F.lower(x["t"])) > 0)
-    return F.transform(hits, lambda x: _entity(source, x["o"], x["t"], x["l"], F.lit(confidence),
-                                               F.lit(context)))
+
+    def body(low):
+        hits = F.filter(table, lambda x: F.instr(low, x["lt"]) > 0)
+        return F.transform(hits, lambda x: _entity(source, x["o"], x["t"], x["l"], F.lit(confidence),
+                                                   F.lit(context)))
+    return let_(F.lower(col_(text)), body)
 
 
 def structure_entity_array(text) -> Column:
@@ -160,7 +164,8 @@ def with_entities(df: DataFrame, text_col: str = "text", sents_col: str | None =
     sents = F.col(sents_col) if sents_col else sentence_array(text)
     allents = F.concat(pattern_entity_array(text), structure_entity_array(text),
                        format_entity_array(text), cue_entity_array(sents))
-    return with_arrays(df, entities=ensure_entity_array(allents))
+    d = with_arrays(df, _ents=allents)
+    return with_arrays(d, entities=ensure_entity_array(F.col("_ents"))).drop("_ents")
 
 
 def entities(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clauselake import vocab as V
-from clauselake.functions.arrays import with_arrays
+from clauselake.functions.arrays import let_, with_arrays
 from clauselake.functions.text import (clean_summary, col_, date_mentions, is_section_header,
                                        lit_str_array, sentence_array, strip, word_count)
 from clauselake.operators.classify import document_type
@@ -40,12 +40,14 @@ def _m1_score(s: Column, i: Column, n: Column) -> Column:
     """position x length x content, in double arithmetic and in the same
     operation order as the reproduced code (so float ties match)."""
     pos = F.when(i < n * F.lit(0.1), F.lit(1.5)).when(i > n * F.lit(0.9), F.lit(1.3)).otherwise(F.lit(1.0))
-    wc = word_count(s)
-    length = F.when((wc >= 10) & (wc <= 30), F.lit(1.2)).when(wc > 30, F.lit(0.8)).otherwise(F.lit(1.0))
-    low = F.lower(s)
-    hits = F.filter(lit_str_array(V.IMPORTANT_TERMS), lambda t: F.instr(low, t) > 0)
-    content = F.lit(1.0) + F.aggregate(hits, F.lit(0.0), lambda a, _t: a + F.lit(0.1))
-    return pos * length * content
+
+    def body(v):
+        wc, low = v["wc"], v["low"]
+        length = F.when((wc >= 10) & (wc <= 30), F.lit(1.2)).when(wc > 30, F.lit(0.8)).otherwise(F.lit(1.0))
+        hits = F.filter(lit_str_array(V.IMPORTANT_TERMS), lambda t: F.instr(low, t) > 0)
+        content = F.lit(1.0) + F.aggregate(hits, F.lit(0.0), lambda a, _t: a + F.lit(0.1))
+        return pos * length * content
+    return let_(F.struct(word_count(s).alias("wc"), F.lower(s).alias("low")), body)
 
 
 def with_summary(df: DataFrame, text_col: str = "text", out: str = "summary") -> DataFrame:
@@ -126,12 +128,15 @@ def summaries_array(summary) -> Column:
 
 # --- M2 ----------------------------------------------------------------------
 def _m2_score(s: Column) -> Column:
-    low = F.lower(s)
     weights = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w")) for t, w in V.LEGAL_WEIGHTS])
-    hits = F.filter(weights, lambda x: F.instr(low, x["t"]) > 0)
-    base = F.aggregate(hits, F.lit(1.0), lambda a, x: a + x["w"])
-    base = F.when(word_count(s) > 30, base * F.lit(0.8)).otherwise(base)
-    return F.when(is_section_header(s), base * F.lit(1.5)).otherwise(base)
+
+    def body(v):
+        hits = F.filter(weights, lambda x: F.instr(v["low"], x["t"]) > 0)
+        base = F.aggregate(hits, F.lit(1.0), lambda a, x: a + x["w"])
+        base = F.when(v["wc"] > 30, base * F.lit(0.8)).otherwise(base)
+        return F.when(v["hdr"], base * F.lit(1.5)).otherwise(base)
+    return let_(F.struct(F.lower(s).alias("low"), word_count(s).alias("wc"),
+                         is_section_header(s).alias("hdr")), body)
 
 
 def summarize_legal(df: DataFrame, max_sentences: int = 5, text_col: str = "text",
