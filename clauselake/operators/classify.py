@@ -76,7 +76,13 @@ def classify_clause(text) -> Column:
             F.transform(pts, lambda p: F.when(total > 0, p / total).otherwise(F.lit(0.0))))
         return F.struct(best["category"].alias("category"), conf.cast("double").alias("confidence"),
                         scores.alias("scores"))
-    return let_(clause_scores(col_(text)), body)
+    text = col_(text)
+    no_hit = F.array(*[F.lit(0) for _ in cats])
+    any_rule = _C2_FLAGS + "|".join(f"(?:{jre(p)})" for _, ps in V.CLAUSE_RULES for p in ps)
+    # One pass of the union of all patterns first: most clauses hit none,
+    # and then the 22 separate counts are skipped.
+    pts = F.when(F.coalesce(text.rlike(any_rule), F.lit(False)), clause_scores(text)).otherwise(no_hit)
+    return let_(pts, body)
 
 
 def classify_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
