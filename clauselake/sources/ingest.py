@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clauselake import vocab as V
+from clauselake.functions.arrays import with_arrays
 from clauselake.functions.text import clean_basic, col_, strip, word_count
 
 
@@ -80,8 +81,12 @@ def rejection_reason(filename="filename", file_size="file_size", text="text") ->
 
 def admit(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """S3: (accepted, rejected-with-reason).  Raising becomes a quarantine
-    table; both outputs are filters over one reason column."""
-    r = df.withColumn("reason", rejection_reason())
+    table; both outputs are filters over one reason column.
+
+    The reason is computed behind a Generate node: the rules are regex
+    work over the whole text, and a plain filter would be pushed below a
+    preceding repartition into the (possibly few) scan tasks."""
+    r = with_arrays(df, reason=rejection_reason())
     return r.filter(F.col("reason").isNull()).drop("reason"), r.filter(F.col("reason").isNotNull())
 
 
