@@ -103,15 +103,18 @@ def contract_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     intended_type.  The join to ``customer`` is a dimension join; Spark's
     AQE turns it into a broadcast when the runtime size allows.
     """
-    from clauselake.sources.tables import table
-
     import hashlib
 
+    from clauselake.sources.tables import spread, table
+
     tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
     views = {}
     for name in ("orders", "customer", "lineitem"):
         v = f"_cl_{name}_{tag}"
-        table(spark, sf_dir, name).createOrReplaceTempView(v)
+        t = table(spark, sf_dir, name)
+        # rendering is per-order string work: spread the orders over all
+        # cores when the scan yields fewer partitions (a no-op at scale)
+        (spread(t) if name == "orders" else t).createOrReplaceTempView(v)
         views[name] = v
     return spark.sql(contract_view_sql(views["orders"], views["customer"], views["lineitem"]))
 
