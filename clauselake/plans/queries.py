@@ -153,10 +153,10 @@ def q_s10(spark, sf):
 
 
 def q_s11(spark, sf):
-    from clauselake.operators.ml import load_model, predict_clauses, save_model, tfidf_pipeline
+    from clauselake.operators.ml import fit_clause_model, load_model, predict_clauses, save_model
 
     data = D.prepare_classifier(FX.annotated_corpus(spark, sf)).withColumn("weight", F.lit(1.0))
-    model = tfidf_pipeline(max_iter=20).fit(data)
+    model = fit_clause_model(data, max_iter=20)
     path = work_dir(spark, "model")
     save_model(model, path)
     pred = predict_clauses(load_model(path), data)
@@ -317,10 +317,10 @@ def q_c5(spark, sf):
 
 
 def q_c6(spark, sf):
-    from clauselake.operators.ml import predict_clauses, tfidf_pipeline
+    from clauselake.operators.ml import fit_clause_model, predict_clauses
 
     data = D.prepare_classifier(FX.annotated_corpus(spark, sf)).withColumn("weight", F.lit(1.0))
-    model = tfidf_pipeline(max_iter=20).fit(data)
+    model = fit_clause_model(data, max_iter=20)
     return predict_clauses(model, data).select("doc_id", "predicted", "description")
 
 
