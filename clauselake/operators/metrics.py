@@ -55,12 +55,25 @@ def span_prf(pred: DataFrame, gold: DataFrame, labels=None) -> DataFrame:
     t = t.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                   2 * F.col("precision") * F.col("recall")
                                   / (F.col("precision") + F.col("recall"))).otherwise(0.0))
-    t = t.select("label", F.col("tp").cast("long"), F.col("fp").cast("long"), F.col("fn").cast("long"),
-                 "precision", "recall", "f1")
-    overall = t.agg(F.lit("overall").alias("label"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
-                    F.sum("fn").alias("fn"), F.avg("precision").alias("precision"),
-                    F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
-    return t.unionByName(overall)
+    # 'overall' from window totals over the (fixed-size) label table,
+    # emitted next to its first row: the span join runs once.
+    w = Window.partitionBy()
+
+    def row(label, tp, fp, fn, p, r, f):
+        return F.struct(label.alias("label"), tp.cast("long").alias("tp"), fp.cast("long").alias("fp"),
+                        fn.cast("long").alias("fn"), p.cast("double").alias("precision"),
+                        r.cast("double").alias("recall"), f.cast("double").alias("f1"))
+
+    t = (t.withColumn("_first", F.row_number().over(w.orderBy("label")) == 1)
+         .withColumn("_tp", F.sum("tp").over(w)).withColumn("_fp", F.sum("fp").over(w))
+         .withColumn("_fn", F.sum("fn").over(w)).withColumn("_p", F.avg("precision").over(w))
+         .withColumn("_r", F.avg("recall").over(w)).withColumn("_f", F.avg("f1").over(w)))
+    overall = row(F.lit("overall"), F.col("_tp"), F.col("_fp"), F.col("_fn"), F.col("_p"), F.col("_r"),
+                  F.col("_f"))
+    mine = row(F.col("label"), F.col("tp"), F.col("fp"), F.col("fn"), F.col("precision"), F.col("recall"),
+               F.col("f1"))
+    rows = F.when(F.col("_first"), F.array(mine, overall)).otherwise(F.array(mine))
+    return t.select(F.inline(rows))
 
 
 def span_diff(pred: DataFrame, gold: DataFrame) -> DataFrame:
@@ -78,38 +91,50 @@ def classification_report(df: DataFrame, label_col: str = "label", pred_col: str
     accuracy, support = n), 'macro avg' and 'weighted avg' rows.  Classes
     are the union of true and predicted labels; 0 when undefined.
 
-    Plan: one aggregation to (label, prediction) counts (bounded by
-    classes^2), everything after runs on that small table."""
+    Plan: one aggregation to (label, prediction) counts, one more to
+    per-class counts (each pair feeds its true and its predicted class);
+    totals are windows over that class table (bounded by the label
+    vocabulary) and the three summary rows are emitted from its first row,
+    so the input is read once."""
     pairs = df.groupBy(F.col(label_col).cast("string").alias("y"),
                        F.col(pred_col).cast("string").alias("p")).agg(F.count(F.lit(1)).alias("c"))
-    support = pairs.groupBy(F.col("y").alias("cls")).agg(F.sum("c").alias("support"))
-    predicted = pairs.groupBy(F.col("p").alias("cls")).agg(F.sum("c").alias("npred"))
-    tp = pairs.filter(F.col("y") == F.col("p")).groupBy(F.col("y").alias("cls")).agg(F.sum("c").alias("tp"))
-    t = (support.join(predicted, "cls", "full_outer").join(tp, "cls", "left")
-         .fillna(0, ["support", "npred", "tp"]))
+    zero = F.lit(0).cast("long")
+    contrib = F.array(
+        F.struct(F.col("y").alias("cls"), F.col("c").alias("support"), zero.alias("npred"),
+                 F.when(F.col("y") == F.col("p"), F.col("c")).otherwise(zero).alias("tp")),
+        F.struct(F.col("p").alias("cls"), zero.alias("support"), F.col("c").alias("npred"), zero.alias("tp")))
+    t = pairs.select(F.inline(contrib)).groupBy("cls").agg(
+        F.sum("support").alias("support"), F.sum("npred").alias("npred"), F.sum("tp").alias("tp"))
     prec = F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     t = t.withColumn("precision", prec).withColumn("recall", rec)
     t = t.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                   2 * F.col("precision") * F.col("recall")
                                   / (F.col("precision") + F.col("recall"))).otherwise(0.0))
-    per = t.select(F.col("cls").alias("label"), "precision", "recall", "f1",
-                   F.col("support").cast("long").alias("support"), "tp")
-    tot = per.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"),
-                  F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                  F.sum(F.col("precision") * F.col("support")).alias("wp"),
-                  F.sum(F.col("recall") * F.col("support")).alias("wr"),
-                  F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    acc = tot.select(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                     F.lit(None).cast("double").alias("recall"), (F.col("tp") / F.col("n")).alias("f1"),
-                     F.col("n").cast("long").alias("support"))
-    macro = tot.select(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"),
-                       F.col("mr").alias("recall"), F.col("mf").alias("f1"),
-                       F.col("n").cast("long").alias("support"))
-    weighted = tot.select(F.lit("weighted avg").alias("label"), (F.col("wp") / F.col("n")).alias("precision"),
-                          (F.col("wr") / F.col("n")).alias("recall"), (F.col("wf") / F.col("n")).alias("f1"),
-                          F.col("n").cast("long").alias("support"))
-    return per.drop("tp").unionByName(acc).unionByName(macro).unionByName(weighted)
+    w = Window.partitionBy()
+    t = (t.withColumn("_n", F.sum("support").over(w)).withColumn("_tp", F.sum("tp").over(w))
+         .withColumn("_mp", F.avg("precision").over(w)).withColumn("_mr", F.avg("recall").over(w))
+         .withColumn("_mf", F.avg("f1").over(w))
+         .withColumn("_wp", F.sum(F.col("precision") * F.col("support")).over(w))
+         .withColumn("_wr", F.sum(F.col("recall") * F.col("support")).over(w))
+         .withColumn("_wf", F.sum(F.col("f1") * F.col("support")).over(w))
+         .withColumn("_first", F.row_number().over(w.orderBy("cls")) == 1))
+
+    def row(label, p, r, f, n):
+        return F.struct(label.alias("label"), p.cast("double").alias("precision"),
+                        r.cast("double").alias("recall"), f.cast("double").alias("f1"),
+                        n.cast("long").alias("support"))
+
+    n = F.col("_n")
+    none = F.lit(None).cast("double")
+    summary = F.array(
+        row(F.lit("accuracy"), none, none, F.col("_tp") / n, n),
+        row(F.lit("macro avg"), F.col("_mp"), F.col("_mr"), F.col("_mf"), n),
+        row(F.lit("weighted avg"), F.col("_wp") / n, F.col("_wr") / n, F.col("_wf") / n, n))
+    rows = F.concat(F.array(row(F.col("cls"), F.col("precision"), F.col("recall"), F.col("f1"), F.col("support"))),
+                    F.when(F.col("_first"), summary).otherwise(F.array().cast(
+                        "array<struct<label:string,precision:double,recall:double,f1:double,support:bigint>>")))
+    return t.select(F.inline(rows))
 
 
 # --- A5 ----------------------------------------------------------------------

@@ -633,7 +633,8 @@ m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END A
 f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END
         AS f1 FROM m)
 SELECT label, tp, fp, fn, precision, recall, f1 FROM f
-UNION ALL SELECT 'overall', sum(tp), sum(fp), sum(fn), avg(precision), avg(recall), avg(f1) FROM f"""
+UNION ALL SELECT 'overall', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT),
+  avg(precision), avg(recall), avg(f1) FROM f"""
 
 
 def a4_sql() -> str:
