@@ -426,6 +426,10 @@ FROM {C} c"""
   HAVING sum(strlen(coalesce(text, ''))) <= {V.MAX_FILE_BYTES}"""
     o["s14_assemble_paragraphs"] = f"""SELECT doc_id, string_agg(coalesce(text, ''), chr(10) ORDER BY para_no) AS text,
   CAST(count(*) AS INTEGER) AS total_paragraphs FROM {CONV_PARAS} p WHERE {strip('text')} <> ''
+  GROUP BY doc_id HAVING sum(strlen(coalesce(text, ''))) <= {V.MAX_FILE_BYTES}"""
+    o["s14_assemble_paragraphs_keep_blank"] = f"""SELECT doc_id,
+  {strip("string_agg(coalesce(text, ''), chr(10) ORDER BY para_no)")} AS text,
+  CAST(count(*) AS INTEGER) AS total_paragraphs FROM {CONV_PARAS} p
   GROUP BY doc_id HAVING sum(strlen(coalesce(text, ''))) <= {V.MAX_FILE_BYTES}"""
     o["s15_doc_properties"] = f"""SELECT doc_id,
   coalesce(CASE WHEN doc_id % 4 <> 0 THEN 'Contract ' || CAST(doc_id AS VARCHAR) END, '') AS title,

@@ -6,7 +6,6 @@ the DuckDB oracle."""
 
 from __future__ import annotations
 
-import datetime as dt
 import os
 from collections.abc import Callable
 
@@ -32,7 +31,7 @@ from clauselake.sources import store as ST
 from clauselake.sources.tables import contracts_in, documents_as_contracts, read_contracts, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
-ANALYZED_AT = dt.datetime(2024, 1, 1)
+ANALYZED_AT = "2024-01-01 00:00:00"  # a session-time-zone literal, not the query clock
 
 
 def _r(c, nd: int = 6, name: str | None = None):
@@ -178,6 +177,12 @@ def q_s14(spark, sf):
     return S.assemble_paragraphs(p).select("doc_id", "total_paragraphs", "text")
 
 
+def q_s14_keep_blank(spark, sf):
+    """S14, the analyser's variant: every paragraph joined, then stripped."""
+    p = FX.conversation_paragraphs(spark, sf)
+    return S.assemble_paragraphs(p, keep_blank=True).select("doc_id", "total_paragraphs", "text")
+
+
 def properties(spark, sf):
     cv = FX.contract_view(spark, sf)
     k = F.col("doc_id")
@@ -469,7 +474,7 @@ def q_a3(spark, sf):
 
 
 def q_a4(spark, sf):
-    c = contracts(spark, sf).join(FX.contract_view(spark, sf).select("doc_id", "intended_type"), "doc_id")
+    c = spread(FX.contract_view(spark, sf))
     pred = c.select(F.col("intended_type").alias("label"), C.document_type("text").alias("prediction"))
     return A.classification_report(pred).select("label", _r("precision"), _r("recall"), _r("f1"), "support")
 
@@ -598,7 +603,7 @@ def queries() -> dict[str, Query]:
         "s4_read_annotations": q_s4, "s5_s6_dataset_roundtrip": q_s5_s6, "s7_merge_store": q_s7,
         "s8_load_store": q_s8, "s9_metrics_roundtrip": q_s9, "s10_export_metadata": q_s10,
         "s11_model_roundtrip": q_s11, "s12_pages_to_text": q_s12, "s13_assemble_pages": q_s13,
-        "s14_assemble_paragraphs": q_s14, "s15_doc_properties": q_s15, "s16_normalize_tables": q_s16,
+        "s14_assemble_paragraphs": q_s14, "s14_assemble_paragraphs_keep_blank": q_s14_keep_blank, "s15_doc_properties": q_s15, "s16_normalize_tables": q_s16,
         "s17_media_inventory": q_s17,
         "n1_clean_app": q_n1, "n2_clean_basic": q_n2, "n3_clean_summary": q_n3, "n4_word_count": q_n4,
         "n5_ellipsize": q_n5, "n7_display_formats": q_n7,
