@@ -358,9 +358,14 @@ def admission(filename: str = "filename", size: str = "file_size", text: str = "
   WHEN {wc(text)} < {V.MIN_WORDS} THEN 'too_short' END)"""
 
 
-def analysis_sql() -> str:
-    """X1 per contract: counts and texts of every sub-result."""
-    src = f"(SELECT * FROM {CONTRACTS} c0 WHERE {admission()} IS NULL)"
+DOCS_AS_CONTRACTS = ("(SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR) || '.' || ['pdf', 'docx', 'txt'][doc_id % 3 + 1] "
+                     "AS filename, text, CAST(strlen(text) AS BIGINT) AS file_size, "
+                     "CAST(NULL AS TIMESTAMP) AS modified_at FROM documents)")
+
+
+def analysis_sql(base: str = CONTRACTS) -> str:
+    """X1 per admitted document: counts and texts of every sub-result."""
+    src = f"(SELECT * FROM {base} c0 WHERE {admission()} IS NULL)"
     return f"""WITH e AS ({all_entities_sql(src)}),
 ea AS (SELECT doc_id, count(*) AS n_entities, count(DISTINCT label) AS n_labels,
          count(*) FILTER (WHERE confidence >= 0.7) AS n_ent_thr, avg(confidence) AS avg_conf FROM e GROUP BY doc_id),
@@ -381,10 +386,10 @@ SELECT c.doc_id, c.filename, regexp_extract(c.filename, '\\.([^./]*)$', 1) AS fi
 FROM {src} c JOIN ea ON c.doc_id = ea.doc_id JOIN sa ON c.doc_id = sa.doc_id JOIN m ON c.doc_id = m.doc_id"""
 
 
-def x1_sql() -> str:
+def x1_sql(base: str = CONTRACTS) -> str:
     return f"""SELECT doc_id, filename, file_type, document_type, status, summary, original_length, summary_length,
   compression_ratio, n_entities, n_entity_labels, n_sections, section_types, key_points, short_summary, warnings,
-  0 AS n_risks, 'success' AS analysis_status FROM ({analysis_sql()}) a"""
+  0 AS n_risks, 'success' AS analysis_status FROM ({analysis_sql(base)}) a"""
 
 
 def metadata_values_sql(alias: str = "a") -> str:
@@ -455,6 +460,9 @@ SELECT doc_id, page, table_number, n_rows, n_columns, cells FROM n WHERE k % 13
     o["n3_clean_summary"] = f"SELECT doc_id, {clean_summary('text')} AS clean FROM documents"
     o["n4_word_count"] = f"SELECT doc_id, CAST({wc('text')} AS INTEGER) AS n_words FROM documents"
     o["n5_ellipsize"] = f"SELECT doc_id, {ellipsize('text', 50)} AS title, {ellipsize('text', 500)} AS preview FROM documents"
+    lo = "greatest(floor(length(text) / 3)::INTEGER - 50, 0)"
+    o["n6_span_context"] = f"""SELECT doc_id, substr(text, {lo} + 1,
+  greatest(least(length(text), floor(length(text) / 3)::INTEGER + 10 + 50) - {lo}, 0)) AS context FROM documents"""
     o["n7_display_formats"] = """SELECT doc_id, format('{:,}', n_chars) AS chars,
   round(n_chars / 1024.0::DOUBLE, 1) AS kb, upper(lang[1]) || lower(lang[2:]) AS lang FROM documents"""
     # segmentation
@@ -583,6 +591,7 @@ SELECT doc_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY m
 FROM l"""
     # composite
     o["x1_analyze_contracts"] = x1_sql()
+    o["x1_analyze_documents"] = x1_sql(DOCS_AS_CONTRACTS)
     return o
 
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from clauselake import vocab as V
 from clauselake.functions.arrays import with_arrays
 from clauselake.functions.text import (clean_app, clean_basic, clean_summary, date_mentions, ellipsize,
-                                       fmt_thousands, is_section_header, word_count, word_tokens)
+                                       fmt_thousands, is_section_header, span_context, word_count,
+                                       word_tokens)
 from clauselake.operators import classify as C
 from clauselake.operators import entities as E
 from clauselake.operators import filters as FL
@@ -63,7 +64,16 @@ def gold_spans(spark, sf):
 # --- flagship ----------------------------------------------------------------
 def flagship(spark, sf):
     """X1 scalar view: one row per contract."""
-    a = contract_analysis(spark, sf)
+    return analysis_view(contract_analysis(spark, sf))
+
+
+def q_x1_documents(spark, sf):
+    """X1 over ``documents`` (no blank lines: sections come from X2's
+    sentence-group fallback; .txt and short documents are rejected)."""
+    return analysis_view(analyze(spread(documents_as_contracts(spark, sf)), ANALYZED_AT))
+
+
+def analysis_view(a):
     return a.select(
         "doc_id", "filename", "file_type",
         F.col("summary.document_type").alias("document_type"),
@@ -232,6 +242,13 @@ def q_n5(spark, sf):
                                   ellipsize("text", 500).alias("preview"))
 
 
+def q_n6(spark, sf):
+    """N6 on a span a third into each document (clipped at both ends)."""
+    d = docs(spark, sf)
+    start = F.floor(F.length("text") / 3).cast("int")
+    return d.select("doc_id", span_context(F.col("text"), start, start + 10, 50).alias("context"))
+
+
 def q_n7(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", fmt_thousands("n_chars").alias("chars"),
@@ -606,7 +623,7 @@ def queries() -> dict[str, Query]:
         "s14_assemble_paragraphs": q_s14, "s14_assemble_paragraphs_keep_blank": q_s14_keep_blank, "s15_doc_properties": q_s15, "s16_normalize_tables": q_s16,
         "s17_media_inventory": q_s17,
         "n1_clean_app": q_n1, "n2_clean_basic": q_n2, "n3_clean_summary": q_n3, "n4_word_count": q_n4,
-        "n5_ellipsize": q_n5, "n7_display_formats": q_n7,
+        "n5_ellipsize": q_n5, "n6_span_context": q_n6, "n7_display_formats": q_n7,
         "g1_sentences": q_g1, "g2_paragraph_sections_contracts": q_g2_contracts,
         "g2_line_sections_documents": q_g2_documents, "g3_sentence_sections": q_g3,
         "g4_ensure_section": q_g4, "g5_header_sections": q_g5, "g6_heading_sections": q_g6,
@@ -630,5 +647,5 @@ def queries() -> dict[str, Query]:
         "f4_filter_metadata": q_f4, "f5_search_contracts": q_f5, "f6_top_k_entities": q_f6,
         "d1_prepare_ner": q_d1, "d2_prepare_classifier": q_d2, "d3_prepare_summarization": q_d3,
         "d4_split_rows": q_d4, "d5_split_stratified": q_d5,
-        "x1_analyze_contracts": flagship, "x3_train_all": q_x3, "x4_stream_contracts": q_x4,
+        "x1_analyze_contracts": flagship, "x1_analyze_documents": q_x1_documents, "x3_train_all": q_x3, "x4_stream_contracts": q_x4,
     }
