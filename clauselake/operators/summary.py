@@ -50,15 +50,18 @@ def _m1_score(s: Column, i: Column, n: Column) -> Column:
     return let_(F.struct(word_count(s).alias("wc"), F.lower(s).alias("low")), body)
 
 
-def with_summary(df: DataFrame, text_col: str = "text", out: str = "summary") -> DataFrame:
+def with_summary(df: DataFrame, text_col: str = "text", out: str = "summary",
+                 sents_col: str | None = None) -> DataFrame:
     """M1 + M4 + M6 + M7 + M8: adds ``out`` (SUMMARY_TYPE struct) and keeps
-    the kept-sentence array in ``_kept``.
+    the kept-sentence array in ``_kept``.  ``sents_col`` may name an
+    existing sentence array (G1) to reuse.
 
     Ranking: kept sentences (> 3 words) sorted by (-score, position); the
     top k = min(max(int(0.2 n), 3), 10) are put back in order of first
     occurrence of their text; ties keep rank order."""
     text = F.col(text_col)
-    d = with_arrays(df, _kept=F.filter(sentence_array(text), lambda s: word_count(s) > 3))
+    sents = F.col(sents_col) if sents_col else sentence_array(text)
+    d = with_arrays(df, _kept=F.filter(sents, lambda s: word_count(s) > 3))
     kept = F.col("_kept")
     n = F.size(kept)
     k = F.least(F.greatest(F.floor(n * F.lit(0.2)).cast("int"), F.lit(3)), F.lit(10))

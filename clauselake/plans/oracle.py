@@ -9,7 +9,7 @@ are the driver's pre-registered views.
 from __future__ import annotations
 
 from clauselake import vocab as V
-from clauselake.plans.sqlparts import (ENTITY_ALT, NWS, PARTY_ALT, WORDCH, WS, clean_app, clean_basic,
+from clauselake.plans.sqlparts import (ENTITY_ALT, PARTY_ALT, WORDCH, WS, clean_app, clean_basic,
                                        clean_summary, contains_count, doc_type, ellipsize, fix_punct, iso,
                                        ordered_distinct, q, qlist, re2, section_type, sents, strip, wc)
 from clauselake.sources.fixtures import CLOSING_TYPES, FIXTURE_CLAUSE_TYPES, contract_view_sql

@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake import vocab as V
 from clauselake.functions.arrays import with_arrays
 from clauselake.functions.text import (clean_app, clean_basic, clean_summary, date_mentions, ellipsize,
                                        fmt_thousands, is_section_header, span_context, word_count,
