@@ -64,7 +64,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     A scan of few large row groups yields fewer partitions than the
     cluster has cores; then the rows are round-robin repartitioned.  At
     scale the scan already has >= parallelism partitions and nothing is
-    added (no shuffle)."""
+    added (no shuffle).  Only exchange-free plans are inspected: asking an
+    adaptive plan for its partition count would run its shuffle stages."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
