@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clauselake import vocab as V
+from clauselake.functions.arrays import memo_columns
 
 SEP = "\u0001"  # sentence break marker; never present in clean text
 
@@ -63,6 +64,7 @@ def squash(c) -> Column:
 
 
 # --- N1 / N2 / N3 ------------------------------------------------------------
+@memo_columns
 def clean_app(c) -> Column:
     """NUL out, whitespace squashed, punctuation fixes in fixed order.
     ``replace`` is a single left-to-right non-overlapping pass, like Python."""
@@ -81,6 +83,7 @@ def clean_basic(c) -> Column:
     return F.when(t != "", t)
 
 
+@memo_columns
 def clean_summary(c) -> Column:
     """The TF-IDF summariser's pre-processing."""
     t = F.regexp_replace(col_(c), f"{V.WS}+", " ")
@@ -152,6 +155,7 @@ def date_mentions(c) -> Column:
     return F.regexp_extract_all(col_(c), F.lit(V.DATE_PATTERN), 0)
 
 
+@memo_columns
 def sentence_array(text) -> Column:
     """G1: sentences of a text (break after [.!?] + whitespace; a trailing
     unterminated piece is a sentence), each stripped, empties dropped."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake import vocab as V
-from clauselake.functions.arrays import let_
+from clauselake.functions.arrays import let_, memo_columns
 from clauselake.functions.text import col_, jre
 
 # Java: case-insensitive (Unicode), only \n ends a line for '.'.
@@ -19,6 +19,7 @@ _C2_FLAGS = "(?iud)"
 
 
 # --- C1 ----------------------------------------------------------------------
+@memo_columns
 def section_type(text) -> Column:
     """struct(type, confidence) by substring of the lower-cased text,
     first rule wins."""
@@ -57,6 +58,7 @@ def clause_scores(text) -> Column:
     return F.array(*cols)
 
 
+@memo_columns
 def classify_clause(text) -> Column:
     """struct(category, confidence, scores map).
 
@@ -94,6 +96,7 @@ def classify_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 # --- C3 ----------------------------------------------------------------------
+@memo_columns
 def document_type(text) -> Column:
     """Type with most distinct keywords present; first wins; none ->
     "document" (a sentinel entry with score 0 that wins all-zero ties)."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake import vocab as V
-from clauselake.functions.arrays import empty_array, let_, with_arrays
+from clauselake.functions.arrays import empty_array, let_, memo_columns, with_arrays
 from clauselake.functions.text import col_, lit_str_array, sentence_array, span_context, word_tokens
 
 ENTITY = ("struct<source:string,ord:int,text:string,label:string,confidence:double,"
@@ -57,6 +57,7 @@ def prefix_starts(lengths: Column, block: int = SPAN_BLOCK) -> Column:
     return let_(lengths, with_lengths)
 
 
+@memo_columns
 def regex_spans(text, pattern: str) -> Column:
     """All non-overlapping matches of ``pattern`` as struct(text, start, end)
     (0-based, end exclusive), in text order.
@@ -86,6 +87,7 @@ def _alternation(patterns) -> str:
 
 
 # --- E1 ----------------------------------------------------------------------
+@memo_columns
 def pattern_entity_array(text, rules=V.PATTERN_ENTITY_RULES, confidence: float = 0.9,
                          source: str = "ner") -> Column:
     """E1 (re-aimed statistical NER): DATE / AMOUNT / PARTY patterns, in text
@@ -112,6 +114,7 @@ def party_mentions(text) -> Column:
 
 
 # --- E2 / E3 -----------------------------------------------------------------
+@memo_columns
 def gazetteer_array(text, terms, context: str, source: str, confidence: float = 0.8) -> Column:
     """One entity per term whose lower-case form occurs in the
     lower-cased text, in list order."""
@@ -140,6 +143,7 @@ def legal_term_regex() -> str:
     return rf"(?iu)\b(?:{alts})\b"
 
 
+@memo_columns
 def legal_term_array(text, existing: Column | None = None) -> Column:
     """Legal-term ruler, label LEGAL_TERM, confidence
     min(0.5 + 0.1 * words, 0.9).  Mentions that overlap an ``existing``
@@ -157,6 +161,7 @@ def legal_term_array(text, existing: Column | None = None) -> Column:
 
 
 # --- E5 ----------------------------------------------------------------------
+@memo_columns
 def cue_entity_array(first_sentences: Column) -> Column:
     """E5: in each of the first five sentences, an 'Introduction' entity when
     a token is an intro cue and a 'Conclusion' entity when a token is a

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake import vocab as V
-from clauselake.functions.arrays import with_arrays
+from clauselake.functions.arrays import memo_columns, with_arrays
 from clauselake.functions.text import col_, ellipsize, jre, sentence_array, strip, word_count
 from clauselake.operators.classify import section_type
 
@@ -31,6 +31,7 @@ def _section(sec_no: Column, title: Column, text: Column, typ: Column, conf: Col
                     typ.alias("type"), conf.cast("double").alias("confidence"))
 
 
+@memo_columns
 def paragraph_array(text, sep: str = "\n\n") -> Column:
     """Stripped non-empty pieces of ``text.split(sep)`` as sections,
     title = first 50 characters, type by C1."""
@@ -44,6 +45,7 @@ def _typed_section(i: Column, p: Column) -> Column:
     return _section(i, ellipsize(p, 50), p, st["type"], st["confidence"])
 
 
+@memo_columns
 def sentence_group_array(sents: Column, n: int = 3) -> Column:
     """Groups of ``n`` sentences joined by a space; the first titled
     "Document Content", group g >= 1 titled "Section {g + 1}"."""
@@ -128,6 +130,7 @@ def header_title(line: Column) -> Column:
     return out
 
 
+@memo_columns
 def header_section_array(text) -> Column:
     """Sections delimited by header lines.  Text before the first
     header is dropped; a section's text is its header line (unstripped) and
