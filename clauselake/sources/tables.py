@@ -59,15 +59,15 @@ def contracts_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread rows over all cores before CPU-heavy per-row text work.
+    """Spread the rows of a *scan* over all cores before CPU-heavy per-row
+    text work.
 
     A scan of few large row groups yields fewer partitions than the
     cluster has cores; then the rows are round-robin repartitioned.  At
     scale the scan already has >= parallelism partitions and nothing is
-    added (no shuffle).  Only exchange-free plans are inspected: asking an
-    adaptive plan for its partition count would run its shuffle stages."""
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
+    added (no shuffle).  Apply it to scans only: for a plan with shuffles
+    the partition count is only known once adaptive execution has run its
+    stages."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
