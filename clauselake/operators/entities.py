@@ -199,8 +199,7 @@ def with_entities(df: DataFrame, text_col: str = "text", sents_col: str | None =
     sents = F.col(sents_col) if sents_col else sentence_array(text)
     allents = F.concat(pattern_entity_array(text), structure_entity_array(text),
                        format_entity_array(text), cue_entity_array(sents))
-    d = with_arrays(df, _ents=allents)
-    return with_arrays(d, entities=ensure_entity_array(F.col("_ents"))).drop("_ents")
+    return with_arrays(df, entities=let_(allents, ensure_entity_array))
 
 
 def entities(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
