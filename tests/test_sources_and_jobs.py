@@ -86,7 +86,11 @@ def test_stream_intake_dedupes(spark):
     n = c.count()
     c.write.parquet(f"{base}/in/a")
     c.filter(F.col("doc_id") % 2 == 0).write.parquet(f"{base}/in/b")
+    bad = c.limit(3).withColumn("filename", F.concat(F.lit("x_"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    bad.write.parquet(f"{base}/in/c")
     stream_contracts(spark, f"{base}/in/*", f"{base}/store", f"{base}/ckpt")
     s = ST.load_analysis(spark, f"{base}/store")
     assert s.count() == n
     assert s.select("filename", "analyzed_at").distinct().count() == n
+    q = spark.read.parquet(f"{base}/store_rejected")
+    assert {r.reason for r in q.collect()} == {"unsupported_type"} and q.count() == 3
