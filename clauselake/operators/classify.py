@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake import vocab as V
-from clauselake.functions.arrays import let_, memo_columns
+from clauselake.functions.arrays import let_, memo_columns, with_arrays
 from clauselake.functions.text import col_, jre
 
 # Java: case-insensitive (Unicode), only \n ends a line for '.'.
@@ -46,7 +46,8 @@ def _pattern_points(text: Column, pattern: str) -> Column:
 
 
 def clause_scores(text) -> Column:
-    """Integer category points (tenths), in category order."""
+    """Integer category points (tenths), in category order.  A category's
+    patterns are counted only when the union of its patterns matches."""
     text = col_(text)
     cols = []
     for cat, patterns in V.CLAUSE_RULES:
@@ -54,7 +55,8 @@ def clause_scores(text) -> Column:
         for p in patterns:
             x = _pattern_points(text, p)
             pts = x if pts is None else pts + x
-        cols.append(pts)
+        any_p = _C2_FLAGS + "|".join(f"(?:{jre(p)})" for p in patterns)
+        cols.append(F.when(text.rlike(any_p), pts).otherwise(F.lit(0)))
     return F.array(*cols)
 
 
@@ -90,9 +92,9 @@ def classify_clause(text) -> Column:
 def classify_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """C2 applied per line: (doc_id, line_no, line, category, confidence)."""
     lines = df.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    c = classify_clause(F.col("line"))
-    return lines.select(id_col, "line_no", "line", c["category"].alias("category"),
-                        c["confidence"].alias("confidence"))
+    c = with_arrays(lines, _c=classify_clause(F.col("line")))  # evaluated once per line
+    return c.select(id_col, "line_no", "line", F.col("_c.category").alias("category"),
+                    F.col("_c.confidence").alias("confidence"))
 
 
 # --- C3 ----------------------------------------------------------------------

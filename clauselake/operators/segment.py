@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake import vocab as V
-from clauselake.functions.arrays import memo_columns, with_arrays
+from clauselake.functions.arrays import let_, memo_columns, with_arrays
 from clauselake.functions.text import col_, ellipsize, jre, sentence_array, strip, word_count
 from clauselake.operators.classify import section_type
 
@@ -41,8 +41,7 @@ def paragraph_array(text, sep: str = "\n\n") -> Column:
 
 
 def _typed_section(i: Column, p: Column) -> Column:
-    st = section_type(p)
-    return _section(i, ellipsize(p, 50), p, st["type"], st["confidence"])
+    return let_(section_type(p), lambda st: _section(i, ellipsize(p, 50), p, st["type"], st["confidence"]))
 
 
 @memo_columns
