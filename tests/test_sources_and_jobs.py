@@ -94,3 +94,24 @@ def test_stream_intake_dedupes(spark):
     assert s.select("filename", "analyzed_at").distinct().count() == n
     q = spark.read.parquet(f"{base}/store_rejected")
     assert {r.reason for r in q.collect()} == {"unsupported_type"} and q.count() == 3
+
+
+def test_file_metadata_matches_the_file_system(spark):
+    rows = {r.filename: r for r in S.file_metadata(spark, os.path.join(SF_SMALL, "*.parquet")).collect()}
+    assert "documents.parquet" in rows
+    r = rows["documents.parquet"]
+    assert r.file_size == os.stat(os.path.join(SF_SMALL, "documents.parquet")).st_size
+    assert (r.file_type, r.title, r.author) == ("PARQUET", "documents", "Unknown")
+    assert r.created_date == r.modified_date == r.creation_date and "T" in r.created_date
+
+
+def test_media_inventory_formats(spark):
+    blobs = spark.createDataFrame([
+        (1, 1, 0, bytes.fromhex("FFD8FFE0") + b"x"), (1, 1, 1, bytes.fromhex("89504E470D0A") + b"y"),
+        (1, 2, 2, b"plain"), (2, 1, 3, b"")], "doc_id long, page int, blob_no long, content binary")
+    got = sorted((r.doc_id, r.page, r.image_number, r.format) for r in S.media_inventory(blobs).collect())
+    assert got == [(1, 1, 1, "jpeg"), (1, 1, 2, "png"), (1, 2, 1, "png"), (2, 1, 1, "png")]
+    named = spark.createDataFrame([(1, 0, "word/media/a.PNG"), (1, 1, "word/media/b.emf"), (1, 2, "c.jpg")],
+                                  "doc_id long, blob_no long, name string")
+    got = sorted((r.blob_no, r.image_number, r.format) for r in S.media_inventory(named, per_page=False).collect())
+    assert got == [(0, 1, "png"), (2, 2, "jpg")]
