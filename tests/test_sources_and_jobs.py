@@ -115,3 +115,10 @@ def test_media_inventory_formats(spark):
                                   "doc_id long, blob_no long, name string")
     got = sorted((r.blob_no, r.image_number, r.format) for r in S.media_inventory(named, per_page=False).collect())
     assert got == [(0, 1, "png"), (2, 2, "jpg")]
+
+
+def test_split_is_deterministic(spark):
+    df = spark.range(0, 2500).withColumnRenamed("id", "doc_id").repartition(7)
+    a = {r.doc_id for r in D.split_rows(df).filter("split = 'test'").collect()}
+    b = {r.doc_id for r in D.split_rows(df.repartition(3)).filter("split = 'test'").collect()}
+    assert a == b and len(a) == 500
