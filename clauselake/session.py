@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -31,30 +31,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def work_dir(spark: SparkSession, name: str | None = None) -> str:
-    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared ``spark.checkpoint.dir``, ready for
+    ``DataFrame.checkpoint()``.
 
-    The setting is read from the session; only when it is unset (tests, local
-    bench) a folder of our own is set.  Everything a job materialises to cut
-    lineage or stage an upsert goes below this folder, never to a
-    machine-local temp folder.
+    The setting is read from the session.  Where it is unset, a single-JVM
+    local session (tests, bench) gets a folder of its own; a cluster gets an
+    error, since a machine-local folder would be lost with its machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="clauselake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
-    sub = os.path.join(base, name or "work", uuid.uuid4().hex)
-    return sub
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base)
+    return base
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make ``DataFrame.checkpoint()`` usable; returns the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="clauselake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
-    return base
+def work_dir(spark: SparkSession, name: str | None = None) -> str:
+    """A fresh folder under the shared checkpoint folder; whatever a job writes
+    to cut lineage or to stage an upsert goes there."""
+    return "/".join((ensure_checkpoint_dir(spark).rstrip("/"), name or "work", uuid.uuid4().hex))
