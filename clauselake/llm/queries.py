@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import substring_dedup
+from clauselake.llm import bpe_stream, mix_sources, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +15,27 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources.taken(_table(spark, sf_dir, "documents"))
+
+
+def op10_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.code_digests(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup,)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_token_counts, op5_mix_sources, op10_bpe_coding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mix_sources": mix_sources.ORACLE_SQL}
