@@ -36,6 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from clauselake.llm import scan
 
@@ -43,9 +44,9 @@ WINDOW = 13
 #: Words in the runs whose smallest hash is a window's minimiser.
 MINIMISER = 5
 #: Packed bytes that a bucket should hold; buckets are worked on one at a time.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 #: Bytes of text that are cut and folded at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Super-k-mers take about this many bytes for a byte of text at 13 and 5 words.
 EXPANSION = 4
 _LAST = 2**63 - 1
@@ -54,20 +55,23 @@ _LAST = 2**63 - 1
 def _pack(ids, keys, starts, strings) -> bytes:
     """Columns of packed strings as one compressed blob."""
     lens = np.fromiter(map(len, strings), np.int32, len(strings))
-    body = b"".join((np.int64(len(strings)).tobytes(), np.asarray(ids, np.int64).tobytes(),
-                     np.asarray(keys, np.int64).tobytes(), np.asarray(starts, np.int32).tobytes(),
-                     lens.tobytes(), *strings))
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    steps = np.diff(np.asarray(ids, np.int64), prepend=np.int64(0))
+    # byte planes: the high bytes of small numbers are all zero and vanish
+    planes = (np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes()
+              for c in (steps, np.asarray(keys, np.int32), np.asarray(starts, np.int32), lens))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join((np.int64(len(strings)).tobytes(), *planes, *strings)))
 
 
 def _unpack(blob: bytes):
     body = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(body, np.int64, 1)[0])
     at, out = 8, []
-    for kind in (np.int64, np.int64, np.int32, np.int32):
-        out.append(np.frombuffer(body, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    return (*out, np.frombuffer(body, np.uint8, len(body) - at, at))
+    for kind in (np.int64, np.int32, np.int32, np.int32):
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(body, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * size
+    return (np.cumsum(out[0]), *out[1:], np.frombuffer(body, np.uint8, len(body) - at, at))
 
 
 def _merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,14 +155,14 @@ def _cut(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int) -> Ite
                 n = len(made)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[order[cut]]), pa.array(made, pa.large_binary()).cast(pa.binary()),
-                     pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))],
+                     pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))],
                     names=["bucket", "blob", "id", "key", "spans"])
             if again.any():
                 rows = list(_span_rows(owner[again], keys[doc[again]], local[again], local[again] + (stop - first)[again]))
                 to = np.array([r[0] for r in rows], np.int64) % buckets
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(to), pa.nulls(len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int64()),
-                     pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))],
+                     pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))],
                     names=["bucket", "blob", "id", "key", "spans"])
 
 
@@ -217,14 +221,14 @@ def _bucket_spans(table: pa.Table, k: int) -> pa.Table:
         string, word = _repeats(ids, lens, data, k)
         start = starts[string] + word
         out += _span_rows(ids[string], keys[string], start, start + k)
-    return pa.table({"id": pa.array([r[0] for r in out], pa.int64()), "key": pa.array([r[1] for r in out], pa.int64()),
+    return pa.table({"id": pa.array([r[0] for r in out], pa.int64()), "key": pa.array([r[1] for r in out], pa.int32()),
                      "spans": pa.array([r[2] for r in out], pa.list_(pa.int32()))})
 
 
 def _keyed(documents: DataFrame, text: str, doc_id: str) -> DataFrame:
     """The input with its row key: the id, null last, and a hash of the text."""
     return documents.withColumns({"_sd_id": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)),
-                                  "_sd_key": F.xxhash64(F.col(f"`{text}`"))})
+                                  "_sd_key": F.hash(F.col(f"`{text}`"))})
 
 
 def repeated_spans(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = WINDOW,
@@ -234,16 +238,31 @@ def repeated_spans(documents: DataFrame, text: str = "text", doc_id: str = "doc_
     spark = documents.sparkSession
     rows = _keyed(documents, text, doc_id).select("_sd_id", "_sd_key", F.col(f"`{text}`").alias("_sd_text"))
     size = documents.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * EXPANSION // BUCKET_BYTES))
-    cut = rows.mapInArrow(lambda it: _cut(it, buckets, k, m), "bucket long, blob binary, id long, key long, spans array<int>")
-    found = cut.groupBy("bucket").applyInArrow(lambda t: _bucket_spans(t, k), "id long, key long, spans array<int>")
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * EXPANSION // BUCKET_BYTES))
+    cut = rows.mapInArrow(lambda it: _cut(it, buckets, k, m), "bucket long, blob binary, id long, key int, spans array<int>")
+    found = cut.groupBy("bucket").applyInArrow(lambda t: _bucket_spans(t, k), "id long, key int, spans array<int>")
     return found.groupBy(F.col("id").alias("_sd_id"), F.col("key").alias("_sd_key")).agg(
         F.flatten(F.collect_list("spans")).alias("_sd_spans"))
 
 
-def _marked(documents: DataFrame, text: str, doc_id: str, k: int, m: int) -> DataFrame:
-    spans = repeated_spans(documents, text, doc_id, k, m)
-    return _keyed(documents, text, doc_id).join(spans, ["_sd_id", "_sd_key"], "left")
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text column ``_sd_text`` compressed, for the shuffle."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        at = batch.schema.get_field_index("_sd_text")
+        packed = [None if t is None else press.compress(t.encode()) for t in batch.column(at).to_pylist()]
+        yield batch.set_column(at, "_sd_text", pa.array(packed, pa.binary()))
+
+
+def _marked(documents: DataFrame, text: str, doc_id: str, k: int, m: int, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` beside the compressed text and its spans."""
+    rows = _keyed(documents, text, doc_id).select(*(F.col(f"`{c}`") for c in keep), "_sd_id", "_sd_key", F.col(f"`{text}`").alias("_sd_text"))
+    packed = StructType([StructField("_sd_text", BinaryType()) if f.name == "_sd_text" else f for f in rows.schema])
+    return rows.mapInArrow(_squeeze, packed).join(repeated_spans(documents, text, doc_id, k, m), ["_sd_id", "_sd_key"], "left")
+
+
+def _text(packed: pa.Scalar) -> str | None:
+    return zstandard.ZstdDecompressor().decompress(packed.as_py()).decode() if packed.is_valid else None
 
 
 def _kept(text: str | None, spans: list[int] | None) -> tuple[int, list[bytes]]:
@@ -260,8 +279,8 @@ def _kept(text: str | None, spans: list[int] | None) -> tuple[int, list[bytes]]:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, spans in zip(batch.column("t"), batch.column("s")):
-            n, words = _kept(text.as_py(), spans.as_py())
+        for text, spans in zip(batch.column("_sd_text"), batch.column("_sd_spans")):
+            n, words = _kept(_text(text), spans.as_py())
             rows.append((n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
         n, gone, digest = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
@@ -270,25 +289,25 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_digest(documents: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    marked = _marked(documents, "text", "doc_id", k, m)
-    return marked.select(F.col("doc_id").cast("long"), F.col("text").alias("t"), F.col("_sd_spans").alias("s")).mapInArrow(
+    marked = _marked(documents, "text", "doc_id", k, m, ["doc_id"])
+    return marked.select(F.col("doc_id").cast("long"), "_sd_text", "_sd_spans").mapInArrow(
         _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def _rewrite(batches: Iterator[pa.RecordBatch], text: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = batch.schema.get_field_index(text)
         out = []
-        for value, spans in zip(batch.column(at), batch.column("_sd_spans")):
-            value, spans = value.as_py(), spans.as_py()
+        for value, spans in zip(batch.column("_sd_text"), batch.column("_sd_spans")):
+            value, spans = _text(value), spans.as_py()
             out.append(b" ".join(_kept(value, spans)[1]).decode() if spans else value)
-        kept = batch.set_column(at, text, pa.array(out, batch.schema.field(at).type))
-        yield kept.select([c for c in kept.schema.names if not c.startswith("_sd_")])
+        new = pa.array(out, pa.string())
+        yield pa.RecordBatch.from_arrays([new if c == text else batch.column(c) for c in columns], names=columns)
 
 
 def remove_repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = WINDOW,
                    m: int = MINIMISER) -> DataFrame:
     """The input with repeated words taken out of ``text``; a text that loses
     none stays as it is, any other becomes its kept words joined by one space."""
-    marked = _marked(documents, text, doc_id, k, m).select(*(F.col(f"`{c}`") for c in documents.columns), "_sd_spans")
-    return marked.mapInArrow(lambda it: _rewrite(it, text), documents.schema)
+    columns = documents.columns
+    marked = _marked(documents, text, doc_id, k, m, [c for c in columns if c != text])
+    return marked.mapInArrow(lambda it: _rewrite(it, text, columns), documents.schema)
