@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -54,3 +56,19 @@ def work_dir(spark: SparkSession, name: str | None = None) -> str:
     """A fresh folder under the shared checkpoint folder; whatever a job writes
     to cut lineage or to stage an upsert goes there."""
     return "/".join((ensure_checkpoint_dir(spark).rstrip("/"), name or "work", uuid.uuid4().hex))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once for each application (a session
+    started with ``--py-files`` or from the package's folder has it already)."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="clauselake-code-"), "clauselake"), "zip",
+                                  os.path.dirname(here), os.path.basename(here))
+    context.addPyFile(archive)  # Spark's own file server hands it out
+    _shipped.add(context.applicationId)
+
+
+_shipped: set[str] = set()
