@@ -41,11 +41,11 @@ ROWS, SAMPLE_WINDOWS = (4000, 2000), 400
 WORDS = 8
 THRESHOLD = 0.7
 #: Bytes of the two dictionaries.
-ORDINARY_BYTES, TOXIC_BYTES = 8 << 10, 4 << 10
+ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 4 << 10
 #: Ordinary windows that reach the threshold, at most this share.
 FALSE_SHARE = 0.003
 #: A toxic word recurs between this share of the toxic rows' neighbours.
-RECURS = 0.008
+RECURS = 0.015
 #: Windows that train the ordinary dictionary and that set the threshold.
 TRAIN, CALIBRATE = 60_000, 30_000
 _CONTENT = b"\1\0\0\0\4\0\0\0\10\0\0\0"
@@ -71,7 +71,7 @@ def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    how = zstandard.ZstdCompressionParameters(window_log=16, chain_log=15, hash_log=15, search_log=5, min_match=5, target_length=32,
+    how = zstandard.ZstdCompressionParameters(window_log=17, chain_log=17, hash_log=17, search_log=5, min_match=5, target_length=32,
                                               strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_dict_id=0)
     d.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=d, compression_params=how)
@@ -87,10 +87,20 @@ class Model:
             share = len(toxic) / max(1, len(toxic) + len(ordinary))
             self.base = float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -30, 30))
             return
-        # the curve is fitted on rows that teach the dictionaries nothing
+        # threshold and curve come from rows that teach the dictionaries nothing;
+        # the dictionaries are then trained again on all rows
         apart = [[ws for i, ws in enumerate(c) if i % 4 == 3] for c in (ordinary, toxic)]
         apart = apart if all(apart) else [ordinary, toxic]
-        ordinary, toxic = ([ws for i, ws in enumerate(c) if i % 4 != 3] or c for c in (ordinary, toxic))
+        self._train(*([ws for i, ws in enumerate(c) if i % 4 != 3] or c for c in (ordinary, toxic)))
+        measure = Distance(self)
+        pool = sorted({w for ws in apart[0] for w in windows(ws)}, key=zlib.crc32)[:CALIBRATE]
+        self.least = measure.least = max(2, int(np.quantile([measure.window(w) for w in pool] or [2], 1 - FALSE_SHARE)))
+        seen = [measure.document(ws) for c in apart for ws in c]
+        x, y = np.array(seen, float), np.repeat([0, 1], [len(c) for c in apart])
+        self.slopes, self.base = labelled.logistic(x, y, np.where(y == 1, np.sqrt((len(y) - y.sum()) / y.sum()), 1.0))
+        self._train(ordinary, toxic)
+
+    def _train(self, ordinary: list[list[bytes]], toxic: list[list[bytes]]) -> None:
         known = {w for ws in ordinary for w in ws}
         near = defaultdict(set)
         for ws in toxic:
@@ -105,12 +115,6 @@ class Model:
         pool = sorted({w for ws in ordinary for w in windows(ws)}, key=zlib.crc32)
         self.plain = dictionary(pool[:TRAIN], ORDINARY_BYTES, 48)
         self.front = dictionary([b"".join(marks[i : i + 8]) for i in range(0, len(marks), 8)], TOXIC_BYTES, 32)
-        measure = Distance(self)
-        rest = pool[TRAIN : TRAIN + CALIBRATE] or pool[:CALIBRATE]
-        self.least = measure.least = max(2, int(np.quantile([measure.window(w) for w in rest] or [2], 1 - FALSE_SHARE)))
-        seen = [measure.document(ws) for c in apart for ws in c]
-        x, y = np.array(seen, float), np.repeat([0, 1], [len(c) for c in apart])
-        self.slopes, self.base = labelled.logistic(x, y, np.where(y == 1, np.sqrt((len(y) - y.sum()) / y.sum()), 1.0))
 
     def score(self, seen: np.ndarray) -> np.ndarray:
         return labelled.sigmoid((seen @ self.slopes if self.slopes is not None else 0.0) + self.base + np.zeros(len(seen)))
