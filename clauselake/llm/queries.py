@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe_stream, mix_sources, quality, substring_dedup, token_counts, toxicity
+from clauselake.llm import bpe_stream, mix_sources, near_dup, quality, substring_dedup, token_counts, toxicity
 from clauselake.session import ship_package
 
 
@@ -39,13 +39,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.code_digests(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op2_quality_classifier, op4_token_counts, op5_mix_sources, op6_toxicity, op10_bpe_coding)}
+        op1_substring_dedup, op2_quality_classifier, op4_token_counts, op5_mix_sources, op6_toxicity,
+        op9_minhash_near_dup, op10_bpe_coding)}
 
 
 def oracle_sql() -> dict[str, str]:
