@@ -47,7 +47,9 @@ WORD_END = "</w>"
 BLOCK = 1024
 #: Characters of a text normalised and split at a time (cut at white space).
 PIECE = 1 << 16
-CACHE = 200_000
+CACHE = 400_000
+#: Sequences up to this length are merged by scanning.
+_SHORT, _NONE = 48, 1 << 40
 #: Ids decoded at a time.
 IDS = 1 << 15
 
@@ -91,9 +93,26 @@ def lookahead(merges: list[tuple[str, str]]) -> int:
 
 def merge(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """Tokens of a whole symbol sequence: lowest rank first, from the left."""
+    if len(parts) > _SHORT:
+        return _merge_long(parts, ranks)
+    parts = list(parts)
+    of = ranks.get
+    found = [of(p, _NONE) for p in zip(parts, parts[1:])]
+    while found and (low := min(found)) != _NONE:
+        i = found.index(low)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del found[i]
+        if i:
+            found[i - 1] = of((parts[i - 1], parts[i]), _NONE)
+        if i < len(found):
+            found[i] = of((parts[i], parts[i + 1]), _NONE)
+    return parts
+
+
+def _merge_long(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The same with a heap, for sequences where scanning for the lowest rank
+    would take longest."""
     n = len(parts)
-    if n < 2:
-        return parts
     parts = list(parts)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
@@ -156,15 +175,16 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """Ids of one pre-token."""
-        parts = [self.v.chars[b] for b in word.encode()]
-        machine = WordTransducer(self.v.ranks, self.v.lookahead)
-        tokens: list[str] = []
+        parts = list(word if word.isascii() and word.isalnum() else map(self.v.chars.__getitem__, word.encode()))
         if len(parts) > self.v.lookahead + self.block:
+            machine = WordTransducer(self.v.ranks, self.v.lookahead)
+            tokens: list[str] = []
             for i in range(0, len(parts), self.block):
                 tokens += machine.feed(parts[i : i + self.block])
-        else:
-            machine.held = parts
-        tokens += machine.finish()
+            tokens += machine.finish()
+        else:  # all of it is within what the transducer holds back
+            parts[-1] += WORD_END
+            tokens = merge(parts, self.v.ranks)
         return struct.pack(f"<{len(tokens)}I", *map(self.v.ids.__getitem__, tokens))
 
     def normal(self, text: str) -> str:
@@ -191,8 +211,9 @@ class Encoder:
                 words = self.split.findall(self.normal(piece))
                 if len(cache) > CACHE:
                     cache.clear()
-                for w in set(words) - cache.keys():
-                    cache[w] = self.word(w)
+                for w in set(words):
+                    if w not in cache:
+                        cache[w] = self.word(w)
                 yield b"".join(map(cache.__getitem__, words))
 
 
