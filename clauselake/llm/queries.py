@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe_stream, mix_sources, near_dup, quality, substring_dedup, token_counts, toxicity
+from clauselake.llm import bpe_stream, mix_sources, near_dup, quality, substring_dedup, token_counts, topk_search, toxicity
 from clauselake.session import ship_package
 
 
@@ -27,6 +27,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -49,7 +53,7 @@ def op10_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op2_quality_classifier, op4_token_counts, op5_mix_sources, op6_toxicity,
+        op1_substring_dedup, op2_quality_classifier, op3_exact_topk, op4_token_counts, op5_mix_sources, op6_toxicity,
         op9_minhash_near_dup, op10_bpe_coding)}
 
 
