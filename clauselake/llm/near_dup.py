@@ -108,8 +108,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, hi - lo)
             items, at = sets(part.column("text"))
             size = np.diff(at)
-            sums = [np.concatenate(([0], np.cumsum(scan.mix(items ^ np.uint64(s)), dtype=np.uint64))) for s in (1, 2)]
-            k1, k2 = ((s[at[1:]] - s[at[:-1]]).astype(np.uint64).view(np.int64) for s in sums)
+            sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(scan.mix(items ^ np.uint64(s)), dtype=np.uint64))) for s in (1, 2)]
+            k1, k2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
             sig = signatures(items, at)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(k1), pa.array(k2),
@@ -257,3 +257,24 @@ def keep_one(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     for."""
     gone = groups(documents, text, doc_id, percent).filter("not kept").select(F.col("doc_id").alias("_nd_id"))
     return documents.join(gone, F.col(f"`{doc_id}`") == F.col("_nd_id"), "left_anti")
+
+
+#: The same groups in DuckDB SQL: all pairs that share a shingle, and the
+#: smallest id that links reach.
+ORACLE_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+'), []::VARCHAR[]) AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p : p + {SHINGLE - 1}], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, least(len(w), 1)) + 1)) AS p FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= {PERCENT} * (x.n + y.n - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT words.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(words.doc_id, coalesce(b, words.doc_id)) AS component_id,
+  words.doc_id <= coalesce(b, words.doc_id) AS kept
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.a = words.doc_id"""

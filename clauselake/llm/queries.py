@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe_stream, mix_sources, near_dup, quality, substring_dedup, token_counts, topk_search, toxicity
+from clauselake.llm import bpe_stream, mix_sources, near_dup, quality, quality_rules, substring_dedup, token_counts, topk_search, toxicity
 from clauselake.session import ship_package
 
 
@@ -43,6 +43,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(_table(spark, sf_dir, "documents"))
 
@@ -54,8 +58,9 @@ def op10_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_quality_classifier, op3_exact_topk, op4_token_counts, op5_mix_sources, op6_toxicity,
-        op9_minhash_near_dup, op10_bpe_coding)}
+        op7_quality_rules, op9_minhash_near_dup, op10_bpe_coding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mix_sources.ORACLE_SQL}
+    return {"op1_substring_dedup": substring_dedup.ORACLE_SQL, "op3_exact_topk": topk_search.ORACLE_SQL,
+            "op5_mix_sources": mix_sources.ORACLE_SQL, "op9_minhash_near_dup": near_dup.ORACLE_SQL}

@@ -108,8 +108,10 @@ def windows(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """Hash of each run of ``k`` consecutive word hashes (len(h) - k + 1)."""
     n = max(0, len(h) - k + 1)
     out = np.full(n, salt + k, np.uint64)
-    for j in range(k):
-        out += h[j : j + n] * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1) + 2) % 2**64)
+    for j in range(k):  # not linear in the words, so no rearrangement cancels out
+        out += h[j : j + n]
+        out *= _M2
+        out ^= out >> np.uint64(29)
     return mix(out)
 
 

@@ -311,3 +311,18 @@ def remove_repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_
     columns = documents.columns
     marked = _marked(documents, text, doc_id, k, m, [c for c in columns if c != text])
     return marked.mapInArrow(lambda it: _rewrite(it, text, columns), documents.schema)
+
+
+#: The same digest in DuckDB SQL, window by window.
+ORACLE_SQL = rf"""
+WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'), []::VARCHAR[]) AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS p FROM words),
+windows AS (SELECT doc_id, p, array_to_string(w[p : p + {WINDOW - 1}], ' ') AS s FROM starts),
+firsts AS (SELECT s, min(doc_id) AS least FROM windows GROUP BY s),
+repeats AS (SELECT doc_id, p FROM windows JOIN firsts USING (s) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + {WINDOW})) AS p FROM repeats),
+marked AS (SELECT doc_id, list(p) AS gone FROM gone GROUP BY doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w
+    ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM words LEFT JOIN marked USING (doc_id)"""
