@@ -250,31 +250,36 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
-def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], path: str, keep: bool) -> Iterator[pa.RecordBatch]:
     vocabulary = Vocabulary(path)
     encode = Encoder(vocabulary)
     for batch in batches:
-        rows = []
+        rows, whole = [], []
         for value in batch.column("text"):
             coded, text, n = hashlib.sha256(), hashlib.sha256(), 0
             back = Decoder(vocabulary)
+            parts = []
             for part in encode(value.as_py() or ""):
                 coded.update(part)
+                if keep:
+                    parts.append(part)
                 ids = np.frombuffer(part, "<u4")
                 n += len(ids)
                 for i in range(0, len(ids), IDS):
                     text.update(back.feed(ids[i : i + IDS].tolist()).encode())
             text.update(back.finish().encode())
             rows.append((n, coded.hexdigest(), text.hexdigest()))
+            whole.append(b"".join(parts))
         n, coded, text = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(text, pa.string())],
-                                         names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        out = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(text, pa.string()), pa.array(whole, pa.binary())]
+        yield pa.RecordBatch.from_arrays(out[: 4 + keep], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep])
 
 
-def code_digests(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        lambda it: _digests(it, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def code_digests(documents: DataFrame, path: str, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, and with
+    ``ids`` its ids as little-endian unsigned 32-bit integers."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if ids else "")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _digests(it, path, ids), schema)
 
 
 def _ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe_stream, mix_sources, near_dup, quality, quality_rules, substring_dedup, token_counts, topk_search, toxicity
+from clauselake.llm import bpe_stream, html_text, mix_sources, near_dup, quality, quality_rules, substring_dedup, token_counts, topk_search, toxicity
 from clauselake.session import ship_package
 
 
@@ -47,6 +47,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_quality_classifier, op3_exact_topk, op4_token_counts, op5_mix_sources, op6_toxicity,
-        op7_quality_rules, op9_minhash_near_dup, op10_bpe_coding)}
+        op7_quality_rules, op8_html_text, op9_minhash_near_dup, op10_bpe_coding)}
 
 
 def oracle_sql() -> dict[str, str]:
