@@ -18,8 +18,8 @@ linked if 100 * |intersection| >= 85 * |union|.
    them by smallest neighbours and pointer jumping.
 6. Buckets that still hold more than one component are compared in full, block
    by block, between components: pairs whose signatures agree on at least
-   ``AGREE`` of the slots are verified as well, and grouping is done again.  No
-   bucket is capped.
+   ``AGREE`` of the slots are verified inside the block, only links leave it,
+   and grouping is done again.  No bucket is capped.
 
 Signatures, bucket members and texts of candidates are written to the shared
 checkpoint folder and read from there, so a lost executor costs one step.
@@ -52,8 +52,8 @@ SLOTS = BANDS * ROWS
 #: deviations (of plain MinHash, SuperMinHash has less) under the threshold.
 AGREE = 0.72
 SLICE_BYTES = 1 << 20
-#: Members of a block in the comparison of a bucket's components.
-BLOCK = 512
+#: Members and shingles of a block in the comparison of a bucket's components.
+BLOCK, SHINGLES = 512, 400_000
 
 
 def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -185,34 +185,55 @@ def components(links: DataFrame) -> DataFrame:
             return edges
 
 
-def _cross(table: pa.Table, slots: int) -> pa.Table:
-    """Pairs between components of one block (or of two) of a bucket."""
-    side, doc, label, size = (table.column(c).to_numpy() for c in ("side", "doc", "label", "n"))
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(doc), slots)
+def _cross(table: pa.Table, percent: int, bands: int) -> pa.Table:
+    """Links between components of one block (or of two) of a bucket.  A pair
+    is looked at in the first band that both share, and not at all once links
+    found here have joined its components."""
+    side, doc, label, size = (table.column(c).to_numpy().copy() for c in ("side", "doc", "label", "n"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(doc), -1)
+    packed, band, known = table.column("packed").to_pylist(), table.column("band")[0].as_py(), {}
     one = len(set(side.tolist())) < 2
     left = np.flatnonzero(side == side.min())
     right = left if one else np.flatnonzero(side == side.max())
-    a, b = [], []
-    for i in left.tolist():
-        far = right[(label[right] != label[i]) & (100 * np.minimum(size[right], size[i]) >= PERCENT * np.maximum(size[right], size[i]))]
-        far = far[doc[far] > doc[i]] if one else far
-        far = far[(sig[far] == sig[i]).mean(1) >= AGREE] if len(far) else far
-        a.append(np.minimum(doc[far], doc[i]))
-        b.append(np.maximum(doc[far], doc[i]))
-    return pa.table({"a": pa.array(np.concatenate(a) if a else [], pa.int64()), "b": pa.array(np.concatenate(b) if b else [], pa.int64())})
+    out = []
 
+    def members(i: int) -> np.ndarray:
+        if i not in known:
+            known[i] = _set(packed[i])
+        return known[i]
 
-def rest_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs to verify in buckets that hold more than one component."""
+    for i in left.tolist():
+        far = right[(label[right] != label[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
+        far = far[doc[far] > doc[i]] if one else far
+        if not len(far):
+            continue
+        same = sig[far] == sig[i]
+        first = same.reshape(len(far), bands, -1).all(2).argmax(1)
+        for j in far[(same.mean(1) >= AGREE) & (first == band)].tolist():
+            if label[i] == label[j]:
+                continue
+            both = len(np.intersect1d(members(i), members(j), assume_unique=True))
+            if both and 100 * both >= percent * (size[i] + size[j] - both):
+                out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+                label[label == label[j]] = label[i]
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+
+def rest_links(members: DataFrame, labels: DataFrame, signed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between components that still share a bucket: each such bucket is
+    cut into blocks of bounded members and shingles, and each two blocks (and
+    each one with itself) are compared in a task of their own."""
     named = members.join(labels.select(F.col("u").alias("doc"), F.col("v").alias("_v")), "doc", "left").select(
-        "key", "doc", "n", F.coalesce("_v", "doc").alias("label"))
-    mixed = (named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"))
-             .filter("lo < hi and c > 2").select("key", F.ceil(F.col("c") / BLOCK).alias("blocks")))
+        "key", "band", "doc", "n", F.coalesce("_v", "doc").alias("label"))
+    size = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("total") / SHINGLES))
+    mixed = (named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("total"))
+             .filter("lo < hi and c > 2").select("key", size.alias("blocks")))
     rows = named.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "doc", "label", "n")
-    cells = cells.join(signed.select(F.col("rep").alias("doc"), "sig"), "doc")
-    return cells.groupBy("key", "i", "j").applyInArrow(lambda t: _cross(t, SLOTS), "a long, b long").distinct()
+        "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "doc", "label", "n")
+    cells = cells.join(signed.select(F.col("rep").alias("doc"), "sig"), "doc").join(texts.select(F.col("id").alias("doc"), "packed"), "doc")
+    bands = BANDS
+    return cells.groupBy("key", "i", "j").applyInArrow(lambda t: _cross(t, percent, bands), "a long, b long").distinct()
 
 
 def groups(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -229,7 +250,7 @@ def groups(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", per
     reps = stored(signed.filter("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(
         F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "classes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    bands = reps.select(F.col("rep").alias("doc"), "n", F.explode(keys).alias("key"))
+    bands = reps.select(F.col("rep").alias("doc"), "n", F.posexplode(keys).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("c")).filter("c > 1").select("key", "pivot")
     members = stored(bands.join(shared, "key"), "members")
     pivots = members.filter("doc = pivot").select(F.col("pivot").alias("p"), F.col("n").alias("pn")).distinct()
@@ -241,8 +262,7 @@ def groups(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", per
     texts = stored(texts, "texts")
     links = stored(verified(texts, pairs, percent), "links")
     found = components(links)
-    more = rest_pairs(members, found, reps).join(pairs, ["a", "b"], "left_anti")
-    more = stored(verified(texts, more, percent), "more-links")
+    more = stored(rest_links(members, found, reps, texts, percent), "more-links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     whole = reps.select("n", "k1", "k2", "rep").join(found.select(F.col("u").alias("rep"), "v"), "rep", "left").select(
