@@ -39,45 +39,3 @@ def let_(value: Column, body) -> Column:
     no common-subexpression elimination, so repeated references to one
     expression would otherwise be evaluated each time."""
     return F.get(F.transform(F.array(value), body), 0)
-
-
-_MEMO_MAX = 512
-
-
-def memo_columns(fn):
-    """Memoise a Column builder on its arguments' expression text.
-
-    The per-document operators build large expression trees through py4j;
-    the trees do not depend on the data, so a streaming micro-batch or a
-    small request reuses them instead of paying the construction again.
-    Keys include the active SparkContext, so a new session starts afresh;
-    lambda variables have unique generated names, so keys never collide."""
-    import functools
-
-    from pyspark import SparkContext
-
-    cache: dict = {}
-
-    def key_of(a):
-        if isinstance(a, Column):
-            return ("col", str(a))
-        if isinstance(a, (list, tuple)):
-            return tuple(key_of(x) for x in a)
-        hash(a)
-        return a
-
-    @functools.wraps(fn)
-    def wrapper(*args, **kw):
-        try:
-            sc = SparkContext._active_spark_context
-            key = (sc.applicationId if sc is not None else None, tuple(key_of(a) for a in args),
-                   tuple(sorted((k, key_of(v)) for k, v in kw.items())))
-        except TypeError:
-            return fn(*args, **kw)
-        hit = cache.get(key)
-        if hit is None:
-            if len(cache) >= _MEMO_MAX:
-                cache.clear()
-            hit = cache[key] = fn(*args, **kw)
-        return hit
-    return wrapper

@@ -10,7 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clauselake import vocab as V
-from clauselake.functions.arrays import memo_columns
 
 SEP = "\u0001"  # sentence break marker; never present in clean text
 
@@ -64,7 +63,6 @@ def squash(c) -> Column:
 
 
 # --- N1 / N2 / N3 ------------------------------------------------------------
-@memo_columns
 def clean_app(c) -> Column:
     """NUL out, whitespace squashed, punctuation fixes in fixed order.
     ``replace`` is a single left-to-right non-overlapping pass, like Python."""
@@ -83,7 +81,6 @@ def clean_basic(c) -> Column:
     return F.when(t != "", t)
 
 
-@memo_columns
 def clean_summary(c) -> Column:
     """The TF-IDF summariser's pre-processing."""
     t = F.regexp_replace(col_(c), f"{V.WS}+", " ")
@@ -130,8 +127,10 @@ def fmt_kb(x) -> Column:
 
 
 def fmt_title(x) -> Column:
-    """Title case (``initcap``; capitalises after whitespace only)."""
-    return F.initcap(col_(x))
+    """Python ``str.title()``: the first letter of each run of letters in
+    upper case, the others in lower case (so also after ``-`` and ``'``)."""
+    runs = F.regexp_extract_all(col_(x), F.lit(r"\p{L}+|\P{L}+"), 0)
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(r.substr(F.lit(2), F.length(r))))), "")
 
 
 # --- G7 / G8 / F1 ------------------------------------------------------------
@@ -155,7 +154,6 @@ def date_mentions(c) -> Column:
     return F.regexp_extract_all(col_(c), F.lit(V.DATE_PATTERN), 0)
 
 
-@memo_columns
 def sentence_array(text) -> Column:
     """G1: sentences of a text (break after [.!?] + whitespace; a trailing
     unterminated piece is a sentence), each stripped, empties dropped."""

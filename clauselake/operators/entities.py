@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake import vocab as V
-from clauselake.functions.arrays import empty_array, let_, memo_columns, with_arrays
+from clauselake.functions.arrays import empty_array, let_, with_arrays
 from clauselake.functions.text import col_, lit_str_array, sentence_array, span_context, word_tokens
 
 ENTITY = ("struct<source:string,ord:int,text:string,label:string,confidence:double,"
@@ -57,7 +57,6 @@ def prefix_starts(lengths: Column, block: int = SPAN_BLOCK) -> Column:
     return let_(lengths, with_lengths)
 
 
-@memo_columns
 def regex_spans(text, pattern: str) -> Column:
     """All non-overlapping matches of ``pattern`` as struct(text, start, end)
     (0-based, end exclusive), in text order.
@@ -87,7 +86,6 @@ def _alternation(patterns) -> str:
 
 
 # --- E1 ----------------------------------------------------------------------
-@memo_columns
 def pattern_entity_array(text, rules=V.PATTERN_ENTITY_RULES, confidence: float = 0.9,
                          source: str = "ner") -> Column:
     """E1 (re-aimed statistical NER): DATE / AMOUNT / PARTY patterns, in text
@@ -114,7 +112,6 @@ def party_mentions(text) -> Column:
 
 
 # --- E2 / E3 -----------------------------------------------------------------
-@memo_columns
 def gazetteer_array(text, terms, context: str, source: str, confidence: float = 0.8) -> Column:
     """One entity per term whose lower-case form occurs in the
     lower-cased text, in list order."""
@@ -143,7 +140,11 @@ def legal_term_regex() -> str:
     return rf"(?iu)\b(?:{alts})\b"
 
 
-@memo_columns
+def _word_confidence(mention: Column) -> Column:
+    """Confidence of the rule NER: min(0.5 + 0.1 * words, 0.9)."""
+    return F.least(F.lit(0.5) + F.size(F.split(mention, f"{V.WS}+")) * F.lit(0.1), F.lit(0.9))
+
+
 def legal_term_array(text, existing: Column | None = None) -> Column:
     """Legal-term ruler, label LEGAL_TERM, confidence
     min(0.5 + 0.1 * words, 0.9).  Mentions that overlap an ``existing``
@@ -152,7 +153,7 @@ def legal_term_array(text, existing: Column | None = None) -> Column:
     spans = regex_spans(text, legal_term_regex())
     ents = F.transform(spans, lambda s, i: _entity(
         "legal", i, s["text"], F.lit("LEGAL_TERM"),
-        F.least(F.lit(0.5) + F.size(F.split(s["text"], f"{V.WS}+")) * F.lit(0.1), F.lit(0.9)),
+        _word_confidence(s["text"]),
         span_context(text, s["start"], s["end"], 50), s["start"], s["end"]))
     if existing is None:
         return ents
@@ -161,7 +162,6 @@ def legal_term_array(text, existing: Column | None = None) -> Column:
 
 
 # --- E5 ----------------------------------------------------------------------
-@memo_columns
 def cue_entity_array(first_sentences: Column) -> Column:
     """E5: in each of the first five sentences, an 'Introduction' entity when
     a token is an intro cue and a 'Conclusion' entity when a token is a
@@ -211,9 +211,10 @@ def entities(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
 
 def legal_entities(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """E1 + E4 (the rule NER model): pattern entities, then legal terms that
-    do not overlap them."""
+    do not overlap them, all with the confidence of their word count."""
     d = with_arrays(df.select(id_col, text_col), e1=pattern_entity_array(F.col(text_col)))
-    d = d.select(id_col, F.concat("e1", legal_term_array(F.col(text_col), F.col("e1"))).alias("e"))
+    ruled = F.transform("e1", lambda e: e.withField("confidence", _word_confidence(e["text"])))
+    d = d.select(id_col, F.concat(ruled, legal_term_array(F.col(text_col), F.col("e1"))).alias("e"))
     return d.select(id_col, F.inline("e"))
 
 

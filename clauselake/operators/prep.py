@@ -110,19 +110,30 @@ def split_rows(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_col: st
 
 def split_stratified(df: DataFrame, label_col: str = "label", test_size: float = 0.2, seed: int = 42,
                      id_col: str = "doc_id") -> DataFrame:
-    """Per label, round(test_size * n_label) test rows (plain D4 when a
-    single label).  The per-label cut keys are a small table (one row per
-    label) joined back by broadcast after its size is checked."""
+    """Per label (any type; NULL is one of them), round(test_size *
+    n_label) test rows by the seeded md5 key; plain D4 when there is a single
+    label.
+
+    Keys are range-partitioned by (label, key); each row's place in its label
+    is its place in its partition plus the label's rows in earlier partitions,
+    which come from a table of counts by (label, partition).  A label with a
+    third of all rows spreads over partitions, no label list is collected, and
+    the joins compare labels as they are, null-safely."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     keyed = df.withColumn("_k", split_key(id_col, seed))
-    sizes = {r[0]: r[1] for r in keyed.groupBy(label_col).count().collect()}
-    if len(sizes) <= 1:
+    if len(keyed.select(label_col).distinct().limit(2).collect()) <= 1:
         return split_rows(df, test_size, seed, id_col)
-    take = {k: int(math.floor(test_size * v + 0.5)) for k, v in sizes.items()}
-    cuts = _cuts(keyed.select(label_col, "_k", id_col), label_col, id_col, take)
-    spark = df.sparkSession
-    ctab = spark.createDataFrame([(str(k), v[0], v[1]) for k, v in cuts.items()],
-                                 f"_lab string, _ck string, _cid {dict(df.dtypes)[id_col]}")
-    ctab = F.broadcast(ctab) if len(cuts) <= 100_000 else ctab
-    j = keyed.join(ctab, keyed[label_col].cast("string") == ctab["_lab"], "left")
-    is_test = F.col("_ck").isNotNull() & _le(F.col("_ck"), F.col("_cid"), id_col)
-    return j.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_k", "_lab", "_ck", "_cid")
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = keyed.repartitionByRange(parts, label_col, "_k", id_col).withColumn("_pid", F.spark_partition_id())
+    rows = rows.checkpoint(eager=True)  # freeze the range boundaries (reliable storage)
+    counts = rows.groupBy(F.col(label_col).alias("_lab"), F.col("_pid").alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    of_label = Window.partitionBy("_lab")
+    before = F.coalesce(F.sum("_n").over(of_label.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    take = F.floor(F.lit(test_size) * F.sum("_n").over(of_label) + 0.5)
+    counts = counts.select("_lab", "_part", before.alias("_before"), take.alias("_take"))
+    place = F.row_number().over(Window.partitionBy("_pid", label_col).orderBy("_k", id_col))
+    ranked = rows.withColumn("_rn", place)
+    same = (F.col("_pid") == F.col("_part")) & F.col(label_col).eqNullSafe(F.col("_lab"))
+    is_test = F.col("_before") + F.col("_rn") <= F.col("_take")
+    return ranked.join(counts, same).withColumn("split", F.when(is_test, "test").otherwise("train")).select(*df.columns, "split")

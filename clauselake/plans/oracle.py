@@ -148,7 +148,8 @@ def legal_sql(src: str) -> str:
     """E1 + E4 (legal terms that do not overlap an E1 span)."""
     return f"""WITH e1 AS ({e1_sql(src)}),
 l AS ({spans_sql(src, legal_regex())})
-SELECT doc_id, 'ner' AS source, ord, text, label, start, "end", 0.9::DOUBLE AS confidence FROM e1
+SELECT doc_id, 'ner' AS source, ord, text, label, start, "end",
+  least(0.5::DOUBLE + len(regexp_split_to_array(text, {q(WS + '+')})) * 0.1::DOUBLE, 0.9::DOUBLE) AS confidence FROM e1
 UNION ALL
 SELECT l.doc_id, 'legal', l.ord, l.m, 'LEGAL_TERM', l.start, CAST(l.start + length(l.m) AS INTEGER),
   least(0.5::DOUBLE + len(regexp_split_to_array(l.m, {q(WS + '+')})) * 0.1::DOUBLE, 0.9::DOUBLE)
@@ -427,15 +428,14 @@ FROM {C} c"""
   '","modified_date":"' || {iso('modified_at')} || '"}}' AS metadata_json FROM {C} c"""
     o["s12_pages_to_text"] = f"SELECT page_id, url, {clean_basic(html_text('html'))} AS text FROM pages"
     o["s13_assemble_pages"] = f"""SELECT conv_id AS doc_id, CAST(count(*) AS INTEGER) AS total_pages,
-  string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id
-  HAVING sum(strlen(coalesce(text, ''))) <= {V.MAX_FILE_BYTES}"""
+  string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"""
     o["s14_assemble_paragraphs"] = f"""SELECT doc_id, string_agg(coalesce(text, ''), chr(10) ORDER BY para_no) AS text,
   CAST(count(*) AS INTEGER) AS total_paragraphs FROM {CONV_PARAS} p WHERE {strip('text')} <> ''
-  GROUP BY doc_id HAVING sum(strlen(coalesce(text, ''))) <= {V.MAX_FILE_BYTES}"""
+  GROUP BY doc_id"""
     o["s14_assemble_paragraphs_keep_blank"] = f"""SELECT doc_id,
   {strip("string_agg(coalesce(text, ''), chr(10) ORDER BY para_no)")} AS text,
   CAST(count(*) AS INTEGER) AS total_paragraphs FROM {CONV_PARAS} p
-  GROUP BY doc_id HAVING sum(strlen(coalesce(text, ''))) <= {V.MAX_FILE_BYTES}"""
+  GROUP BY doc_id"""
     o["s15_doc_properties"] = f"""SELECT doc_id,
   coalesce(CASE WHEN doc_id % 4 <> 0 THEN 'Contract ' || CAST(doc_id AS VARCHAR) END, '') AS title,
   coalesce(CASE WHEN doc_id % 3 <> 0 THEN c_name END, '') AS author,
@@ -481,7 +481,7 @@ SELECT {sec_cols} FROM ({whole_sql(D)}) w WHERE doc_id NOT IN (SELECT doc_id FRO
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {C} c) x) y WHERE {hdr}"""
     toks = r"regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1)"
     o["g8_word_tokens"] = f"""SELECT doc_id, CAST(len({toks}) AS INTEGER) AS n_tokens,
-  array_to_string(({toks})[1:5], ' ') AS head FROM documents"""
+  md5(array_to_string({toks}, ' ')) AS tokens_md5 FROM documents"""
     o["g9_key_points"] = f"""SELECT doc_id, CAST(unnest(range(len(kp))) AS INTEGER) AS kp_no, unnest(kp) AS key_point
 FROM (SELECT doc_id, list_filter({sents('text')}, lambda z: {wc('z')} > 5)[1:3] AS kp FROM {C} c) x"""
     # classification
@@ -591,7 +591,8 @@ SELECT doc_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY m
 FROM l"""
     # composite
     o["x1_analyze_contracts"] = x1_sql()
-    o["x1_analyze_documents"] = x1_sql(DOCS_AS_CONTRACTS)
+    o["x1_analyze_documents"] = x1_sql(DOCS_AS_CONTRACTS.replace("['pdf', 'docx', 'txt'][doc_id % 3 + 1]", "['pdf', 'docx'][doc_id % 2 + 1]"))
+    o["x4_stream_contracts"] = f"SELECT filename, n_entities, document_type FROM ({x1_sql()}) a"
     return o
 
 

@@ -110,22 +110,12 @@ def pages_to_text(pages: DataFrame) -> DataFrame:
 
 
 # --- S13 / S14 ---------------------------------------------------------------
-def _bounded_docs(parts: DataFrame, doc_col: str, text_col: str, max_bytes: int) -> DataFrame:
-    """Parts of documents whose assembled size is within ``max_bytes``
-    (the admission limit), so no group collected below is unbounded.
-    Sizes come from a partial aggregation; the semi join shares the
-    document-key partitioning with the group-by that follows."""
-    sizes = parts.groupBy(doc_col).agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit("")))).alias("_b"))
-    ok = sizes.filter(F.col("_b") <= max_bytes).select(doc_col)
-    return parts.join(ok, doc_col, "left_semi")
-
-
 def assemble_pages(doc_pages: DataFrame, doc_col: str = "doc_id", page_col: str = "page",
-                   text_col: str = "text", max_bytes: int = V.MAX_FILE_BYTES) -> DataFrame:
+                   text_col: str = "text") -> DataFrame:
     """Pages in page order joined with newlines (NULL page -> ""),
-    total_pages, and the page texts as an array."""
-    p = _bounded_docs(doc_pages, doc_col, text_col, max_bytes)
-    g = p.groupBy(doc_col).agg(F.sort_array(F.collect_list(F.struct(
+    total_pages, and the page texts as an array.  One row is one document,
+    whatever its size (the size rule belongs to admission, S3)."""
+    g = doc_pages.groupBy(doc_col).agg(F.sort_array(F.collect_list(F.struct(
         F.col(page_col).alias("n"), F.coalesce(F.col(text_col), F.lit("")).alias("t")))).alias("_p"))
     pages = F.transform("_p", lambda x: x["t"])
     return g.select(doc_col, F.array_join(pages, "\n").alias("text"),
@@ -133,13 +123,11 @@ def assemble_pages(doc_pages: DataFrame, doc_col: str = "doc_id", page_col: str
 
 
 def assemble_paragraphs(paras: DataFrame, doc_col: str = "doc_id", order_col: str = "para_no",
-                        text_col: str = "text", keep_blank: bool = False,
-                        max_bytes: int = V.MAX_FILE_BYTES) -> DataFrame:
+                        text_col: str = "text", keep_blank: bool = False) -> DataFrame:
     """Non-blank paragraphs joined with newlines + total_paragraphs.
     ``keep_blank`` joins every paragraph and strips the result (the
     analyser's variant)."""
     p = paras if keep_blank else paras.filter(strip(F.col(text_col)) != "")
-    p = _bounded_docs(p, doc_col, text_col, max_bytes)
     g = p.groupBy(doc_col).agg(F.sort_array(F.collect_list(F.struct(
         F.col(order_col).alias("n"), F.coalesce(F.col(text_col), F.lit("")).alias("t")))).alias("_p"))
     text = F.array_join(F.transform("_p", lambda x: x["t"]), "\n")

@@ -24,16 +24,16 @@ def read_contracts(spark: SparkSession, path: str,
     return spark.read.parquet(path).select(*columns)
 
 
-def documents_as_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents_as_contracts(spark: SparkSession, sf_dir: str,
+                           suffixes: tuple[str, ...] = ("pdf", "docx")) -> DataFrame:
     """``documents`` in the ``contracts_in`` shape.
 
     The table carries no file names, so a deterministic one is derived from
-    ``doc_id`` (pdf / docx / txt in turn) to exercise the suffix rule of the
-    admission filter; ``file_size`` is the UTF-8 byte length of the text.
+    ``doc_id`` (the suffixes in turn); ``file_size`` is the UTF-8 byte length
+    of the text.
     """
     d = table(spark, sf_dir, "documents")
-    suffix = F.element_at(F.array(F.lit("pdf"), F.lit("docx"), F.lit("txt")),
-                          (F.col("doc_id") % 3 + 1).cast("int"))
+    suffix = F.element_at(F.array(*map(F.lit, suffixes)), (F.col("doc_id") % len(suffixes) + 1).cast("int"))
     return d.select(
         "doc_id",
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("."), suffix).alias("filename"),

@@ -41,6 +41,59 @@ def test_store_upsert_and_search(spark):
     assert s.first().summary.status == "success"
 
 
+def test_store_faults_are_not_taken_for_no_store(spark):
+    import pytest
+
+    path = work_dir(spark, "store-null")
+    a = ST.to_store_rows(analyze(contracts_in(spark, SF_SMALL).limit(2), "2024-01-01 00:00:00"), 1)
+    with pytest.raises(Exception, match="no key"):
+        ST.save_analysis(a.withColumn("analyzed_at", F.lit(None).cast("timestamp")), path)
+    assert not ST._exists(spark, path)
+    with pytest.raises(Exception):
+        ST._exists(spark, "nosuchscheme://x/y")
+
+
+def test_assembly_keeps_documents_of_any_size(spark):
+    pages = spark.createDataFrame([(1, n, "x" * 3_000_000) for n in range(4)] + [(2, 0, "y")], "doc_id long, page long, text string")
+    assert {r.doc_id: len(r.text) for r in S.assemble_pages(pages).collect()} == {1: 12_000_003, 2: 1}
+
+
+def test_stratified_split_of_any_label_type(spark):
+    rows = [(i, [True, False, None][i % 3], i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, flag boolean, number int")
+    for label, sizes in (("flag", {True: 40, False: 40, None: 40}), ("number", {0: 60, 1: 60})):
+        got = D.split_stratified(df, label).filter("split = 'test'").groupBy(label).count().collect()
+        assert {r[0]: r["count"] for r in got} == sizes
+
+
+def test_equal_column_names_of_two_tables(spark):
+    from clauselake.functions.text import sentence_array
+
+    a, b = (spark.createDataFrame([(t,)], "t string") for t in ("One. Two.", "Three."))
+    assert a.select(sentence_array(a["t"])).first()[0] == ["One.", "Two."]
+    assert b.select(sentence_array(b["t"])).first()[0] == ["Three."]
+
+
+def test_search_with_a_backslash(spark):
+    from clauselake.operators.filters import search_contracts
+
+    s = spark.createDataFrame([("a\\b.pdf", None, None, 1), ("ab.pdf", None, None, 2)],
+                              "filename string, summary struct<summary:string>, metadata map<string,string>, analyzed_at int")
+    assert [r.filename for r in search_contracts(s, "a\\b").collect()] == ["a\\b.pdf"]
+
+
+def test_late_contracts_are_stored(spark):
+    from clauselake.streaming.intake import stream_contracts
+
+    base = work_dir(spark, "stream-late")
+    c = contracts_in(spark, SF_SMALL).limit(3).collect()
+    for n, (row, day) in enumerate(zip(c, ("2024-05-10", "2024-05-11", "2024-01-01"))):
+        one = spark.createDataFrame([row], contracts_in(spark, SF_SMALL).schema).withColumn("submitted_at", F.lit(day).cast("timestamp"))
+        one.write.parquet(f"{base}/in/{n}")
+        stream_contracts(spark, f"{base}/in/*", f"{base}/store", f"{base}/ckpt")
+    assert {r.filename for r in ST.load_analysis(spark, f"{base}/store").collect()} == {r.filename for r in c}
+
+
 def test_annotations_roundtrip(spark):
     a = FX.annotated_corpus(spark, SF_SMALL)
     path = work_dir(spark, "ann-test")
