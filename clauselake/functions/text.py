@@ -112,8 +112,8 @@ def span_context(text, start, end, width: int = 50) -> Column:
 
 
 def fmt_percent(x, dp: int = 1) -> Column:
-    """Python ``f"{x:.{dp}%}"``."""
-    return F.format_string(f"%.{dp}f%%", col_(x) * 100)
+    """Python ``f"{x:.{dp}%}"`` (ties go to the even digit)."""
+    return F.format_string(f"%.{dp}f%%", F.bround(col_(x) * 100.0, dp))
 
 
 def fmt_thousands(x) -> Column:
@@ -123,7 +123,7 @@ def fmt_thousands(x) -> Column:
 
 def fmt_kb(x) -> Column:
     """Python ``f"{n / 1024:.1f} KB"``."""
-    return F.format_string("%.1f KB", col_(x) / 1024.0)
+    return F.format_string("%.1f KB", F.bround(col_(x) / 1024.0, 1))
 
 
 def fmt_title(x) -> Column:

@@ -31,21 +31,26 @@ def warnings_array(entities, sections, ratio) -> Column:
 _SPAN = ["doc_id", "start", "end", "label"]
 
 
+def _flagged(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """Distinct spans with whether they are predicted (``_p``) and gold
+    (``_g``): both sides in one table, one aggregation by span."""
+    both = pred.select(*_SPAN, F.lit(True).alias("_p"), F.lit(False).alias("_g")).unionByName(
+        gold.select(*_SPAN, F.lit(False).alias("_p"), F.lit(True).alias("_g")))
+    return both.groupBy(*_SPAN).agg(F.max("_p").alias("_p"), F.max("_g").alias("_g"))
+
+
 def span_prf(pred: DataFrame, gold: DataFrame, labels=None) -> DataFrame:
     """A2: per-label precision/recall/F1 over distinct span sets, zero-safe,
     plus an 'overall' row = unweighted mean over all labels (seen or not).
 
-    Plan: both sides are de-duplicated (partial aggregation), full outer
-    joined on the span key, counted per label; the label dimension (fixed,
-    7 rows) is broadcast."""
+    Plan: one partial aggregation by span with a flag for each side
+    (``_flagged``), counted per label; the label dimension (fixed, 7 rows) is
+    broadcast."""
     spark = pred.sparkSession
-    p = pred.select(*_SPAN).distinct().withColumn("_p", F.lit(1))
-    g = gold.select(*_SPAN).distinct().withColumn("_g", F.lit(1))
-    j = p.join(g, _SPAN, "full_outer")
-    counts = j.groupBy("label").agg(
-        F.count(F.when(F.col("_p").isNotNull() & F.col("_g").isNotNull(), 1)).alias("tp"),
-        F.count(F.when(F.col("_p").isNotNull() & F.col("_g").isNull(), 1)).alias("fp"),
-        F.count(F.when(F.col("_p").isNull() & F.col("_g").isNotNull(), 1)).alias("fn"))
+    counts = _flagged(pred, gold).groupBy("label").agg(
+        F.count_if(F.col("_p") & F.col("_g")).alias("tp"),
+        F.count_if(F.col("_p") & ~F.col("_g")).alias("fp"),
+        F.count_if(~F.col("_p") & F.col("_g")).alias("fn"))
     labels = labels or [lab for lab, _ in V.ENTITY_TYPES]
     dim = F.broadcast(spark.createDataFrame([(lab,) for lab in labels], "label string"))
     t = dim.join(counts, "label", "left").fillna(0, ["tp", "fp", "fn"])
@@ -77,12 +82,10 @@ def span_prf(pred: DataFrame, gold: DataFrame, labels=None) -> DataFrame:
 
 
 def span_diff(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """A3: tp = pred INTERSECT gold, fp = pred EXCEPT gold, fn = gold EXCEPT
-    pred, as one table with a ``kind`` column."""
-    p, g = pred.select(*_SPAN), gold.select(*_SPAN)
-    return (p.intersect(g).withColumn("kind", F.lit("tp"))
-            .unionByName(p.exceptAll(g).distinct().withColumn("kind", F.lit("fp")))
-            .unionByName(g.exceptAll(p).distinct().withColumn("kind", F.lit("fn"))))
+    """A3: each distinct span with its ``kind``: tp (on both sides), fp (only
+    predicted) or fn (only gold)."""
+    kind = F.when(F.col("_p") & F.col("_g"), "tp").when(F.col("_p"), "fp").otherwise("fn")
+    return _flagged(pred, gold).select(*_SPAN, kind.alias("kind"))
 
 
 # --- A4 ----------------------------------------------------------------------

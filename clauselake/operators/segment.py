@@ -85,21 +85,12 @@ def sentence_sections(df: DataFrame, n: int = 3, text_col: str = "text",
     return _explode_sections(d, id_col, sentence_group_array(F.col("s"), n))
 
 
-def ensure_section(sections: DataFrame, docs: DataFrame, text_col: str = "text",
-                   id_col: str = "doc_id") -> DataFrame:
-    """G4 long form: add the whole-text section for documents that have no
-    row in ``sections`` (anti join on doc id)."""
-    missing = docs.join(sections.select(id_col).distinct(), id_col, "left_anti")
-    extra = missing.select(id_col, F.inline(whole_text_section(F.col(text_col))))
-    return sections.unionByName(extra)
-
-
-def clause_array(text, sep: str = "\n\n") -> Column:
-    """The analyser's section pipeline: G2, else G3 over sentences, else G4."""
-    paras = paragraph_array(text, sep)
-    groups = sentence_group_array(sentence_array(text))
-    chosen = F.when(F.size(paras) > 0, paras).otherwise(groups)
-    return ensure_section_array(chosen, text)
+def ensured_sections(docs: DataFrame, sep: str = "\n\n", text_col: str = "text",
+                     id_col: str = "doc_id") -> DataFrame:
+    """G4 long form: G2's sections, or the whole-text section for documents
+    that have none, in one pass over the documents."""
+    d = with_arrays(docs.select(id_col, text_col), _secs=paragraph_array(F.col(text_col), sep))
+    return _explode_sections(d, id_col, ensure_section_array(F.col("_secs"), F.col(text_col)))
 
 
 # --- G5 ----------------------------------------------------------------------

@@ -238,7 +238,8 @@ def summarize_tfidf(df: DataFrame, max_length: int = 150, max_features: int = 10
     tf = tf.withColumn("df", F.count(F.lit(1)).over(by_term)).withColumn(
         "total", F.sum("tf").over(by_term))
     tf = tf.withColumn("vocab_rank", F.dense_rank().over(
-        Window.partitionBy(id_col).orderBy(F.desc("total"), F.asc("term"))))
+        # a sentence without terms has a NULL one, which takes no place in the vocabulary
+        Window.partitionBy(id_col).orderBy(F.col("term").isNull(), F.desc("total"), F.asc("term"))))
     keep = F.col("term").isNotNull() & (F.col("vocab_rank") <= max_features)
     w = F.when(keep, F.col("tf") * (F.log((F.col("_n") + 1) / (F.col("df") + 1)) + 1))
     scores = tf.withColumn("w", w).groupBy(id_col, "pos").agg(

@@ -464,7 +464,8 @@ SELECT doc_id, page, table_number, n_rows, n_columns, cells FROM n WHERE k % 13
     o["n6_span_context"] = f"""SELECT doc_id, substr(text, {lo} + 1,
   greatest(least(length(text), floor(length(text) / 3)::INTEGER + 10 + 50) - {lo}, 0)) AS context FROM documents"""
     o["n7_display_formats"] = """SELECT doc_id, format('{:,}', n_chars) AS chars,
-  round(n_chars / 1024.0::DOUBLE, 1) AS kb, upper(lang[1]) || lower(lang[2:]) AS lang FROM documents"""
+  printf('%.1f KB', n_chars / 1024.0::DOUBLE) AS kb, upper(lang[1]) || lower(lang[2:]) AS lang,
+  printf('%.1f%%', n_chars::DOUBLE / (n_chars + 1000) * 100.0::DOUBLE) AS share FROM documents"""
     # segmentation
     o["g1_sentences"] = f"SELECT doc_id, pos, sentence, CAST({wc('sentence')} AS INTEGER) AS n_words FROM ({sentences_sql(D)}) s"
     o["g2_paragraph_sections_contracts"] = paragraphs_sql(C)
@@ -501,7 +502,7 @@ h AS (SELECT s.doc_id, r.type, min(s.sec_no) AS first_sec FROM s, {rules} r(type
       WHERE regexp_matches(s.text, r.pattern) GROUP BY s.doc_id, r.type),
 a AS (SELECT doc_id, count(*) AS n, string_agg(type, '|' ORDER BY first_sec, type) AS types FROM h GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(a.n, 0) AS INTEGER) AS n_risks, coalesce(a.types, '') AS types
-FROM (SELECT DISTINCT doc_id FROM s) d LEFT JOIN a ON d.doc_id = a.doc_id"""
+FROM {C} d LEFT JOIN a ON d.doc_id = a.doc_id"""
     # entities
     o["e1_pattern_entities"] = e1_sql(C)
     o["e2_e3_gazetteer_entities"] = gazetteer_sql(C)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from clauselake.functions.arrays import with_arrays
 from clauselake.functions.text import (clean_app, clean_basic, clean_summary, date_mentions, ellipsize,
-                                       fmt_thousands, is_section_header, span_context, word_count,
+                                       fmt_kb, fmt_percent, fmt_thousands, fmt_title, is_section_header, sentence_array,
+                                       span_context, word_count,
                                        word_tokens)
 from clauselake.operators import classify as C
 from clauselake.operators import entities as E
@@ -251,7 +252,8 @@ def q_n6(spark, sf):
 def q_n7(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", fmt_thousands("n_chars").alias("chars"),
-                    F.round(F.col("n_chars") / 1024.0, 1).alias("kb"), F.initcap("lang").alias("lang"))
+                    fmt_kb("n_chars").alias("kb"), fmt_title("lang").alias("lang"),
+                    fmt_percent(F.col("n_chars") / (F.col("n_chars") + 1000)).alias("share"))
 
 
 # --- segmentation ------------------------------------------------------------
@@ -272,8 +274,7 @@ def q_g3(spark, sf):
 
 
 def q_g4(spark, sf):
-    d = docs(spark, sf)
-    return G.ensure_section(G.paragraph_sections(d), d)
+    return G.ensured_sections(docs(spark, sf))
 
 
 def q_g5(spark, sf):
@@ -364,9 +365,8 @@ RISK_RULES = (  # fixed example rule table for the C9 extension
 
 
 def q_c9(spark, sf):
-    secs = G.header_sections(contracts(spark, sf))
-    rules = spark.createDataFrame(list(RISK_RULES), "type string, description string, severity string, pattern string")
-    r = C.risks(secs, rules)
+    secs = with_arrays(contracts(spark, sf), sections=G.header_section_array(F.col("text")))
+    r = C.risks(secs, list(RISK_RULES))
     return r.select("doc_id", F.size("risks").alias("n_risks"),
                     F.array_join(F.transform("risks", lambda x: x["type"]), "|").alias("types"))
 
@@ -496,9 +496,10 @@ def q_a4(spark, sf):
 
 def q_a5(spark, sf):
     s = D.prepare_summarization(FX.annotated_corpus(spark, sf))
-    d = M.summarize(s.select("doc_id", "text")).select("doc_id", F.col("summary").alias("pred"))
-    j = d.join(s.select("doc_id", F.col("summary").alias("gold")), "doc_id")
-    return j.select("doc_id", _r(A.word_overlap(F.col("pred"), F.col("gold")), name="overlap"))
+    # the gold summary stays in the row beside the one to be compared
+    d = with_arrays(s.select("doc_id", "text", F.col("summary").alias("gold")), _sents=sentence_array(F.col("text")))
+    d = M.with_summary(d, "text", sents_col="_sents")
+    return d.select("doc_id", _r(A.word_overlap(F.col("summary.summary"), F.col("gold")), name="overlap"))
 
 
 def q_a6(spark, sf):

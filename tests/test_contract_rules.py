@@ -120,6 +120,15 @@ def test_summary_float_ties_follow_reference_order(spark):
     assert s.split("\n\n")[1].startswith("Alpha")
 
 
+def test_vocabulary_cut_counts_terms_only(spark):
+    # five terms by count: buoy 3, rope 2, then one each; "12" has no letters
+    # run of two and "!" no term at all, which must not take a place
+    text = "Buoy buoy buoy. ! . 1. Rope rope. Anchor. Oar."
+    df = one(spark, text)
+    both = [M.summarize_tfidf(df, max_length=1, max_features=n).first().summary for n in (1, 2)]
+    assert both[0].startswith("Buoy") and both[1].startswith(("Buoy", "Rope"))
+
+
 def test_invalid_spans_are_dropped(spark):
     text = "berth Nine Corp buoy"  # the name stands at 6 to 15
     df = spark.createDataFrame([(1, text, [(6, 15, "PARTY"), (7, 12, "PARTY")]),
