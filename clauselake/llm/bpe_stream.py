@@ -38,6 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clauselake.llm import scan
 from clauselake.llm.token_counts import byte_symbols
 
 #: Fixed value: the split of this kind of vocabulary into pre-tokens.
@@ -250,6 +251,7 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
+@scan.lean
 def _digests(batches: Iterator[pa.RecordBatch], path: str, keep: bool) -> Iterator[pa.RecordBatch]:
     vocabulary = Vocabulary(path)
     encode = Encoder(vocabulary)

@@ -102,6 +102,7 @@ def signatures(items: np.ndarray, at: np.ndarray, slots: int = SLOTS) -> np.ndar
     return (scan.mix(out) >> np.uint64(32)).astype(np.uint32).reshape(n, slots)
 
 
+@scan.lean
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in scan.slices(batch.column("text"), SLICE_BYTES):
@@ -116,6 +117,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array([s.tobytes() if m else None for s, m in zip(sig, size)], pa.binary())], names=["doc_id", "n", "k1", "k2", "sig"])
 
 
+@scan.lean
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
@@ -123,6 +125,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], names=["id", "packed"])
 
 
+@scan.lean
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links among pairs of texts; rows with one ``a`` come one after another."""
     last, own = None, None
@@ -148,6 +151,7 @@ def verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         lambda it: _verify(it, percent), "a long, b long")
 
 
+@scan.lean
 def _local_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of one partition: (u, v) with v the root."""
     parent: dict[int, int] = {}

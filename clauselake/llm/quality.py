@@ -127,6 +127,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", learn=N
     return Model([np.frombuffer(r.codes, np.uint16).astype(np.int64) for r in got], np.array([r.label for r in got], np.int64))
 
 
+@scan.lean
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in scan.slices(batch.column("text"), SLICE_BYTES):

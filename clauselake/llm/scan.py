@@ -9,6 +9,8 @@ never the partition.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +29,29 @@ _LANE = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64
 _LONG_WORD = 256
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: Spark keeps Python workers for
+    later stages, which share an executor's limit with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
+def lean(batches_in_out):
+    """A function over a partition's batches that ends with ``give_back``."""
+
+    @functools.wraps(batches_in_out)
+    def run(*args):
+        try:
+            yield from batches_in_out(*args)
+        finally:
+            give_back()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (every output bit depends on every input bit)."""
     x = (x ^ (x >> np.uint64(30))) * _M2

@@ -45,6 +45,8 @@ WINDOW = 13
 MINIMISER = 5
 #: Packed bytes that a bucket should hold; buckets are worked on one at a time.
 BUCKET_BYTES = 16 << 20
+#: A bucket is worked on in so many parts (by further bits of the minimiser).
+PARTS = 4
 #: Bytes of text that are cut and folded at a time.
 SLICE_BYTES = 4 << 20
 #: Super-k-mers take about this many bytes for a byte of text at 13 and 5 words.
@@ -52,13 +54,13 @@ EXPANSION = 4
 _LAST = 2**63 - 1
 
 
-def _pack(ids, keys, starts, strings) -> bytes:
+def _pack(ids, keys, starts, parts, strings) -> bytes:
     """Columns of packed strings as one compressed blob."""
     lens = np.fromiter(map(len, strings), np.int32, len(strings))
     steps = np.diff(np.asarray(ids, np.int64), prepend=np.int64(0))
     # byte planes: the high bytes of small numbers are all zero and vanish
     planes = (np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes()
-              for c in (steps, np.asarray(keys, np.int32), np.asarray(starts, np.int32), lens))
+              for c in (steps, np.asarray(keys, np.int32), np.asarray(starts, np.int32), np.asarray(parts, np.int8), lens))
     return zstandard.ZstdCompressor(level=3).compress(b"".join((np.int64(len(strings)).tobytes(), *planes, *strings)))
 
 
@@ -66,7 +68,7 @@ def _unpack(blob: bytes):
     body = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(body, np.int64, 1)[0])
     at, out = 8, []
-    for kind in (np.int64, np.int32, np.int32, np.int32):
+    for kind in (np.int64, np.int32, np.int32, np.int8, np.int32):
         size = np.dtype(kind).itemsize
         planes = np.frombuffer(body, np.uint8, n * size, at).reshape(size, n)
         out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
@@ -115,6 +117,7 @@ def super_kmers(words: scan.Words, k: int, m: int):
     return words.doc[first], first, np.flatnonzero(stop) + k, low[first]
 
 
+@scan.lean
 def _cut(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int) -> Iterator[pa.RecordBatch]:
     """Blobs of packed strings by bucket, and spans known from the slice alone."""
     for batch in batches:
@@ -146,12 +149,13 @@ def _cut(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int) -> Ite
             order = np.flatnonzero(ship)
             if len(order):
                 bucket = (low % np.uint64(buckets)).astype(np.int64)
+                share = (low // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int8)
                 order = order[np.argsort(bucket[order], kind="stable")]
                 cut = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))
                 made = []
                 for x, y in zip(cut, [*cut[1:], len(order)]):
                     pick = order[x:y]
-                    made.append(_pack(ids[doc[pick]], keys[doc[pick]], local[pick], [seen[i] for i in pick.tolist()]))
+                    made.append(_pack(ids[doc[pick]], keys[doc[pick]], local[pick], share[pick], [seen[i] for i in pick.tolist()]))
                 n = len(made)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[order[cut]]), pa.array(made, pa.large_binary()).cast(pa.binary()),
@@ -216,11 +220,16 @@ def _bucket_spans(table: pa.Table, k: int) -> pa.Table:
     out = [(i, t, s) for i, t, s in zip(*(c.filter(known).to_pylist() for c in (ids, keys, spans)))]
     blobs = [_unpack(b.as_py()) for b in table.column("blob") if b.is_valid]
     if blobs:
-        ids, keys, starts, lens, data = (np.concatenate(x) for x in zip(*blobs))
+        columns = [np.concatenate(x) for x in zip(*blobs)]
         del blobs
-        string, word = _repeats(ids, lens, data, k)
-        start = starts[string] + word
-        out += _span_rows(ids[string], keys[string], start, start + k)
+        share, lens = columns[3:5]
+        for n in range(PARTS):
+            own = share == n
+            ids, keys, starts = (c[own] for c in columns[:3])
+            string, word = _repeats(ids, lens[own], columns[5][np.repeat(own, lens)], k)
+            start = starts[string] + word
+            out += _span_rows(ids[string], keys[string], start, start + k)
+    scan.give_back()
     return pa.table({"id": pa.array([r[0] for r in out], pa.int64()), "key": pa.array([r[1] for r in out], pa.int32()),
                      "spans": pa.array([r[2] for r in out], pa.list_(pa.int32()))})
 
@@ -245,6 +254,7 @@ def repeated_spans(documents: DataFrame, text: str = "text", doc_id: str = "doc_
         F.flatten(F.collect_list("spans")).alias("_sd_spans"))
 
 
+@scan.lean
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text column ``_sd_text`` compressed, for the shuffle."""
     press = zstandard.ZstdCompressor(level=3)
@@ -276,6 +286,7 @@ def _kept(text: str | None, spans: list[int] | None) -> tuple[int, list[bytes]]:
     return len(words), list(compress(words, keep))
 
 
+@scan.lean
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -294,6 +305,7 @@ def dedup_digest(documents: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> D
         _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+@scan.lean
 def _rewrite(batches: Iterator[pa.RecordBatch], text: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []

@@ -127,6 +127,7 @@ class TextCounter:
         return [n + sum(map(self.cache.__getitem__, tokens)) for n, tokens in cut]
 
 
+@scan.lean
 def _count(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
     counter = TextCounter(path)
     for batch in batches:

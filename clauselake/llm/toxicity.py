@@ -34,10 +34,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm import labelled
+from clauselake.llm import labelled, scan
 
 #: At most so many labelled rows of class 0 and 1, and windows of each, fit.
-ROWS, SAMPLE_WINDOWS = (4000, 2000), 400
+ROWS, SAMPLE_WINDOWS = (3000, 2000), 400
 WORDS = 8
 THRESHOLD = 0.7
 #: Bytes of the two dictionaries.
@@ -139,6 +139,7 @@ class Distance:
         return float(np.log1p(n)), n / len(found), float(min(max(0, *found), 12))
 
 
+@scan.lean
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of a bounded number of windows of each text."""
     for batch in batches:
@@ -159,6 +160,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", learn=Non
     return Model(*([bytes(r.words).split() for r in got if r.label == c] for c in (0, 1)))
 
 
+@scan.lean
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
     measure = Distance(model)
     for batch in batches:
