@@ -69,13 +69,12 @@ def small_batches(spark, train_dir: str) -> dict:
     from clauselake.sources.fixtures import annotated_corpus
 
     two = spark.createDataFrame(
-        [(1, "This Agreement is made between ABC Corp and XYZ Ltd."),
-         (2, "The contract shall terminate on December 31, 2024.")], "doc_id long, text string")
-    one = spark.createDataFrame([(1, "This Agreement is made on January 1, 2024. Party A shall pay Party B "
-                                     "$10,000 per month. Party B shall deliver the services. This agreement "
-                                     "may be terminated with 30 days written notice.")], "doc_id long, text string")
-    model = fit_clause_model(prepare_classifier(annotated_corpus(spark, train_dir)).withColumn("weight", F.lit(1.0)),
-                             max_iter=20)
+        [(1, "Harbour Nine Corp lets a berth to Marigold Ltd until 3/4/2031."),
+         (2, "The owner must settle $840 before the first night afloat.")], "doc_id long, text string")
+    one = spark.createDataFrame([(1, "A berth is let from Mar 4, 2031 to the sloop Marigold. The owner must settle $840 a "
+                                     "season. The harbour office cannot promise shelter from storms. Either side may end "
+                                     "the lease with two weeks of notice.")], "doc_id long, text string")
+    model = fit_clause_model(prepare_classifier(annotated_corpus(spark, train_dir)).withColumn("weight", F.lit(1.0)))
     out = {}
     for name, fn in (("ner_batch_2_sec", lambda: legal_entities(two).collect()),
                      ("classifier_batch_2_sec", lambda: predict_clauses(model, two).collect()),

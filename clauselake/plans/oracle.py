@@ -346,7 +346,7 @@ def ctype_sql(k: str) -> str:
     return f"CASE WHEN {k} % 10 = 9 THEN NULL ELSE {qlist(FIXTURE_CLAUSE_TYPES)}[{k} % 3 + 1] END"
 
 
-LINE2 = f"'This Agreement is made on ' || {DATE_STR} || ' between the parties named here.'"
+LINE2 = f"'Signed on ' || {DATE_STR} || ' as an agreement of the houses named below.'"
 
 
 # --- analysis (X1) -----------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Fixed clause templates of the contract view (test fixture values).
 DEF_LINES = (
-    "Confidential Information means any information disclosed by one party to the other.",
+    "Guarded Matter means every confidential record that either house opens for its partner.",
     "The term Services is defined as the work listed in the order.",
     "Effective Date shall mean the day of signature by both parties.",
 )
@@ -53,20 +53,20 @@ def contract_view_sql(orders: str = "orders", customer: str = "customer",
     k = "o.o_orderkey"
     s = "CAST({} AS STRING)".format
     lines = [
-        "'CONTRACT AGREEMENT'", "''",
-        f"'This Agreement is made on ' || {s('month(o.o_orderdate)')} || '/' || "
+        "'SUPPLY CONTRACT'", "''",
+        f"'Signed on ' || {s('month(o.o_orderdate)')} || '/' || "
         f"{s('day(o.o_orderdate)')} || '/' || {s('year(o.o_orderdate)')} || "
-        "' between the parties named here.'",
+        "' as an agreement of the houses named below.'",
         "''",
-        "'PARTY A: ' || c.c_name || ' Corp'",
-        f"'PARTY B: Supplier ' || {s('o.o_custkey % 97')} || ' Ltd.'",
+        "'SELLING HOUSE: ' || c.c_name || ' Corp'",
+        f"'BUYING HOUSE: Supplier ' || {s('o.o_custkey % 97')} || ' Ltd.'",
         "''",
         "'1. DEFINITIONS'",
         _case(k, DEF_LINES),
         "''",
         "'2. OBLIGATIONS'",
-        f"'Party A shall deliver ' || {s('coalesce(l.n, 0)')} || ' items to Party B.'",
-        f"'Party B must pay Party A $' || {s('CAST(floor(o.o_totalprice) AS BIGINT)')} || ' per month.'",
+        f"'Party A shall ship ' || {s('coalesce(l.n, 0)')} || ' crates to the dock of Party B.'",
+        f"'For each month Party B must transfer $' || {s('CAST(floor(o.o_totalprice) AS BIGINT)')} || ' to the seller.'",
         f"CASE WHEN {k} % 4 = 0 THEN '{RESTRICTION_LINE}' END",
         "''",
         f"CASE WHEN {k} % 5 <> 0 THEN '3. TERMINATION' END",
@@ -144,7 +144,7 @@ def annotated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
                         label.alias("label"), ctype.alias("clause_type"), summ.alias("summary"))
 
     ctype = F.element_at(F.array(*[F.lit(c) for c in FIXTURE_CLAUSE_TYPES]), (k % 3 + 1).cast("int"))
-    line2 = F.concat(F.lit("This Agreement is made on "), date, F.lit(" between the parties named here."))
+    line2 = F.concat(F.lit("Signed on "), date, F.lit(" as an agreement of the houses named below."))
     empty = F.expr("CAST(array() AS array<struct<entity:string,start:int,end:int,label:string,"
                    "clause_type:string,summary:string>>)")
     anns = F.concat(
