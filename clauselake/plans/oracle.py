@@ -366,7 +366,8 @@ DOCS_AS_CONTRACTS = ("(SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR) || '.' |
 
 def analysis_sql(base: str = CONTRACTS) -> str:
     """X1 per admitted document: counts and texts of every sub-result."""
-    src = f"(SELECT * FROM {base} c0 WHERE {admission()} IS NULL)"
+    text = f"CASE WHEN lower(filename) LIKE '%.pdf' THEN {clean_app('text')} ELSE {strip('text')} END"
+    src = f"(SELECT * REPLACE ({text} AS text) FROM {base} c0 WHERE {admission()} IS NULL)"
     return f"""WITH e AS ({all_entities_sql(src)}),
 ea AS (SELECT doc_id, count(*) AS n_entities, count(DISTINCT label) AS n_labels,
          count(*) FILTER (WHERE confidence >= 0.7) AS n_ent_thr, avg(confidence) AS avg_conf FROM e GROUP BY doc_id),

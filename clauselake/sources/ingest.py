@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from clauselake import vocab as V
 from clauselake.functions.arrays import with_arrays
-from clauselake.functions.text import clean_basic, col_, strip, word_count
+from clauselake.functions.text import clean_app, clean_basic, col_, strip, word_count
 
 
 # --- S2 ----------------------------------------------------------------------
@@ -79,6 +79,13 @@ def rejection_reason(filename="filename", file_size="file_size", text="text") ->
             .when(word_count(txt) < V.MIN_WORDS, "too_short"))
 
 
+def extracted_text(filename="filename", text="text") -> Column:
+    """The text that is analysed: of a PDF the N1 chain (one line), of any
+    other file the stripped text with its lines."""
+    pdf = F.lower(F.regexp_extract(col_(filename), r"\.([^./]*)$", 1)) == "pdf"
+    return F.when(pdf, clean_app(col_(text))).otherwise(strip(col_(text)))
+
+
 def admit(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """S3: (accepted, rejected-with-reason).  Raising becomes a quarantine
     table; both outputs are filters over one reason column.
