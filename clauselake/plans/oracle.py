@@ -414,11 +414,15 @@ def oracle_sql() -> dict[str, str]:
            "AS filename, text, CAST(strlen(text) AS BIGINT) AS file_size FROM documents)")
     o["s3_admission"] = f"SELECT doc_id, filename, {admission()} AS reason FROM {dac} d"
     o["s4_read_annotations"] = f"""SELECT doc_id, CAST(CASE WHEN doc_id % 10 = 9 THEN 3 ELSE 4 END AS INTEGER)
-  AS n_annotations, {ctype_sql('doc_id')} AS clause_type, CAST(instr(text, c_name) - 1 AS INTEGER) AS party_start
-FROM {C} c"""
+  AS n_annotations, {ctype_sql('doc_id')} AS clause_type, CAST(instr(text, c_name) - 1 AS INTEGER) AS party_start,
+  md5(text) AS text_md5, g.spans, {LINE2} AS summaries
+FROM {C} c JOIN (SELECT doc_id AS k, string_agg(CAST(start AS VARCHAR) || ':' || CAST("end" AS VARCHAR) || ':' || label, ',' ORDER BY o) AS spans
+  FROM ({gold_sql()}) x GROUP BY doc_id) g ON g.k = c.doc_id"""
     o["s5_s6_dataset_roundtrip"] = f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' ||
-  CAST(doc_id AS VARCHAR)), doc_id) <= ceil(0.2::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split
-FROM {C} c"""
+  CAST(doc_id AS VARCHAR)), doc_id) <= ceil(0.2::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split,
+  text, g.spans
+FROM {C} c JOIN (SELECT doc_id AS k, string_agg(CAST(start AS VARCHAR) || ':' || CAST("end" AS VARCHAR) || ':' || label, ',' ORDER BY o) AS spans
+  FROM ({gold_sql()}) x GROUP BY doc_id) g ON g.k = c.doc_id"""
     o["s7_merge_store"] = f"""SELECT filename, {q(ANALYZED_AT)} AS analyzed_at,
   CASE WHEN doc_id % 9 = 0 THEN 'reloaded' ELSE regexp_extract(filename, '\\.([^./]*)$', 1) END AS file_type,
   CAST(CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 1 END AS BIGINT) AS load_seq FROM {C} c"""
@@ -428,6 +432,13 @@ FROM {C} c"""
     o["s10_export_metadata"] = f"""SELECT doc_id, '{{"created_date":"' || {iso('modified_at')} ||
   '","modified_date":"' || {iso('modified_at')} || '"}}' AS metadata_json FROM {C} c"""
     o["s12_pages_to_text"] = f"SELECT page_id, url, {clean_basic(html_text('html'))} AS text FROM pages"
+    squashed = f"trim(regexp_replace(coalesce(text, ''), {q(WS + '+')}, ' ', 'g'))"
+    o["s12_join_pages"] = f"""SELECT conv_id AS doc_id, {clean_app("coalesce(string_agg(nullif(t, ''), ' ' ORDER BY turn), '')")} AS text
+FROM (SELECT conv_id, turn, {squashed} AS t FROM conversations) x GROUP BY conv_id"""
+    o["s7_store_save_load_search"] = f"""SELECT filename,
+  CASE WHEN doc_id % 9 = 0 THEN 'reloaded' ELSE file_type END AS file_type, n_entities, n_sections, section_types, summary,
+  CAST(file_size AS VARCHAR) AS file_size FROM ({analysis_sql()}) a
+WHERE filename ILIKE '%7.pdf%' OR summary ILIKE '%7.pdf%' OR len(list_filter({metadata_values_sql('a')}, lambda v: v ILIKE '%7.pdf%')) > 0"""
     o["s13_assemble_pages"] = f"""SELECT conv_id AS doc_id, CAST(count(*) AS INTEGER) AS total_pages,
   string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"""
     o["s14_assemble_paragraphs"] = f"""SELECT doc_id, string_agg(coalesce(text, ''), chr(10) ORDER BY para_no) AS text,
@@ -455,6 +466,9 @@ n AS (SELECT CAST(k // 10 AS BIGINT) AS doc_id, CAST((k % 10) // 4 + 1 AS INTEGE
   CAST(row_number() OVER (PARTITION BY k // 10, (k % 10) // 4 ORDER BY k) AS INTEGER) AS table_number,
   CAST(n_rows AS INTEGER) AS n_rows, 3 AS n_columns, cells, k FROM t)
 SELECT doc_id, page, table_number, n_rows, n_columns, cells FROM n WHERE k % 13 <> 0"""
+    o["s17_media_inventory"] = """SELECT page_id // 10 AS doc_id, CAST((page_id % 10) // 3 + 1 AS INTEGER) AS page, page_id AS blob_no,
+  CAST(row_number() OVER (PARTITION BY page_id // 10, (page_id % 10) // 3 ORDER BY page_id) AS INTEGER) AS image_number,
+  CASE WHEN page_id % 3 = 0 THEN 'jpeg' ELSE 'png' END AS format FROM pages"""
     # text
     o["n1_clean_app"] = f"SELECT doc_id, {clean_app('text')} AS clean FROM documents"
     o["n2_clean_basic"] = f"SELECT page_id, {clean_basic('html')} AS clean FROM pages"

@@ -113,7 +113,10 @@ def q_s4(spark, sf):
     path = work_dir(spark, "annotations")
     ST.write_annotations(FX.annotated_corpus(spark, sf), path)
     a = ST.read_annotations(spark, path)
-    return a.select("doc_id", F.size("annotations").alias("n_annotations"),
+    return a.select("doc_id", F.md5("text").alias("text_md5"), F.size("annotations").alias("n_annotations"),
+                    F.array_join(F.transform(F.filter("annotations", lambda x: x["label"].isNotNull()), lambda x: F.concat_ws(
+                        ":", x["start"].cast("string"), x["end"].cast("string"), x["label"])), ",").alias("spans"),
+                    F.array_join(F.transform("annotations", lambda x: x["summary"]), "|").alias("summaries"),
                     F.get(F.filter("annotations", lambda x: x["clause_type"].isNotNull()), 0)["clause_type"]
                     .alias("clause_type"),
                     F.get(F.filter("annotations", lambda x: x["label"] == "PARTY"), 0)["start"].alias("party_start"))
@@ -123,9 +126,11 @@ def q_s5_s6(spark, sf):
     d = work_dir(spark, "datasets")
     s = D.split_rows(D.prepare_ner(FX.annotated_corpus(spark, sf)))
     ST.write_dataset(s.filter("split = 'train'").drop("split"), s.filter("split = 'test'").drop("split"), d, "ner")
-    train, test = ST.load_dataset(spark, d, "ner")
-    return train.select("doc_id", F.lit("train").alias("split")).unionByName(
-        test.select("doc_id", F.lit("test").alias("split")))
+    train, test = ST.load_dataset(spark, d, "ner", s.drop("split").schema)
+    spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(
+        ":", e["start"].cast("string"), e["end"].cast("string"), e["label"])), ",")
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test"))).select(
+        "doc_id", "split", "text", spans.alias("spans"))
 
 
 def _merged_store(spark, sf):
@@ -176,6 +181,24 @@ def q_s12(spark, sf):
     return S.pages_to_text(table(spark, sf, "pages"))
 
 
+def q_s12_pages(spark, sf):
+    c = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
+    return S.join_pages(c)
+
+
+def q_s7_sink(spark, sf):
+    """Save, save an overlapping load, load, search: through the stored table."""
+    path = work_dir(spark, "store")
+    a = contract_analysis(spark, sf)
+    ST.save_analysis(ST.to_store_rows(a, 1), path)
+    ST.save_analysis(ST.to_store_rows(a.filter(F.col("doc_id") % 9 == 0).withColumn("file_type", F.lit("reloaded")), 2), path)
+    hits = FL.search_contracts(ST.load_analysis(spark, path), "7.PDF")
+    return hits.select("filename", "file_type", F.size("entities").alias("n_entities"), F.size("sections").alias("n_sections"),
+                       F.array_join(F.transform("sections", lambda s: s["type"]), "|").alias("section_types"),
+                       F.col("summary.summary").alias("summary"), F.col("metadata")["file_size"].alias("file_size"))
+
+
 def q_s13(spark, sf):
     c = table(spark, sf, "conversations").select(
         F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
@@ -619,7 +642,7 @@ def queries() -> dict[str, Query]:
         "s1_scan_documents": q_s1, "s2_file_metadata": q_s2, "s3_admission": q_s3,
         "s4_read_annotations": q_s4, "s5_s6_dataset_roundtrip": q_s5_s6, "s7_merge_store": q_s7,
         "s8_load_store": q_s8, "s9_metrics_roundtrip": q_s9, "s10_export_metadata": q_s10,
-        "s11_model_roundtrip": q_s11, "s12_pages_to_text": q_s12, "s13_assemble_pages": q_s13,
+        "s11_model_roundtrip": q_s11, "s12_pages_to_text": q_s12, "s12_join_pages": q_s12_pages, "s7_store_save_load_search": q_s7_sink, "s13_assemble_pages": q_s13,
         "s14_assemble_paragraphs": q_s14, "s14_assemble_paragraphs_keep_blank": q_s14_keep_blank, "s15_doc_properties": q_s15, "s16_normalize_tables": q_s16,
         "s17_media_inventory": q_s17,
         "n1_clean_app": q_n1, "n2_clean_basic": q_n2, "n3_clean_summary": q_n3, "n4_word_count": q_n4,

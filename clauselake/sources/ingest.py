@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from clauselake import vocab as V
 from clauselake.functions.arrays import with_arrays
-from clauselake.functions.text import clean_app, clean_basic, col_, strip, word_count
+from clauselake.functions.text import clean_app, clean_basic, col_, squash, strip, word_count
 
 
 # --- S2 ----------------------------------------------------------------------
@@ -111,6 +111,16 @@ def html_to_text(html) -> Column:
     return clean_basic(t)
 
 
+def join_pages(doc_pages: DataFrame, doc_col: str = "doc_id", page_col: str = "page",
+               text_col: str = "text") -> DataFrame:
+    """S12, page form: a document's page texts in page order, white space
+    squashed, empty pages skipped, joined by a space, then N1."""
+    g = doc_pages.groupBy(doc_col).agg(F.sort_array(F.collect_list(F.struct(
+        F.col(page_col).alias("n"), squash(F.coalesce(F.col(text_col), F.lit(""))).alias("t")))).alias("_p"))
+    full = F.filter(F.transform("_p", lambda x: x["t"]), lambda t: t != "")
+    return with_arrays(g, _joined=F.array_join(full, " ")).select(doc_col, clean_app("_joined").alias("text"))
+
+
 def pages_to_text(pages: DataFrame) -> DataFrame:
     """S12 over ``pages``: (page_id, url, text)."""
     return pages.select("page_id", "url", html_to_text("html").alias("text"))
