@@ -8,9 +8,15 @@ threshold that ordinary windows almost never reach count as toxic, and a
 logistic curve over how many there are, their share and the largest distance,
 fitted with the rarer class weighing more (root of the ratio), gives the score.
 
-So that the toxic dictionary holds what sets toxic text apart, it is trained on
-the words of toxic rows that ordinary rows of the sample never use and that
-recur there between different neighbours (copies of one text repeat theirs).
+The toxic dictionary is trained on the distinct windows of toxic rows (copies
+repeat theirs).  Windows are cut into segments, runs of words that are at least
+``LIFT`` times as frequent in toxic windows as in ordinary ones, and a segment
+counts as often as its largest ratio says; the words between count nothing, as
+the ordinary dictionary has them.  Both rates are raised by ``FLOOR``, so a
+word in a few toxic windows sets nothing apart and one that ordinary rows use
+now and then (a quote, a wrong label) still does; ordinary windows with one do
+not train the ordinary dictionary.  Without such a segment the windows train as
+they are.
 
 Fitting uses a bounded sample: ``ROWS`` labelled rows of each class and at most
 ``SAMPLE_WINDOWS`` windows of each, spread over the whole text.  Scoring is one
@@ -25,8 +31,9 @@ table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +48,12 @@ ROWS, SAMPLE_WINDOWS = (3000, 2000), 400
 WORDS = 8
 THRESHOLD = 0.7
 #: Bytes of the two dictionaries.
-ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 4 << 10
+ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 2 << 10
 #: Ordinary windows that reach the threshold, at most this share.
 FALSE_SHARE = 0.003
-#: A toxic word recurs between this share of the toxic rows' neighbours.
-RECURS = 0.015
+#: A toxic segment's words are so many times as frequent as in ordinary windows;
+#: the share of windows added to both rates.
+LIFT, FLOOR = 3.0, 1 / 4000
 #: Windows that train the ordinary dictionary and that set the threshold.
 TRAIN, CALIBRATE = 60_000, 30_000
 _CONTENT = b"\1\0\0\0\4\0\0\0\10\0\0\0"
@@ -101,20 +109,20 @@ class Model:
         self._train(ordinary, toxic)
 
     def _train(self, ordinary: list[list[bytes]], toxic: list[list[bytes]]) -> None:
-        known = {w for ws in ordinary for w in ws}
-        near = defaultdict(set)
-        for ws in toxic:
-            for a, b in zip([b"", *ws], ws):
-                if b not in known:
-                    near[b].add(a)
-        often = max(3, round(RECURS * len(toxic)))
-        marks = [b" " + w + b" " for w, a in sorted(near.items()) if len(a) >= often for _ in a]
-        marks = marks or [b" " + w + b" " for w in sorted(near)]
+        plain, bad = ({w for ws in c for w in windows(ws)} for c in (ordinary, toxic))
+        often = [Counter(x for w in c for x in set(w.split())) for c in (plain, bad)]
+        lift = {x: (n / len(bad) + FLOOR) / (often[0][x] / max(1, len(plain)) + FLOOR) for x, n in often[1].items()}
+        own = [w for w in sorted(plain, key=zlib.crc32) if all(lift.get(x, 0) < LIFT for x in w.split())]
+        self.plain = dictionary(own[:TRAIN], ORDINARY_BYTES, 48)
+        marks = []
+        for w in sorted(bad):
+            for set_apart, run in groupby(w.split(), lambda x: lift[x] >= LIFT):
+                if set_apart:
+                    run = list(run)
+                    marks += [b" " + b" ".join(run) + b" "] * round(max(map(lift.__getitem__, run)))
         mixed = np.random.default_rng(0).permutation(len(marks))
         marks = [marks[i] for i in mixed]
-        pool = sorted({w for ws in ordinary for w in windows(ws)}, key=zlib.crc32)
-        self.plain = dictionary(pool[:TRAIN], ORDINARY_BYTES, 48)
-        self.front = dictionary([b"".join(marks[i : i + 8]) for i in range(0, len(marks), 8)], TOXIC_BYTES, 32)
+        self.front = dictionary([b"".join(marks[i : i + 8]) for i in range(0, len(marks), 8)] or sorted(bad), TOXIC_BYTES, 32)
 
     def score(self, seen: np.ndarray) -> np.ndarray:
         return labelled.sigmoid((seen @ self.slopes if self.slopes is not None else 0.0) + self.base + np.zeros(len(seen)))

@@ -60,6 +60,28 @@ def test_drop_toxic_keeps_columns(spark):
     assert len(ids & set(range(0, 400, 4))) <= 5 and len(ids - set(range(0, 400, 4))) >= 295
 
 
+def test_toxic_words_that_ordinary_rows_quote_are_learned():
+    """Each toxic word also occurs in one ordinary row."""
+    r = random.Random(2)
+    plain, bad = [f"word{i}" for i in range(300)], ["grubble", "snarfish", "vermoid"]
+    rows = []
+    for i in range(400):
+        words = r.choices(plain, k=120)
+        for _ in range(12 if i % 4 == 0 else 0):
+            words[r.randrange(120)] = r.choice(bad)
+        if i in (1, 101, 201):
+            words[60] = bad[i // 100]
+        rows.append([w.encode() for w in words])
+    toxic = [ws for i, ws in enumerate(rows) if i % 4 == 0]
+    clean = [ws for i, ws in enumerate(rows) if i % 4]
+    assert {w.encode() for w in bad} <= {w for ws in clean[:200] for w in ws}
+    model = toxicity.Model(clean[:200], toxic[:60])
+    measure = toxicity.Distance(model)
+    score = lambda rows: model.score(np.array([measure.document(ws) for ws in rows]))
+    assert all(w.encode() in model.front for w in bad)
+    assert (score(toxic[60:]) >= 0.7).mean() >= 0.9 and (score(clean[200:]) >= 0.7).mean() <= 0.05
+
+
 def test_sample_is_bounded_and_consistent(spark):
     docs = spark.createDataFrame([(i, "t") for i in range(100)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(0, 1)], "doc_id long, quality int")
