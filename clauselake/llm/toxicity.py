@@ -4,9 +4,11 @@ Two zstandard dictionaries are trained, one on ordinary and one on toxic text.
 A document is cut into windows of ``WORDS`` words; each window is compressed
 with the ordinary dictionary alone and with the toxic one in front, and its
 distance is how many bytes the toxic dictionary saves.  Windows at or above a
-threshold that ordinary windows almost never reach count as toxic, and a
-logistic curve over how many there are, their share and the largest distance,
-fitted with the rarer class weighing more (root of the ratio), gives the score.
+threshold that at most ``FALSE_SHARE`` of ordinary windows reach count as toxic.
+A logistic curve over how many there are, their share and the largest distance,
+each beyond what as many ordinary windows show by chance, fitted with the rarer
+class weighing more (root of the ratio), gives the score; so a text does not
+become toxic by its length.
 
 The toxic dictionary is trained on the distinct windows of toxic rows (copies
 repeat theirs).  Windows are cut into segments, runs of words that are at least
@@ -18,9 +20,10 @@ now and then (a quote, a wrong label) still does; ordinary windows with one do
 not train the ordinary dictionary.  Without such a segment the windows train as
 they are.
 
-Fitting uses a bounded sample: ``ROWS`` labelled rows of each class and at most
-``SAMPLE_WINDOWS`` windows of each, spread over the whole text.  Scoring is one
-narrow pass over whole texts.
+Fitting uses a bounded sample: ``ROWS`` labelled rows of each class and, for the
+dictionaries and the threshold, at most ``SAMPLE_WINDOWS`` windows of each,
+spread over the whole text.  The curve is fitted on whole texts, three numbers
+for each from a Spark task.  Scoring is one narrow pass over whole texts.
 
 Cases: a null or empty text has no windows and gets the score of none toxic;
 extra columns are not read; repeated rows score alike; without labelled rows of
@@ -42,6 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm import labelled, scan
+from clauselake.session import work_dir
 
 #: At most so many labelled rows of class 0 and 1, and windows of each, fit.
 ROWS, SAMPLE_WINDOWS = (3000, 2000), 400
@@ -88,8 +92,10 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
 class Model:
     """Two dictionaries, the window threshold and the score curve."""
 
-    def __init__(self, ordinary: list[list[bytes]], toxic: list[list[bytes]]):
-        self.slopes, self.base, self.least = None, -30.0, 0
+    def __init__(self, ordinary: list[list[bytes]], toxic: list[list[bytes]], whole=None):
+        """``whole(model, picks)`` measures the rows ``picks`` of each class, from
+        their whole texts; else they are measured as they are here."""
+        self.slopes, self.base, self.least, self.tail = None, -30.0, 0, np.zeros(1)
         self.plain = self.front = b""
         if not ordinary or not toxic:
             share = len(toxic) / max(1, len(toxic) + len(ordinary))
@@ -97,14 +103,16 @@ class Model:
             return
         # threshold and curve come from rows that teach the dictionaries nothing;
         # the dictionaries are then trained again on all rows
-        apart = [[ws for i, ws in enumerate(c) if i % 4 == 3] for c in (ordinary, toxic)]
-        apart = apart if all(apart) else [ordinary, toxic]
+        picks = [list(range(3, len(c), 4)) for c in (ordinary, toxic)]
+        picks = picks if all(picks) else [list(range(len(c))) for c in (ordinary, toxic)]
+        apart = [[c[i] for i in at] for c, at in zip((ordinary, toxic), picks)]
         self._train(*([ws for i, ws in enumerate(c) if i % 4 != 3] or c for c in (ordinary, toxic)))
         measure = Distance(self)
         pool = sorted({w for ws in apart[0] for w in windows(ws)}, key=zlib.crc32)[:CALIBRATE]
-        self.least = measure.least = max(2, int(np.quantile([measure.window(w) for w in pool] or [2], 1 - FALSE_SHARE)))
-        seen = [measure.document(ws) for c in apart for ws in c]
-        x, y = np.array(seen, float), np.repeat([0, 1], [len(c) for c in apart])
+        self.calibrate([measure.window(w) for w in pool])
+        measure = Distance(self)
+        seen = whole(self, picks) if whole else [[measure.document(ws) for ws in c] for c in apart]
+        x, y = np.array([v for c in seen for v in c], float), np.repeat([0, 1], [len(c) for c in seen])
         self.slopes, self.base = labelled.logistic(x, y, np.where(y == 1, np.sqrt((len(y) - y.sum()) / y.sum()), 1.0))
         self._train(ordinary, toxic)
 
@@ -124,6 +132,14 @@ class Model:
         marks = [marks[i] for i in mixed]
         self.front = dictionary([b"".join(marks[i : i + 8]) for i in range(0, len(marks), 8)] or sorted(bad), TOXIC_BYTES, 32)
 
+    def calibrate(self, ordinary: list[int]) -> None:
+        """The share of ordinary windows at each distance or above, and the
+        smallest threshold that at most ``FALSE_SHARE`` of them reach."""
+        counts = np.bincount(np.maximum(ordinary or [0], 0))
+        above = np.append(counts[::-1].cumsum()[::-1], 0)
+        self.least = max(2, int(np.argmax(above <= FALSE_SHARE * above[0])))
+        self.tail = np.maximum(above, 1) / above[0]  # what none reached, one more may
+
     def score(self, seen: np.ndarray) -> np.ndarray:
         return labelled.sigmoid((seen @ self.slopes if self.slopes is not None else 0.0) + self.base + np.zeros(len(seen)))
 
@@ -132,19 +148,24 @@ class Distance:
     """Window distances under one model."""
 
     def __init__(self, model: Model):
-        self.least = model.least
+        self.least, self.tail = model.least, model.tail
         self.plain, self.both = compressor(model.plain or b" " * 16), compressor((model.plain + model.front) or b" " * 16)
 
     def window(self, window: bytes) -> int:
         return len(self.plain.compress(window)) - len(self.both.compress(window))
 
     def document(self, ws: list[bytes]) -> tuple[float, float, float]:
-        """Log count and share of toxic windows, and the largest distance."""
-        found = [self.window(w) for w in windows(ws)]
-        if not found:
+        """Log count and share of toxic windows beyond chance, and the largest
+        distance that more windows reach than chance explains.  Chance is what as
+        many ordinary windows hold and three standard deviations."""
+        found = np.array([self.window(w) for w in windows(ws)], np.int64)
+        if not len(found):
             return 0.0, 0.0, 0.0
-        n = sum(d >= self.least for d in found)
-        return float(np.log1p(n)), n / len(found), float(min(max(0, *found), 12))
+        most = np.arange(1, max(13, self.least + 1))
+        chance = len(found) * self.tail[np.minimum(most, len(self.tail) - 1)]
+        beyond = np.maximum(0.0, len(found) - np.searchsorted(np.sort(found), most) - chance - 3 * np.sqrt(chance))
+        n = float(beyond[self.least - 1])
+        return float(np.log1p(n)), n / len(found), float(min(12, most[beyond > 0].max(initial=0)))
 
 
 @scan.lean
@@ -162,10 +183,31 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], names=["doc_id", "label", "words"])
 
 
+@scan.lean
+def _measured(batches: Iterator[pa.RecordBatch], model: Model, ids: list[frozenset]) -> Iterator[pa.RecordBatch]:
+    """The three numbers of the whole texts of the rows ``ids`` of each class."""
+    measure = Distance(model)
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text")))
+        found = [(c, *measure.document(words(t))) for i, c, t in rows if i in ids[c]]
+        yield pa.RecordBatch.from_pylist([dict(zip(("label", "n", "share", "most"), f)) for f in found],
+                                         pa.schema([("label", pa.int32()), *((c, pa.float64()) for c in ("n", "share", "most"))]))
+
+
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", learn=None, rows: tuple[int, int] = ROWS) -> Model:
+    spark, place = documents.sparkSession, work_dir(documents.sparkSession, "toxicity")
     chosen = labelled.sample(documents, labels, label, F.lit(True) if learn is None else learn, rows)
+    chosen.select("doc_id", "label", "text").write.parquet(place)  # read twice
+    chosen = spark.read.schema("doc_id long, label int, text string").parquet(place)
     got = sorted(chosen.mapInArrow(_sampled, "doc_id long, label int, words binary").collect())
-    return Model(*([bytes(r.words).split() for r in got if r.label == c] for c in (0, 1)))
+    parts = [[r for r in got if r.label == c] for c in (0, 1)]
+
+    def whole(model: Model, picks: list[list[int]]) -> list[list[tuple]]:
+        ids = [frozenset(part[i].doc_id for i in at) for part, at in zip(parts, picks)]
+        found = sorted(chosen.mapInArrow(lambda it: _measured(it, model, ids), "label int, n double, share double, most double").collect())
+        return [[tuple(r)[1:] for r in found if r.label == c] for c in (0, 1)]
+
+    return Model(*([bytes(r.words).split() for r in part] for part in parts), whole)
 
 
 @scan.lean

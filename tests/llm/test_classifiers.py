@@ -82,6 +82,28 @@ def test_toxic_words_that_ordinary_rows_quote_are_learned():
     assert (score(toxic[60:]) >= 0.7).mean() >= 0.9 and (score(clean[200:]) >= 0.7).mean() <= 0.05
 
 
+def test_long_clean_texts_are_not_toxic(spark):
+    """Of 20 000 and 100 000 words from held-out ordinary rows; with toxic rows among them they are."""
+    documents, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(documents, labels, learn=toxicity._learn(3, 1))
+    held = documents.join(labels, "doc_id").filter((labelled.fold(F.col("doc_id"), 3) == 1) & F.col("text").isNotNull())
+    texts = {c: [toxicity.words(r.text) for r in held.filter(F.col("toxic") == c).orderBy("doc_id").collect()] for c in (0, 1)}
+    clean = [w for ws in texts[0] for w in ws if len(ws) < 2000]
+    measure = toxicity.Distance(model)
+    score = lambda ws: model.score(np.array([measure.document(ws)]))[0]
+    assert [score(clean[at : at + n]) < 0.7 for n in (20_000, 100_000) for at in (0, 20_000, 40_000)] == [True] * 6
+    assert score([w for ws in texts[1] for w in ws][:20_000]) >= 0.7
+    assert not texts[0] or (np.array([score(ws) for ws in texts[0][:300]]) >= 0.7).mean() < 0.05
+
+
+def test_threshold_is_reached_by_at_most_the_share():
+    model = toxicity.Model([], [])
+    for found in ([0] * 900 + [3] * 99 + [5], [0] * 990 + [2] * 10, [0, 1], [], [4] * 1000):
+        model.calibrate(found)
+        assert sum(d >= model.least for d in found) <= toxicity.FALSE_SHARE * len(found)
+        assert model.least <= 2 or sum(d >= model.least - 1 for d in found) > toxicity.FALSE_SHARE * len(found)
+
+
 def test_sample_is_bounded_and_consistent(spark):
     docs = spark.createDataFrame([(i, "t") for i in range(100)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(0, 1)], "doc_id long, quality int")
