@@ -1,8 +1,9 @@
 """Near-duplicate groups by SuperMinHash.
 
-A document's set holds its distinct 3-word shingles (words of the whole text,
-A-Z folded); with fewer words the whole sequence is one.  Two documents are
-linked if 100 * |intersection| >= 85 * |union|.
+A document's set holds its distinct shingles of ``shingle`` words (words of the
+whole text, A-Z folded; three unless given); with fewer words the whole sequence
+is one.  Two documents are linked if 100 * |intersection| >= ``percent`` *
+|union| (85 unless given).
 
 1. Signatures.  In SuperMinHash every element runs through one random
    permutation of the slots; at rank j it offers j + (a number below 1) to the
@@ -11,14 +12,15 @@ linked if 100 * |intersection| >= 85 * |union|.
    slot, since later ranks only offer more.
 2. Equal sets are one class (128 bits of hash and the size), stood for by its
    smallest id; only these go on, so copies are never expanded.
-3. Banding.  ``BANDS`` bands of ``ROWS`` slots; each member of a band's bucket
+3. Banding.  ``BANDS`` bands of ``ROWS`` slots, or what ``banding`` derives for
+   another percentage; each member of a band's bucket
    is paired with the smallest id there, never with all.
 4. Verification on the full sets, computed anew from the whole texts.
 5. Union-find: within partitions of links first, then trees are joined across
    them by smallest neighbours and pointer jumping.
 6. Buckets that still hold more than one component are compared in full, block
    by block, between components: pairs whose signatures agree on at least
-   ``AGREE`` of the slots are verified inside the block, only links leave it,
+   ``AGREE`` (or what ``banding`` says) of the slots are verified inside the block, only links leave it,
    and grouping is done again.  No bucket is capped.
 
 Signatures, bucket members and texts of candidates are written to the shared
@@ -32,6 +34,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,18 +54,34 @@ SLOTS = BANDS * ROWS
 #: Share of equal slots below which a pair is not verified: four standard
 #: deviations (of plain MinHash, SuperMinHash has less) under the threshold.
 AGREE = 0.72
+#: For another percentage: bands miss a pair at it with at most this probability,
+#: of so many slots at most (their numbers are bytes).
+MISS, MOST_SLOTS = 4.5e-7, 255
 SLICE_BYTES = 1 << 20
 #: Members and shingles of a block in the comparison of a bucket's components.
 BLOCK, SHINGLES = 512, 400_000
 
 
-def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def banding(percent: int) -> tuple[int, int, float]:
+    """Bands, slots of a band, and the share of equal slots below which a pair
+    isn't verified, for links at ``percent``."""
+    if percent == PERCENT:
+        return BANDS, ROWS, AGREE
+    like = min(max(percent, 1), 100) / 100
+    for rows in range(ROWS, 0, -1):
+        bands = 1 if like == 1 else math.ceil(math.log(MISS) / math.log1p(-(like**rows)))
+        if bands * rows <= MOST_SLOTS:
+            return bands, rows, like - 4 * math.sqrt(like * (1 - like) / (bands * rows))
+    raise ValueError(f"{MOST_SLOTS} slots are too few for links at {percent} %")
+
+
+def sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, and their n + 1 offsets."""
     w = scan.scan(texts, lower=True)
-    grams = {k: scan.windows(w.hash, k) for k in range(1, SHINGLE + 1)}
+    grams = {k: scan.windows(w.hash, k) for k in range(1, shingle + 1)}
     found = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
-        k = min(SHINGLE, b - a)
+        k = min(shingle, b - a)
         found.append(np.unique(grams[k][a : b - k + 1]) if k else np.zeros(0, np.uint64))
     at = np.concatenate(([0], np.cumsum([len(f) for f in found], dtype=np.int64)))
     return np.concatenate(found) if found else np.zeros(0, np.uint64), at
@@ -103,15 +122,15 @@ def signatures(items: np.ndarray, at: np.ndarray, slots: int = SLOTS) -> np.ndar
 
 
 @scan.lean
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], shingle: int, slots: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in scan.slices(batch.column("text"), SLICE_BYTES):
             part = batch.slice(lo, hi - lo)
-            items, at = sets(part.column("text"))
+            items, at = sets(part.column("text"), shingle)
             size = np.diff(at)
             sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(scan.mix(items ^ np.uint64(s)), dtype=np.uint64))) for s in (1, 2)]
             k1, k2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
-            sig = signatures(items, at)
+            sig = signatures(items, at, slots)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(k1), pa.array(k2),
                  pa.array([s.tobytes() if m else None for s, m in zip(sig, size)], pa.binary())], names=["doc_id", "n", "k1", "k2", "sig"])
@@ -126,29 +145,29 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @scan.lean
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], percent: int, shingle: int) -> Iterator[pa.RecordBatch]:
     """Links among pairs of texts; rows with one ``a`` come one after another."""
     last, own = None, None
     for batch in batches:
         keep = []
         for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "packed_a", "packed_b"))):
             if a != last:
-                last, own = a, _set(x)
-            other = _set(y)
+                last, own = a, _set(x, shingle)
+            other = _set(y, shingle)
             both = len(np.intersect1d(own, other, assume_unique=True))
             keep.append(both > 0 and 100 * both >= percent * (len(own) + len(other) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _set(packed: bytes) -> np.ndarray:
-    return sets(pa.array([zstandard.ZstdDecompressor().decompress(packed).decode()], pa.string()))[0]
+def _set(packed: bytes, shingle: int) -> np.ndarray:
+    return sets(pa.array([zstandard.ZstdDecompressor().decompress(packed).decode()], pa.string()), shingle)[0]
 
 
-def verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def verified(texts: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs (a, b) that are linked; ``texts`` has id, packed."""
     of = lambda c: texts.select(F.col("id").alias(c), F.col("packed").alias(f"packed_{c}"))
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "packed_a", "packed_b").mapInArrow(
-        lambda it: _verify(it, percent), "a long, b long")
+        lambda it: _verify(it, percent, shingle), "a long, b long")
 
 
 @scan.lean
@@ -189,7 +208,7 @@ def components(links: DataFrame) -> DataFrame:
             return edges
 
 
-def _cross(table: pa.Table, percent: int, bands: int) -> pa.Table:
+def _cross(table: pa.Table, percent: int, shingle: int, bands: int, agree: float) -> pa.Table:
     """Links between components of one block (or of two) of a bucket.  A pair
     is looked at in the first band that both share, and not at all once links
     found here have joined its components."""
@@ -203,7 +222,7 @@ def _cross(table: pa.Table, percent: int, bands: int) -> pa.Table:
 
     def members(i: int) -> np.ndarray:
         if i not in known:
-            known[i] = _set(packed[i])
+            known[i] = _set(packed[i], shingle)
         return known[i]
 
     for i in left.tolist():
@@ -213,7 +232,7 @@ def _cross(table: pa.Table, percent: int, bands: int) -> pa.Table:
             continue
         same = sig[far] == sig[i]
         first = same.reshape(len(far), bands, -1).all(2).argmax(1)
-        for j in far[(same.mean(1) >= AGREE) & (first == band)].tolist():
+        for j in far[(same.mean(1) >= agree) & (first == band)].tolist():
             if label[i] == label[j]:
                 continue
             both = len(np.intersect1d(members(i), members(j), assume_unique=True))
@@ -223,7 +242,7 @@ def _cross(table: pa.Table, percent: int, bands: int) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
-def rest_links(members: DataFrame, labels: DataFrame, signed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def rest_links(members: DataFrame, labels: DataFrame, signed: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Links between components that still share a bucket: each such bucket is
     cut into blocks of bounded members and shingles, and each two blocks (and
     each one with itself) are compared in a task of their own."""
@@ -236,12 +255,14 @@ def rest_links(members: DataFrame, labels: DataFrame, signed: DataFrame, texts:
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "doc", "label", "n")
     cells = cells.join(signed.select(F.col("rep").alias("doc"), "sig"), "doc").join(texts.select(F.col("id").alias("doc"), "packed"), "doc")
-    bands = BANDS
-    return cells.groupBy("key", "i", "j").applyInArrow(lambda t: _cross(t, percent, bands), "a long, b long").distinct()
+    bands, _, agree = banding(percent)
+    return cells.groupBy("key", "i", "j").applyInArrow(lambda t: _cross(t, percent, shingle, bands, agree), "a long, b long").distinct()
 
 
-def groups(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+def groups(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
+    n_bands, width, _ = banding(percent)
+    slots = n_bands * width
     spark = documents.sparkSession
     base = work_dir(spark, "near-dup")
 
@@ -250,10 +271,10 @@ def groups(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", per
         return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    signed = stored(rows.mapInArrow(_sign, "doc_id long, n long, k1 long, k2 long, sig binary"), "signatures")
+    signed = stored(rows.mapInArrow(lambda it: _sign(it, shingle, slots), "doc_id long, n long, k1 long, k2 long, sig binary"), "signatures")
     reps = stored(signed.filter("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(
         F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "classes")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * width) + 1, F.lit(4 * width))))
     bands = reps.select(F.col("rep").alias("doc"), "n", F.posexplode(keys).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("c")).filter("c > 1").select("key", "pivot")
     members = stored(bands.join(shared, "key"), "members")
@@ -264,9 +285,9 @@ def groups(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", per
     asked = members.select(F.col("doc").alias("id")).distinct()
     texts = rows.select(F.col("doc_id").alias("id"), "text").mapInArrow(_squeeze, "id long, packed binary").join(asked, "id")
     texts = stored(texts, "texts")
-    links = stored(verified(texts, pairs, percent), "links")
+    links = stored(verified(texts, pairs, percent, shingle), "links")
     found = components(links)
-    more = stored(rest_links(members, found, reps, texts, percent), "more-links")
+    more = stored(rest_links(members, found, reps, texts, percent, shingle), "more-links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     whole = reps.select("n", "k1", "k2", "rep").join(found.select(F.col("u").alias("rep"), "v"), "rep", "left").select(
@@ -276,10 +297,10 @@ def groups(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", per
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def keep_one(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+def keep_one(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The input's rows without those that a smaller id of their group stands
     for."""
-    gone = groups(documents, text, doc_id, percent).filter("not kept").select(F.col("doc_id").alias("_nd_id"))
+    gone = groups(documents, text, doc_id, percent, shingle).filter("not kept").select(F.col("doc_id").alias("_nd_id"))
     return documents.join(gone, F.col(f"`{doc_id}`") == F.col("_nd_id"), "left_anti")
 
 

@@ -135,3 +135,41 @@ def test_odd_tables(spark):
 def test_sets_of_short_texts():
     items, at = nd.sets(pa.array(["a b c d", "a", "", None, "a b", "A B"]))
     assert np.diff(at).tolist() == [2, 1, 0, 0, 1, 1] and items[at[4]] == items[at[5]] != items[at[1]]
+
+
+def test_links_at_80_percent_of_5_words(spark):
+    """Copies with a contiguous block cut or put in, at 0.80 to 0.85; scattered edits below 0.80 are none."""
+    r = random.Random(5)
+    new = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows, near = [], set()
+    for _ in range(40):
+        base = new(r.randint(150, 400))
+        n = len(base) - 4
+        cut = int(n * r.uniform(0.16, 0.17)) - 6
+        at = r.randrange(5, len(base) - cut - 5)
+        rows += [(len(rows), base), (len(rows) + 1, base[:at] + base[at + cut :]), (len(rows) + 2, base[:at] + new(n // 5 - 10) + base[at:])]
+        near |= {len(rows) - 2, len(rows) - 1}
+    for _ in range(20):
+        base = new(200)
+        other = list(base)
+        for k in range(6, 200, 40):
+            other[k] = new(1)[0]
+        rows += [(len(rows), base), (len(rows) + 1, other)]
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    like = lambda a, b, k: len(grams(a, k) & grams(b, k)) / len(grams(a, k) | grams(b, k))
+    for i in near:
+        first = i // 3 * 3
+        assert 0.8 <= like(rows[first][1], rows[i][1], 5) < 0.85
+    for i in range(120, len(rows), 2):
+        assert like(rows[i][1], rows[i + 1][1], 5) < 0.8 and like(rows[i][1], rows[i + 1][1], 3) >= 0.85
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    left = {x.doc_id for x in nd.keep_one(df, percent=80, shingle=5).collect()}
+    assert left == {i for i, _ in rows} - near
+
+
+def test_banding_follows_the_percentage():
+    assert nd.banding(85) == (25, 5, 0.72)
+    for percent in (30, 50, 70, 80, 90, 95, 100):
+        bands, rows, agree = nd.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= nd.MISS and bands * rows <= nd.MOST_SLOTS
+        assert agree <= percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5 + 1e-9
