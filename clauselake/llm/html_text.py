@@ -1,8 +1,9 @@
 """Main text of web pages by consensus host paths.
 
 1. Each page is read into its element tree.  A container's score is its text
-   outside boilerplate less twice the boilerplate and link text it would bring
-   along; the best container (the deepest of equals) gets the page's vote.
+   outside boilerplate less twice the site's boilerplate and the link text below
+   it (what an article or main holds, and comments, shares and the like, don't
+   count against it, as they are left out of the text anyway); the best container (the deepest of equals) gets the page's vote.
 2. Votes name the container's generalised path: tags and classes from the root,
    digits as ``#``, ids left out.  Spark adds them up for each host (partial
    sums before the shuffle, so a host with a third of all pages is one row from
@@ -10,10 +11,16 @@
    later one by code point.
 3. Every page is read again and its containers on the winning path give the
    text.  A page of another layout, where they hold less than a quarter of
-   the text of its own best container, falls back on that.
+   the text of its own best container, or less than nine tenths of it while they
+   lie inside it and it isn't the body, falls back on that.
 
 Boilerplate is what its tag, role, class or id name: menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts and styles.  Blocks are
+sidebars, notices, adverts, forms, comments, scripts and styles.  A class or id
+counts as a whole: only words for boilerplate and parts of a layout (``ad-box``),
+or one of ``OFF_ENDS`` after what it belongs to (``post-comments``), not one word
+of many (``has-sidebar``, ``related-work``); ids of headings are anchors.  By its
+class or id no element goes that holds the main element, all articles or nine
+tenths of the page's text.  Blocks are
 block-level elements; inside one, white space becomes one space.
 
 Cases: a null or empty html gives the empty text; a page without any element
@@ -44,13 +51,22 @@ CLOSES_P = BLOCK - {"body", "html", "option", "tr", "td", "th", "tbody", "thead"
 SAME = {"li": "ul ol menu", "dd": "dl", "dt": "dl", "option": "select", "tr": "table tbody thead tfoot", "td": "tr", "th": "tr"}
 #: What isn't the main text, by tag, by role, and by a word of a class or id.
 OFF_TAGS = frozenset("nav header footer aside form script style noscript template iframe svg math object button select textarea input dialog head title menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OFF_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 OFF_WORDS = frozenset("ad ads advert advertisement adverts adsense sponsor sponsored promo promotion banner menu nav navbar navigation header masthead footer sidebar "
                       "aside widget cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login form "
                       "search share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar comment comments disqus respond replies reply "
                       "skip copyright".split())
+#: Boilerplate that lies within articles, parts of a layout, names that end
+#: as boilerplate, and words that make such an end mean something else.
+SOFT_WORDS = frozenset("comment comments disqus respond replies reply share sharing social related recommended newsletter subscribe form notice".split())
+PARTS = frozenset("box bar list link links item items button buttons btn icon icons wrapper wrap container inner outer area block body section panel slot unit top bottom "
+                  "left right side main primary secondary site global posts articles stories news tag tags text content image title toggle row col column group".split())
+OFF_ENDS = frozenset("sidebar footer nav navbar menu breadcrumb breadcrumbs pagination pager comments advert ads share replies".split())
+LINKING = frozenset("has with no without is to how on of in for the a an and or hide show about from by not".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.S)
+COMMENT = re.compile(r"comment|reply|replies|teaser|related", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"[ \t\n\r\x0b\f\xa0]+")
@@ -59,10 +75,10 @@ _SPACE = re.compile(r"[ \t\n\r\x0b\f\xa0]+")
 class Node:
     """An element: what it is, and its children (texts and elements)."""
 
-    __slots__ = ("tag", "path", "off", "children", "own", "bad", "link")
+    __slots__ = ("tag", "path", "off", "named", "soft", "children", "own", "bad", "link")
 
-    def __init__(self, tag: str, path: str, off: bool):
-        self.tag, self.path, self.off, self.children = tag, path, off, []
+    def __init__(self, tag: str, path: str, off: bool, named: bool = False, soft: bool = False):
+        self.tag, self.path, self.off, self.named, self.soft, self.children = tag, path, off, named, soft, []
         self.own = self.bad = self.link = 0
 
 
@@ -70,23 +86,33 @@ def _camel(name: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
 
 
+def _off_name(name: str) -> bool:
+    """Whether a class or id as a whole names boilerplate."""
+    found = _camel(name)
+    if not OFF_WORDS.intersection(found):
+        return False
+    return all(w in OFF_WORDS or w in PARTS for w in found) or found[-1] in OFF_ENDS and not LINKING.intersection(found)
+
+
 def _make(tag: str, attributes: str, parent: Node | None, known: dict) -> Node:
     key = (tag, attributes)
     if (facts := known.get(key)) is None:
         values = {}
         for name, a, b, c in _ATTR.findall(attributes) if attributes.strip(" /\n\t") else ():
             values.setdefault(name.lower(), entities.unescape(a or b or c))
-        words = {w for n in ("class", "id") for part in values.get(n, "").split() for w in _camel(part)}
-        off = tag in OFF_TAGS or values.get("role", "").lower() in OFF_ROLES or "hidden" in values or bool(words & OFF_WORDS and tag not in ("body", "html", "article", "main"))
+        names = [part for n in (("class",) if tag in HEADINGS else ("class", "id")) for part in values.get(n, "").split() if _off_name(part)]
+        off = tag in OFF_TAGS or values.get("role", "").lower() in OFF_ROLES or "hidden" in values
+        named = not off and bool(names) and (tag not in ("body", "html", "article", "main"))
+        soft = tag == "form" or named and all(SOFT_WORDS.intersection(_camel(n)) for n in names)
         kinds = sorted({_DIGITS.sub("#", c) for c in values.get("class", "").split()})
-        facts = known[key] = (".".join([tag, *kinds]), off)
+        facts = known[key] = (".".join([tag, *kinds]), off or named, named, soft)
         if len(known) > 20_000:
             known.clear()
-    step, off = facts
+    step, off, named, soft = facts
     # an article's own header holds its headline
     if tag == "header" and parent is not None and any(s.split(".")[0] in ("article", "main") for s in parent.path.split("/")):
         off = False
-    return Node(tag, f"{parent.path}/{step}" if parent is not None and parent.path else step, off)
+    return Node(tag, f"{parent.path}/{step}" if parent is not None and parent.path else step, off, named, soft)
 
 
 def parse(page: str, known: dict) -> Node:
@@ -135,24 +161,53 @@ def parse(page: str, known: dict) -> Node:
             stack.append(node)
     if at < len(page):
         stack[-1].children.append(page[at:])
+    _unmark(root)
     return root
 
 
+def _unmark(root: Node) -> None:
+    """Takes the mark off elements that their class or id names as boilerplate
+    but that hold the main element, all articles or nearly all of the text."""
+    order, todo = [], [(root, False, False)]
+    while todo:
+        node, inside, off = todo.pop()
+        off = off or node.off and not node.named
+        inside = inside or node.named
+        order.append((node, inside, off))
+        todo.extend((c, inside, off) for c in node.children if isinstance(c, Node))
+    if not any(inside for _, inside, _ in order):
+        return
+    holds: dict[int, tuple[int, int, int]] = {}
+    for node, inside, off in reversed(order):
+        size = 0 if off else sum(len(c) for c in node.children if isinstance(c, str) and not c.isspace())
+        below = [holds[id(c)] for c in node.children if isinstance(c, Node)]
+        holds[id(node)] = (size + sum(b[0] for b in below), (node.tag == "main" and not off) + sum(b[1] for b in below),
+                           (node.tag == "article" and not off and not COMMENT.search(node.path.rsplit("/", 1)[-1])) + sum(b[2] for b in below))
+    text, mains, articles = holds[id(root)]
+    for node, _, _ in order:
+        if node.named:
+            own = holds[id(node)]
+            if own[1] or articles and own[2] == articles or own[0] and 10 * own[0] >= 9 * text:
+                node.off = node.named = node.soft = False
+
+
 def weigh(root: Node) -> list[Node]:
     """All containers in page order, with the characters in and out of
     boilerplate and in links below each."""
-    order, todo, found = [], [(root, False, False)], []
+    order, todo, found = [], [(root, False, False, False)], []
     while todo:
-        node, off, link = todo.pop()
+        node, off, link, soft = todo.pop()
+        # boilerplate inside an article, and what belongs to one, is soft
+        soft = soft or node.soft or node.tag in ("article", "main")
         off, link = off or node.off, link or node.tag == "a"
         order.append((node, off))
         if node.tag in CONTAINER and not off:
             found.append(node)
         for child in reversed(node.children):
             if isinstance(child, Node):
-                todo.append((child, off, link))
+                todo.append((child, off, link, soft))
         size = sum(len(c) for c in node.children if isinstance(c, str) and not c.isspace())
-        node.own, node.bad, node.link = (0, size, 0) if off else (0, 0, size) if link else (size, 0, 0)
+        node.own, node.bad, node.link = (0, 0 if soft else size, 0) if off else (0, 0, size) if link else (size, 0, 0)
     for node, _ in reversed(order):
         for child in node.children:
             if isinstance(child, Node):
@@ -212,7 +267,9 @@ def extract(page: str | None, path: str | None, known: dict) -> str:
     found = weigh(root)
     own = best(found) or root
     chosen = [n for n in found if n.path == path]
-    if 4 * sum(n.own + n.link for n in chosen) < own.own + own.link or not chosen:
+    held, all_ = sum(n.own + n.link for n in chosen), own.own + own.link
+    inside = chosen and own.tag != "body" and all(n.path.startswith(own.path + "/") for n in chosen)
+    if not chosen or 4 * held < all_ or inside and 10 * held < 9 * all_:
         chosen = [own]
     return "\n".join(b for n in chosen for b in blocks(n))
 

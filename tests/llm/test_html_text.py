@@ -84,3 +84,32 @@ def test_large_vote_tables_are_joined(spark, monkeypatch):
     monkeypatch.setattr(ht, "BROADCAST", 0)
     df = spark.createDataFrame([(i, f"http://h{i % 3}/", f"<article><p>{i}</p></article>") for i in range(9)], "page_id long, url string, html string")
     assert sorted((x.page_id, x.text) for x in ht.main_texts(df).collect()) == [(i, str(i)) for i in range(9)]
+
+
+def test_names_that_hold_a_word_of_boilerplate():
+    r = random.Random(6)
+    a, b, c = para(r, 40), para(r, 30), para(r, 20)
+    inner = f"<h1>Head</h1><p>{a}</p><section id='related-work'><h2 id='how-to-search'>Work</h2><p>{b}</p></section>"
+    want = f"Head\n{a}\nWork\n{b}"
+    for name in ("has-sidebar", "page-with-sidebar", "sidebar", "no-ads", "hasSidebar"):
+        assert text(f"<body><div class='{name}'><article>{inner}</article><div class='sidebar'>{c}</div></div></body>") == want
+        assert text(f"<body><div id='{name}'><div class='story'>{inner}</div><div class='site-footer'>z</div></div></body>") == want
+    page = f"<article><div class='post-header'><h1>Head</h1></div><p>{a}</p><div class='post-comments'>{c}</div><div class='related-posts'>{c}</div></article>"
+    assert text(page) == f"Head\n{a}"
+    # comments in articles of their own stay out
+    assert text(f"<body><article><p>{a}</p></article><div id=comments><article class=comment-body>{c}</article></div>") == a
+
+
+def test_long_comments_inside_do_not_cost_the_headline():
+    r = random.Random(7)
+    lead, a, c = para(r, 25), para(r, 90), para(r, 400)
+    for open_, close in (("<article>", "</article>"), ("<div class=post>", "</div>")):
+        page = f"<body><nav>{para(r, 30)}</nav>{open_}<h1>Head</h1><p>{lead}</p><div class=text><p>{a}</p></div><div class=comments><p>{c}</p></div>{close}</body>"
+        assert text(page) == f"Head\n{lead}\n{a}"
+
+
+def test_path_inside_the_own_container_must_hold_nearly_all():
+    r = random.Random(8)
+    a, b = para(r, 40), para(r, 60)
+    page = f"<body><nav>{para(r, 50)}</nav><article><div class=text><p>{a}</p></div><div class=more><p>{b}</p></div></article></body>"
+    assert text(page, "body/article/div.text") == f"{a}\n{b}"
