@@ -7,7 +7,10 @@ smaller ``doc_id``.
 1. Each window's minimiser is the smallest hash among its ``m``-word runs.
    Consecutive windows with the same minimiser travel as one packed string (the
    words joined by one space) to the bucket of that minimiser, so equal windows
-   meet in one bucket wherever they occur.
+   meet in one bucket wherever they occur.  Where one minimiser's strings would
+   take ``HOT_BYTES`` or more (a frequent phrase in ever new surroundings), its
+   windows travel one by one to the bucket of their own hash, so a bucket is
+   bounded and equal windows still meet.
 2. Before the shuffle, equal packed strings of a slice of documents are folded
    to the smallest document that has them: in every other one all their windows
    are repeats already, and only their spans are passed on.  A passage or copy
@@ -45,6 +48,8 @@ WINDOW = 13
 MINIMISER = 5
 #: Packed bytes that a bucket should hold; buckets are worked on one at a time.
 BUCKET_BYTES = 16 << 20
+#: Packed bytes from which on the windows of a minimiser are dealt by their own hash.
+HOT_BYTES = BUCKET_BYTES
 #: A bucket is worked on in so many parts (by further bits of the minimiser).
 PARTS = 4
 #: Bytes of text that are cut and folded at a time.
@@ -118,7 +123,50 @@ def super_kmers(words: scan.Words, k: int, m: int):
 
 
 @scan.lean
-def _cut(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int) -> Iterator[pa.RecordBatch]:
+def _weigh(batches: Iterator[pa.RecordBatch], k: int, m: int, share: float) -> Iterator[pa.RecordBatch]:
+    """Packed bytes of the minimisers that have half of ``share`` of a slice's.
+    What they have elsewhere is at most half of ``share`` of all."""
+    for batch in batches:
+        for lo, hi in scan.slices(batch.column("_sd_text"), SLICE_BYTES):
+            words = scan.scan(batch.column("_sd_text").slice(lo, hi - lo))
+            _, first, stop, low = super_kmers(words, k, m)
+            if not len(low):
+                continue
+            at = np.concatenate(([0], np.cumsum(words.end - words.start + 1)))
+            order = np.argsort(low, kind="stable")
+            low, size = low[order], (at[stop] - at[first])[order]
+            head = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+            total = np.add.reduceat(size, head)
+            much = 2 * total >= share * total.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(low[head][much].view(np.int64)), pa.array(total[much].astype(np.int64))], names=["low", "n"])
+
+
+def hot_minimisers(texts: DataFrame, size: int, k: int = WINDOW, m: int = MINIMISER) -> np.ndarray:
+    """All minimisers with ``HOT_BYTES`` packed bytes or more (and some with half
+    of that) in texts of ``size`` bytes, sorted; two for each ``HOT_BYTES`` at most."""
+    whole = size * EXPANSION
+    if whole < HOT_BYTES:
+        return np.zeros(0, np.uint64)
+    share = HOT_BYTES / whole
+    found = texts.select("_sd_text").mapInArrow(lambda it: _weigh(it, k, m, share), "low long, n long").groupBy("low").agg(F.sum("n").alias("n"))
+    return np.sort(found.filter(2 * F.col("n") >= HOT_BYTES).select("low").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _single(words: scan.Words, k: int, doc, first, stop, low, hot: np.ndarray):
+    """The runs, those of hot minimisers cut into windows with their own hash."""
+    if not len(hot):
+        return doc, first, stop, low
+    at = np.minimum(np.searchsorted(hot, low), len(hot) - 1)
+    n = np.where(hot[at] == low, stop - first - k + 1, 1)
+    alone = np.repeat(hot[at] == low, n)
+    doc, low, end, begin = (np.repeat(c, n) for c in (doc, low, stop, first))
+    first = begin + np.where(alone, np.arange(len(begin)) - np.repeat(np.cumsum(n) - n, n), 0)
+    whole = scan.windows(words.hash, k)
+    return doc, first, np.where(alone, first + k, end), np.where(alone, whole[np.minimum(first, len(whole) - 1)], low)
+
+
+@scan.lean
+def _cut(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Blobs of packed strings by bucket, and spans known from the slice alone."""
     for batch in batches:
         for lo, hi in scan.slices(batch.column("_sd_text"), SLICE_BYTES):
@@ -126,7 +174,7 @@ def _cut(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int) -> Ite
             ids = part.column("_sd_id").to_numpy()
             keys = part.column("_sd_key").to_numpy()
             words = scan.scan(part.column("_sd_text"))
-            doc, first, stop, low = super_kmers(words, k, m)
+            doc, first, stop, low = _single(words, k, *super_kmers(words, k, m), hot)
             if not len(doc):
                 continue
             # one space for each run of white space, so equal windows are equal bytes
@@ -248,7 +296,8 @@ def repeated_spans(documents: DataFrame, text: str = "text", doc_id: str = "doc_
     rows = _keyed(documents, text, doc_id).select("_sd_id", "_sd_key", F.col(f"`{text}`").alias("_sd_text"))
     size = documents.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * EXPANSION // BUCKET_BYTES))
-    cut = rows.mapInArrow(lambda it: _cut(it, buckets, k, m), "bucket long, blob binary, id long, key int, spans array<int>")
+    hot = hot_minimisers(rows, size, k, m)
+    cut = rows.mapInArrow(lambda it: _cut(it, buckets, k, m, hot), "bucket long, blob binary, id long, key int, spans array<int>")
     found = cut.groupBy("bucket").applyInArrow(lambda t: _bucket_spans(t, k), "id long, key int, spans array<int>")
     return found.groupBy(F.col("id").alias("_sd_id"), F.col("key").alias("_sd_key")).agg(
         F.flatten(F.collect_list("spans")).alias("_sd_spans"))

@@ -85,3 +85,30 @@ def test_empty_table_and_repeated_rows(spark):
     rows = [(1, long), (1, long), (2, long)]
     got = sorted((r.doc_id, r.n_removed) for r in sd.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, 0), (1, 0), (2, 30)]
+
+
+def test_hot_minimisers_are_split(spark, monkeypatch):
+    """A phrase in ever new surroundings: its windows are dealt out, and the result stays exact."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(9)
+    phrases = [[f"p{i}x{j}" for j in range(5)] for i in range(4000)]
+    hashes = [int(sd.scan.windows(sd.scan.scan(pa.array([" ".join(p)])).hash, 5)[0]) for p in phrases]
+    hot = phrases[int(np.argmin(hashes))]  # a minimiser of every window that holds it
+    rows = [(i, " ".join([f"a{r.randrange(10**6)}" for _ in range(20)] + hot + [f"b{r.randrange(10**6)}" for _ in range(20)])) for i in range(300)]
+    rows += [(300 + i, "x " + rows[i * 7][1]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(sd, "HOT_BYTES", 8192)
+    keyed = sd._keyed(df, "text", "doc_id").withColumn("_sd_text", sd.F.col("text"))
+    found = sd.hot_minimisers(keyed, sum(len(t) for _, t in rows))
+    assert found.tolist() == [min(hashes)]
+    batch = pa.RecordBatch.from_pydict({"_sd_id": [i for i, _ in rows], "_sd_key": pa.array([0] * len(rows), pa.int32()), "_sd_text": [t for _, t in rows]})
+    most = lambda hot: max(len(sd._unpack(b.as_py())[-1]) for x in sd._cut([batch], 64, 13, 5, hot) for b in x.column("blob") if b.is_valid)
+    assert 3 * most(found) < most(np.zeros(0, np.uint64))
+    assert {tuple(x) for x in sd.dedup_digest(df).collect()} == brute(rows)
+    for seed in (4, 5):
+        monkeypatch.setattr(sd, "HOT_BYTES", 500)
+        rows = corpus(seed)
+        got = {tuple(x) for x in sd.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+        assert got == brute(rows)
