@@ -8,8 +8,10 @@ merge ``(a, b)`` whose ``b`` begins at the edge, so ``b`` begins with the
 had to be made first.  The longest total length of such a chain of merges,
 computed once from the merge list, is the lookahead: a token that ends at least
 so many symbols before the end of what has arrived is stable and is emitted.
-Between the last stable token and the end lie a bounded number of symbols, so
-memory stays constant however long the word is.
+Between the last stable token and the end lie a bounded number of symbols, which
+is all that the transducer holds.  ``Encoder`` uses it for words of more than
+``lookahead + BLOCK`` symbols and merges shorter ones whole; it holds each word,
+its tokens and each piece of text up to the next white space.
 
 Decoding.  Ids become bytes, and an incremental UTF-8 state machine turns bytes
 into text while a character may still be cut between two tokens.
@@ -183,7 +185,7 @@ class Encoder:
             for i in range(0, len(parts), self.block):
                 tokens += machine.feed(parts[i : i + self.block])
             tokens += machine.finish()
-        else:  # all of it is within what the transducer holds back
+        else:  # merged whole, the same tokens at less cost
             parts[-1] += WORD_END
             tokens = merge(parts, self.v.ranks)
         return struct.pack(f"<{len(tokens)}I", *map(self.v.ids.__getitem__, tokens))
