@@ -615,11 +615,11 @@ def q_d5(spark, sf):
 
 # --- composite ---------------------------------------------------------------
 def q_x3(spark, sf):
-    from clauselake.plans.train import prepare_all, train_all
+    from clauselake.plans.train import metric_rows, prepare_all, train_all
 
     d = work_dir(spark, "train")
     prepare_all(FX.annotated_corpus(spark, sf), d)
-    return train_all(spark, d)["ner"]
+    return metric_rows(train_all(spark, d, embeddings=table(spark, sf, "embeddings")))
 
 
 def q_x4(spark, sf):

@@ -158,10 +158,17 @@ PROPERTY_TEXT = ("title", "author", "creator", "producer", "last_modified_by", "
                  "keywords", "subject")
 
 
-def doc_properties(props: DataFrame) -> DataFrame:
+def doc_properties(props: DataFrame, sections: DataFrame | None = None,
+                   tables: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """Text properties NULL -> "", timestamps -> ISO string ("" when
-    NULL), revision NULL -> 0; count columns pass through."""
+    NULL), revision NULL -> 0.  ``section_count`` and ``table_count`` are the
+    rows of ``sections`` and ``tables`` of a document (0: none) where those are
+    given; other count columns pass through."""
     out = props
+    for name, rows in (("section_count", sections), ("table_count", tables)):
+        if rows is not None:
+            n = rows.groupBy(id_col).agg(F.count(F.lit(1)).cast("int").alias(name))
+            out = out.drop(name).join(n, id_col, "left").withColumn(name, F.coalesce(name, F.lit(0)))
     for c in PROPERTY_TEXT:
         if c in props.columns:
             out = out.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("")))

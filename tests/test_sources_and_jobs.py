@@ -175,3 +175,25 @@ def test_split_is_deterministic(spark):
     a = {r.doc_id for r in D.split_rows(df).filter("split = 'test'").collect()}
     b = {r.doc_id for r in D.split_rows(df.repartition(3)).filter("split = 'test'").collect()}
     assert a == b and len(a) == 500
+
+
+def test_train_all_reports_every_set(spark):
+    from clauselake.plans.queries import q_x3
+
+    rows = q_x3(spark, SF_SMALL).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["set"], {})[r.label] = r
+    assert set(by) == {"classifier", "ner", "summarization", "embedding"}
+    assert all(by[s]["accuracy"].support > 0 and by[s]["accuracy"].tp is None for s in ("classifier", "embedding"))
+    assert by["ner"]["overall"].tp is not None and by["ner"]["overall"].overlap is None
+    assert 0 <= by["summarization"]["overlap"].overlap <= 1 and by["summarization"]["overlap"].support > 0
+
+
+def test_property_counts(spark):
+    props = spark.createDataFrame([(1, None, 9), (2, "t", 9)], "doc_id long, title string, section_count int")
+    sections = spark.createDataFrame([(1,), (1,), (3,)], "doc_id long")
+    tables = spark.createDataFrame([(2,)], "doc_id long")
+    got = sorted((r.doc_id, r.title, r.section_count, r.table_count) for r in S.doc_properties(props, sections, tables).collect())
+    assert got == [(1, "", 2, 0), (2, "t", 0, 1)]
+    assert S.doc_properties(props).columns == props.columns
