@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe_stream, html_text, mix_sources, near_dup, quality, quality_rules, substring_dedup, token_counts, topk_search, toxicity
+from clauselake.llm import (bpe_stream, html_text, language_id, mix_sources, near_dup, periodic_runs, quality, quality_rules, substring_dedup,
+                            token_counts, topk_search, toxicity, vector_codes)
 from clauselake.session import ship_package
 
 
@@ -59,10 +60,23 @@ def op10_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.code_digests(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_quality_classifier, op3_exact_topk, op4_token_counts, op5_mix_sources, op6_toxicity,
-        op7_quality_rules, op8_html_text, op9_minhash_near_dup, op10_bpe_coding)}
+        op7_quality_rules, op8_html_text, op9_minhash_near_dup, op10_bpe_coding, op11_language_id,
+        op12_periodic_runs, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
