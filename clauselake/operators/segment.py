@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 from clauselake import vocab as V
 from clauselake.functions.arrays import let_, with_arrays
-from clauselake.functions.text import col_, ellipsize, jre, sentence_array, strip, word_count
+from clauselake.functions.text import col_, ellipsize, jre, strip, word_count
+from clauselake.operators.boundary import BoundaryModel, sentences_of
 from clauselake.operators.classify import section_type
 
 SECTION_TYPE = "struct<sec_no:int,title:string,text:string,type:string,confidence:double>"
 
 
 # --- G1 ----------------------------------------------------------------------
-def sentences(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """G1 long form: (doc_id, pos, sentence, n_words)."""
-    out = df.select(id_col, F.posexplode(sentence_array(F.col(text_col))).alias("pos", "sentence"))
+def sentences(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: BoundaryModel | None = None) -> DataFrame:
+    """G1 long form: (doc_id, pos, sentence, n_words); ``model`` holds learned
+    boundaries."""
+    out = df.select(id_col, F.posexplode(sentences_of(F.col(text_col), model)).alias("pos", "sentence"))
     return out.withColumn("n_words", word_count("sentence"))
 
 
@@ -79,9 +81,9 @@ def paragraph_sections(df: DataFrame, sep: str = "\n\n", text_col: str = "text",
 
 
 def sentence_sections(df: DataFrame, n: int = 3, text_col: str = "text",
-                      id_col: str = "doc_id") -> DataFrame:
+                      id_col: str = "doc_id", model: BoundaryModel | None = None) -> DataFrame:
     """G3 long form."""
-    d = with_arrays(df.select(id_col, text_col), s=sentence_array(F.col(text_col)))
+    d = with_arrays(df.select(id_col, text_col), s=sentences_of(F.col(text_col), model))
     return _explode_sections(d, id_col, sentence_group_array(F.col("s"), n))
 
 
@@ -178,10 +180,10 @@ def heading_sections(paras: DataFrame, doc_col: str = "doc_id", order_col: str =
 
 
 # --- G9 ----------------------------------------------------------------------
-def key_point_array(text) -> Column:
+def key_point_array(text, model: BoundaryModel | None = None) -> Column:
     """The first three sentences with more than five words."""
-    return F.slice(F.filter(sentence_array(text), lambda s: word_count(s) > 5), 1, 3)
+    return F.slice(F.filter(sentences_of(text, model), lambda s: word_count(s) > 5), 1, 3)
 
 
-def key_points(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    return df.select(id_col, F.posexplode(key_point_array(F.col(text_col))).alias("kp_no", "key_point"))
+def key_points(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: BoundaryModel | None = None) -> DataFrame:
+    return df.select(id_col, F.posexplode(key_point_array(F.col(text_col), model)).alias("kp_no", "key_point"))

@@ -17,6 +17,7 @@ from clauselake import vocab as V
 from clauselake.functions.arrays import let_, with_arrays
 from clauselake.functions.text import (clean_summary, col_, date_mentions, is_section_header,
                                        lit_str_array, sentence_array, strip, word_count)
+from clauselake.operators.boundary import BoundaryModel, sentences_of
 from clauselake.operators.classify import document_type
 from clauselake.operators.entities import party_mentions
 
@@ -115,9 +116,14 @@ def with_summary(df: DataFrame, text_col: str = "text", out: str = "summary",
     return d.drop("_stext", "_orig", "_dtype", "_slen", "_ratio", "_fb")
 
 
-def summarize(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """M1 flat form: doc_id + the summary fields."""
-    d = with_summary(df.select(id_col, text_col), text_col)
+def summarize(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: BoundaryModel | None = None) -> DataFrame:
+    """M1 flat form: doc_id + the summary fields; ``model`` holds learned
+    sentence boundaries."""
+    d = df.select(id_col, text_col)
+    if model is None:
+        d = with_summary(d, text_col)
+    else:
+        d = with_summary(with_arrays(d, _sents=sentences_of(F.col(text_col), model)), text_col, sents_col="_sents")
     return d.select(id_col, "summary.*")
 
 
@@ -143,10 +149,10 @@ def _m2_score(s: Column) -> Column:
 
 
 def summarize_legal(df: DataFrame, max_sentences: int = 5, text_col: str = "text",
-                    id_col: str = "doc_id") -> DataFrame:
+                    id_col: str = "doc_id", model: BoundaryModel | None = None) -> DataFrame:
     """M2: legal-weight extractive summary (top ``max_sentences`` by weight,
     back in document order), with word-count statistics and key terms."""
-    d = with_arrays(df.select(id_col, text_col), _s=sentence_array(F.col(text_col)))
+    d = with_arrays(df.select(id_col, text_col), _s=sentences_of(F.col(text_col), model))
     sents = F.col("_s")
     ranked = F.array_sort(F.transform(sents, lambda s, i: F.struct(
         (-_m2_score(s)).alias("neg"), i.alias("i"), s.alias("s"))))

@@ -46,11 +46,12 @@ FROM (SELECT doc_id, CAST(unnest(range(len(ps))) AS INTEGER) AS sec_no, unnest(p
                                        lambda z: z <> '') AS ps FROM {src} x) y) z"""
 
 
-def groups_sql(src: str) -> str:
+def groups_sql(src: str, from_sents: str | None = None) -> str:
+    """G3; ``from_sents`` gives other sentences (doc_id, pos, sentence) than G1's."""
     return f"""SELECT doc_id, CAST(pos // 3 AS INTEGER) AS sec_no,
   CASE WHEN pos // 3 = 0 THEN 'Document Content' ELSE 'Section ' || CAST(pos // 3 + 1 AS VARCHAR) END AS title,
   string_agg(sentence, ' ' ORDER BY pos) AS text, 'CONTENT_SECTION' AS type, 0.8::DOUBLE AS confidence
-FROM ({sentences_sql(src)}) s GROUP BY doc_id, pos // 3"""
+FROM ({from_sents or sentences_sql(src)}) s GROUP BY doc_id, pos // 3"""
 
 
 def whole_sql(src: str) -> str:
@@ -184,16 +185,17 @@ WHERE d.doc_id NOT IN (SELECT doc_id FROM e)"""
 
 
 # --- summaries ---------------------------------------------------------------
-def m1_sql(src: str) -> str:
-    """M1 + M4 + M6-M8 over ``src`` (doc_id, text)."""
+def m1_sql(src: str, ss: str | None = None) -> str:
+    """M1 + M4 + M6-M8 over ``src`` (doc_id, text, and its sentences in a column
+    ``ss`` where they are other than G1's)."""
     h = contains_count("lower(s)", V.IMPORTANT_TERMS)
     w = wc("s")
     dates = f"regexp_extract_all(text, {q(V.DATE_PATTERN)})"
     ents = ordered_distinct(f"regexp_extract_all(substr(text, 1, 1000), {q(PARTY_ALT)})[1:5]")
     return f"""
-WITH docs AS (SELECT doc_id, text FROM {src} src),
+WITH docs AS (SELECT doc_id, text{', ' + ss if ss else ''} FROM {src} src),
 base AS (
-  SELECT doc_id, text, list_filter({sents('text')}, lambda z: {wc('z')} > 3) AS kept FROM docs),
+  SELECT doc_id, text, list_filter({ss or sents('text')}, lambda z: {wc('z')} > 3) AS kept FROM docs),
 ks AS (
   SELECT doc_id, unnest(kept) AS s, unnest(range(len(kept))) AS i, len(kept) AS n FROM base),
 sc AS (
@@ -248,9 +250,9 @@ FROM fb
 """
 
 
-def m1_out(src: str) -> str:
+def m1_out(src: str, ss: str | None = None) -> str:
     return f"""SELECT doc_id, summary, original_length, summary_length, compression_ratio, document_type, status,
-  fallback_summary FROM ({m1_sql(src)}) m"""
+  fallback_summary FROM ({m1_sql(src, ss)}) m"""
 
 
 def short_summary(s: str) -> str:
@@ -258,12 +260,12 @@ def short_summary(s: str) -> str:
     return f"(CASE WHEN {short} <> '' THEN {short} ELSE {s} END)"
 
 
-def m2_sql(src: str) -> str:
+def m2_sql(src: str, from_sents: str | None = None) -> str:
     weights = "[" + ", ".join(f"{{'t': {q(t)}, 'w': {w!r}::DOUBLE}}" for t, w in V.LEGAL_WEIGHTS) + "]"
     header = " OR ".join(f"regexp_matches({strip('s')}, {q(re2(p))})" for p in V.SUMMARY_HEADER_PATTERNS)
     base = (f"list_reduce(list_prepend(1.0::DOUBLE, list_transform(list_filter({weights}, "
             f"lambda x: contains(lower(s), x.t)), lambda x: x.w)), lambda a, b: a + b)")
-    return f"""WITH s AS ({sentences_sql(src).replace('sentence', 's')}),
+    return f"""WITH s AS (SELECT doc_id, pos, sentence AS s FROM ({from_sents or sentences_sql(src)}) z),
 sc AS (SELECT doc_id, pos, s,
   (CASE WHEN {header} THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END) *
   (CASE WHEN {wc('s')} > 30 THEN ({base}) * 0.8::DOUBLE ELSE ({base}) END) AS score FROM s),
@@ -584,7 +586,7 @@ FROM (""" + analysis_sql() + ") a"
     o["f2_filter_entities"] = f"""SELECT doc_id, source, ord, text, label FROM {ents} e
 WHERE confidence >= 0.8 AND label IN ('SECTION_TYPE', 'DATE', 'PARTY') AND contains(lower(text), 'part')"""
     o["f3_filter_clauses"] = f"""SELECT doc_id, sec_no, type FROM ({paragraphs_sql(C)}) p
-WHERE confidence >= 0.85 AND contains(lower(text), 'agreement')"""
+WHERE confidence >= 0.85 AND contains(lower(text), 'notice')"""
     o["f4_filter_metadata"] = f"""SELECT doc_id, 'created_date,modified_date' AS keys FROM {C} c
 WHERE contains({iso('modified_at')}, '1998')"""
     o["f5_search_contracts"] = f"""SELECT filename, {q(ANALYZED_AT)} AS analyzed_at FROM ({analysis_sql()}) a
@@ -609,7 +611,9 @@ FROM l"""
     o["x1_analyze_contracts"] = x1_sql()
     o["x1_analyze_documents"] = x1_sql(DOCS_AS_CONTRACTS.replace("['pdf', 'docx', 'txt'][doc_id % 3 + 1]", "['pdf', 'docx'][doc_id % 2 + 1]"))
     o["x4_stream_contracts"] = f"SELECT filename, n_entities, document_type FROM ({x1_sql()}) a"
-    return o
+    from clauselake.plans import learned
+
+    return o | learned.oracle_sql()
 
 
 RISK_RULES = (  # same fixed example rules as the Spark query

@@ -564,7 +564,7 @@ def q_f2(spark, sf):
 
 
 def q_f3(spark, sf):
-    s = FL.filter_clauses(G.paragraph_sections(contracts(spark, sf)), 0.85, (), "agreement")
+    s = FL.filter_clauses(G.paragraph_sections(contracts(spark, sf)), 0.85, (), "notice")
     return s.select("doc_id", "sec_no", "type")
 
 
@@ -638,7 +638,10 @@ def q_x4(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from clauselake.plans import learned
+
     return {
+        **learned.queries(),
         "s1_scan_documents": q_s1, "s2_file_metadata": q_s2, "s3_admission": q_s3,
         "s4_read_annotations": q_s4, "s5_s6_dataset_roundtrip": q_s5_s6, "s7_merge_store": q_s7,
         "s8_load_store": q_s8, "s9_metrics_roundtrip": q_s9, "s10_export_metadata": q_s10,

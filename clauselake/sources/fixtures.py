@@ -103,6 +103,11 @@ def contract_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     intended_type.  The join to ``customer`` is a dimension join; Spark's
     AQE turns it into a broadcast when the runtime size allows.
     """
+    return _rendered(spark, sf_dir, contract_view_sql)
+
+
+def _rendered(spark: SparkSession, sf_dir: str, sql) -> DataFrame:
+    """A view's SQL over ``sf_dir``'s orders, customer and lineitem."""
     import hashlib
 
     from clauselake.sources.tables import spread, table
@@ -116,7 +121,43 @@ def contract_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         # cores when the scan yields fewer partitions (a no-op at scale)
         (spread(t) if name == "orders" else t).createOrReplaceTempView(v)
         views[name] = v
-    return spark.sql(contract_view_sql(views["orders"], views["customer"], views["lineitem"]))
+    return spark.sql(sql(views["orders"], views["customer"], views["lineitem"]))
+
+
+# --- letters: sentences with abbreviations, one letter for each order --------
+def letters_sql(orders: str = "orders", customer: str = "customer", lineitem: str = "lineitem") -> str:
+    """One SQL text accepted unchanged by Spark SQL and DuckDB: (doc_id, text).
+    The parts vary by order key, so that abbreviations, initials, numbers after
+    "No." and ordinary sentence ends all occur in several surroundings."""
+    k, n = "o.o_orderkey", "CAST(coalesce(l.n, 0) AS STRING)"
+
+    def text(x: str) -> str:
+        return f"CAST({x} AS STRING)"
+
+    parts = (
+        f"'Order No. ' || {text(k)} || ' was taken by ' || c.c_name || ' Inc. for the buyer.'",
+        f"CASE {k} % 3 WHEN 0 THEN 'Maple Inc. agrees to U.S. law and to no other order.' "
+        f"WHEN 1 THEN 'The buyer took approx. ' || {n} || ' crates of the order.' "
+        f"WHEN 2 THEN 'Mr. J. Smith signs the order for the buyer.' END",
+        f"CASE {k} % 4 WHEN 0 THEN 'The order is due on Jan. ' || {text(f'{k} % 28 + 1')} || ' at noon. No delay of the order suits the buyer.' "
+        f"WHEN 1 THEN 'Both met at 5 p.m. The buyer was late for the order.' "
+        f"WHEN 2 THEN 'Was the buyer late? No! The order came at noon.' "
+        f"WHEN 3 THEN 'See Art. ' || {text(f'{k} % 20 + 1')} || ' of the law for the crates.' END",
+        "'By law the crates go to the buyer at noon, late or not, in good order.'",
+        f"CASE {k} % 5 WHEN 0 THEN chr(10) || chr(10) || 'Yours, Oak Inc.' || chr(10) || chr(10) || 'P. Reed sends the order.' END",
+    )
+    body = ", ".join(parts)
+    return f"""
+SELECT {k} AS doc_id, concat_ws(' ', {body}) AS text
+FROM {orders} o
+JOIN {customer} c ON o.o_custkey = c.c_custkey
+LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} GROUP BY l_orderkey) l
+  ON l.l_orderkey = o.o_orderkey
+"""
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, letters_sql)
 
 
 # --- derived fixtures (FIXTURES.md section 4) --------------------------------

@@ -34,5 +34,5 @@ def test_query_matches_oracle(spark, con, name):
     rel = con.sql(entry.oracle_sql()[name])
     orows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
-    assert len(srows) == len(orows)
+    assert len(srows) == len(orows) > 0  # agreeing on nothing says nothing
     assert digest(df.columns, srows)[0] == digest(rel.columns, orows)[0]
