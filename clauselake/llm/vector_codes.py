@@ -175,6 +175,15 @@ def _tries(batches: Iterator[pa.RecordBatch], width: int, trie_rows: int) -> Ite
                                               pa.array([weight.astype(np.int64).tobytes()], pa.binary())], names=["part", "wide", "numbers", "weight"])
 
 
+@scan.lean
+def _least_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ``ENTRIES`` smallest ids of a task."""
+    least = np.zeros(0, np.int64)
+    for batch in batches:
+        least = np.unique(np.concatenate((least, batch.column(0).to_numpy())))[:ENTRIES]
+    yield pa.RecordBatch.from_arrays([pa.array(least)], names=["vec_id"])
+
+
 def _stored(numbers: bytes, weight: bytes, wide: bool, step: int) -> Trie:
     values = np.array([int(x) for x in numbers.split(b"\n")], object) if wide else np.frombuffer(numbers, np.int64)
     return Trie(values.reshape(-1, step), np.frombuffer(weight, np.int64))
@@ -225,7 +234,8 @@ def _usable(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> Data
 def train(rows: DataFrame, width: int, rounds: int = ROUNDS, trie_rows: int = TRIE_ROWS) -> list[np.ndarray]:
     """A codebook for each part position, from usable ``rows`` (vec_id, v)."""
     spark, step = rows.sparkSession, width // PARTS
-    first = rows.groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").limit(ENTRIES).collect()
+    ids = rows.select("vec_id").mapInArrow(_least_ids, "vec_id long").distinct().orderBy("vec_id").limit(ENTRIES).collect()
+    first = rows.filter(F.col("vec_id").isin([r.vec_id for r in ids])).groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").collect()
     start = whole(pa.array([list(r.v) for r in first], pa.list_(pa.float64())), width)
     books = [start[:, p * step : (p + 1) * step] for p in range(PARTS)]
     path = work_dir(spark, "vector_codes") + "/tries"
