@@ -126,6 +126,23 @@ def gazetteer_array(text, terms, context: str, source: str, confidence: float =
     return let_(F.lower(col_(text)), body)
 
 
+def term_entities(df: DataFrame, terms: DataFrame, context: str, source: str, confidence: float = 0.8, text_col: str = "text",
+                  id_col: str = "doc_id", broadcast_bytes: int | None = None) -> DataFrame:
+    """E2/E3 with the term list as a table (ord, term, label) of any size: long
+    form, one row for each document and term whose lower-case form occurs in the
+    lower-cased text.  Terms are found through an index of their rarest character
+    gram, not by trying each on each text; empty terms are dropped."""
+    from clauselake.operators import gram_index
+
+    size = gram_index.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    texts = df.select(F.col(id_col), F.col(text_col).alias("_text"))
+    listed = terms.select(F.col("ord").cast("int").alias("ord"), F.col("term").alias("_term"), F.col("label").alias("label"))
+    hits = gram_index.occurrences(texts, listed, (id_col,), "_text", "_term", broadcast_bytes=size)
+    none = F.lit(None).cast("int")
+    return hits.select(id_col, F.lit(source).alias("source"), "ord", F.col("_term").alias("text"), "label", F.lit(confidence).alias("confidence"),
+                       F.lit(context).alias("context"), none.alias("start"), none.alias("end"))
+
+
 def structure_entity_array(text) -> Column:
     return gazetteer_array(text, V.STRUCTURE_TERMS, V.STRUCTURE_CONTEXT, "structure")
 
