@@ -610,7 +610,9 @@ FROM l"""
     # composite
     o["x1_analyze_contracts"] = x1_sql()
     o["x1_analyze_documents"] = x1_sql(DOCS_AS_CONTRACTS.replace("['pdf', 'docx', 'txt'][doc_id % 3 + 1]", "['pdf', 'docx'][doc_id % 2 + 1]"))
-    o["x4_stream_contracts"] = f"SELECT filename, n_entities, document_type FROM ({x1_sql()}) a"
+    submitted = iso("modified_at - to_days(CAST(40 * (doc_id % 3) AS INTEGER))")
+    o["x4_stream_contracts"] = f"""SELECT filename, file_type, n_entities, n_sections, section_types, document_type, summary, compression_ratio,
+  CAST(file_size AS VARCHAR) AS file_size, {submitted} AS analyzed_at FROM ({analysis_sql()}) a"""
     from clauselake.plans import learned
 
     return o | learned.oracle_sql()

@@ -626,15 +626,22 @@ def q_x4(spark, sf):
     from clauselake.streaming.intake import stream_contracts
 
     base = work_dir(spark, "stream")
-    # three intakes into one store, submitted out of order, the last with repeats
+    # three intakes into one store, submitted out of order; the second has other
+    # copies of its own contracts, the third of some of the second's
     c = contracts_in(spark, sf).withColumn("submitted_at", F.date_sub("modified_at", F.lit(0)).cast("timestamp") - F.expr(
         "make_dt_interval(cast(doc_id % 3 as int) * 40)"))
     for part in (1, 0, 2):
-        c.filter((F.col("doc_id") % 3 == part) | ((F.col("doc_id") % 9 == 0) & F.lit(part == 2))).write.parquet(f"{base}/in/part={part}")
+        c.filter(F.col("doc_id") % 3 == part).write.parquet(f"{base}/in/part={part}")
+        if part != 1:
+            copies = c.filter(F.col("doc_id") % (9 if part == 2 else 6) == 0)
+            copies.withColumn("text", F.concat("text", F.lit("\nA copy that is not taken."))).write.parquet(f"{base}/in/part={part}copies")
         stream_contracts(spark, f"{base}/in/*", f"{base}/store", f"{base}/checkpoint")
     s = ST.load_analysis(spark, f"{base}/store")
-    return s.select("filename", F.size("entities").alias("n_entities"),
-                    F.col("summary.document_type").alias("document_type"))
+    return s.select("filename", "file_type", F.size("entities").alias("n_entities"), F.size("sections").alias("n_sections"),
+                    F.array_join(F.transform("sections", lambda x: x["type"]), "|").alias("section_types"),
+                    F.col("summary.document_type").alias("document_type"), F.col("summary.summary").alias("summary"),
+                    _r(F.col("summary.compression_ratio"), name="compression_ratio"), F.col("metadata")["file_size"].alias("file_size"),
+                    F.date_format("analyzed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("analyzed_at"))
 
 
 def queries() -> dict[str, Query]:

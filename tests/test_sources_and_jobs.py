@@ -149,6 +149,32 @@ def test_stream_intake_dedupes(spark):
     assert {r.reason for r in q.collect()} == {"unsupported_type"} and q.count() == 3
 
 
+def test_the_first_copy_is_taken_over_batches_and_restarts(spark):
+    from clauselake.streaming.intake import stream_contracts
+
+    base = work_dir(spark, "stream-copies")
+    body = "The first house lets a berth to the second house until the end of the season for a fixed rent. "
+    schema = "doc_id long, filename string, text string, file_size long, modified_at timestamp, submitted_at timestamp"
+    day = "2024-05-10 00:00:00.123456"
+
+    def arrive(part, rows):
+        rows = [(i, name, None if text is None else body + text, 500, "2024-01-01", at) for i, name, text, at in rows]
+        frame = spark.createDataFrame(rows, "doc_id long, filename string, text string, file_size long, modified_at string, submitted_at string")
+        frame.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in schema.split(", ")]).write.parquet(f"{base}/in/{part}")
+        stream_contracts(spark, f"{base}/in/*", f"{base}/store", f"{base}/ckpt")  # a restarted query each time
+
+    arrive(1, [(7, "a.pdf", "Copy two is here now.", day), (7, "a.pdf", "Copy one is here now.", day), (3, "b.pdf", "Third is here now.", day),
+               (2, "b.pdf", "Zebra is here now.", day), (None, "c.pdf", "No number is here now.", day)])
+    arrive(2, [(1, "a.pdf", "Late copy is here now.", day), (9, "a.pdf", "Another day is here now.", "2024-05-11"), (5, "c.pdf", "Late number is here now.", day)])
+    arrive(3, [(1, "b.pdf", "Very late copy is here now.", day), (4, None, "Nameless is here now.", day), (6, None, "Nameless too is here now.", day),
+               (8, "d.pdf", "Keyless is here now.", None)])
+    got = {(r.filename, str(r.analyzed_at)[:10]): r.summary.summary.split(". ")[-1] for r in ST.load_analysis(spark, f"{base}/store").collect()}
+    assert {k: v.split(" ")[0] for k, v in got.items()} == {("a.pdf", "2024-05-10"): "Copy", ("a.pdf", "2024-05-11"): "Another", ("b.pdf", "2024-05-10"): "Zebra", ("c.pdf", "2024-05-10"): "No"}
+    assert "Copy one" in got["a.pdf", "2024-05-10"]
+    rejected = spark.read.parquet(f"{base}/store_rejected").collect()
+    assert sorted((r.doc_id, r.reason) for r in rejected) == [(4, "missing"), (6, "missing"), (8, "missing")]
+
+
 def test_file_metadata_matches_the_file_system(spark):
     rows = {r.filename: r for r in S.file_metadata(spark, os.path.join(SF_SMALL, "*.parquet")).collect()}
     assert "documents.parquet" in rows
@@ -184,7 +210,8 @@ def test_train_all_reports_every_set(spark):
     by = {}
     for r in rows:
         by.setdefault(r["set"], {})[r.label] = r
-    assert set(by) == {"classifier", "ner", "summarization", "embedding"}
+    assert set(by) == {"classifier", "ner", "tagger", "summarization", "embedding"}
+    assert by["tagger"]["PARTY"].f1 > 0.95 > by["ner"]["PARTY"].f1
     assert all(by[s]["accuracy"].support > 0 and by[s]["accuracy"].tp is None for s in ("classifier", "embedding"))
     assert by["ner"]["overall"].tp is not None and by["ner"]["overall"].overlap is None
     assert 0 <= by["summarization"]["overlap"].overlap <= 1 and by["summarization"]["overlap"].support > 0
