@@ -25,7 +25,9 @@ block-level elements; inside one, white space becomes one space.
 
 Cases: a null or empty html gives the empty text; a page without any element
 gives its bare text; a null url is a host of its own; unclosed or stray tags
-are taken as browsers do; extra columns are not read; repeated rows are
+are taken as browsers do, and a quote that is never closed is a character; what
+``hidden`` or ``display: none`` hides is left out; a very long or deep page takes
+memory in proportion to its length; extra columns are not read; repeated rows are
 extracted each; an empty table gives an empty result.
 """
 
@@ -33,7 +35,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +53,7 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CONTAINER = frozenset("body article main section div td center".split())
 CLOSES_P = BLOCK - {"body", "html", "option", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"}
 SAME = {"li": "ul ol menu", "dd": "dl", "dt": "dl", "option": "select", "tr": "table tbody thead tfoot", "td": "tr", "th": "tr"}
+ALIKE = {"td": ("td", "th"), "th": ("td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
 #: What isn't the main text, by tag, by role, and by a word of a class or id.
 OFF_TAGS = frozenset("nav header footer aside form script style noscript template iframe svg math object button select textarea input dialog head title menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -64,8 +69,12 @@ PARTS = frozenset("box bar list link links item items button buttons btn icon ic
                   "left right side main primary secondary site global posts articles stories news tag tags text content image title toggle row col column group".split())
 OFF_ENDS = frozenset("sidebar footer nav navbar menu breadcrumb breadcrumbs pagination pager comments advert ads share replies".split())
 LINKING = frozenset("has with no without is to how on of in for the a an and or hide show about from by not".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.S)
+#: Attributes as HTML reads them: a quote opens a value only right behind ``=``, and
+#: only where it is closed; anywhere else it is a character like others.
+_VALUE = r"""\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*)"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|=?[^\s/>=]+(?:{_VALUE})?|=)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"""(=?[^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.S)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 COMMENT = re.compile(r"comment|reply|replies|teaser|related", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _DIGITS = re.compile(r"\d+")
@@ -73,14 +82,30 @@ _SPACE = re.compile(r"[ \t\n\r\x0b\f\xa0]+")
 
 
 class Node:
-    """An element: what it is, and its children (texts and elements)."""
+    """An element: what it is, its parent, and its children (texts and elements).
 
-    __slots__ = ("tag", "path", "off", "named", "soft", "children", "own", "bad", "link")
+    ``step`` is its generalised tag and classes; the path is put together only
+    when asked for, ``depth`` and ``sum`` (its slashes and checksum) tell paths
+    apart without it."""
 
-    def __init__(self, tag: str, path: str, off: bool, named: bool = False, soft: bool = False):
-        self.tag, self.path, self.off, self.named, self.soft, self.children = tag, path, off, named, soft, []
+    __slots__ = ("tag", "step", "parent", "depth", "sum", "main", "off", "named", "soft", "children", "own", "bad", "link")
+
+    def __init__(self, tag: str, step: str, parent: Node | None, off: bool, named: bool = False, soft: bool = False):
+        self.tag, self.step, self.parent, self.off, self.named, self.soft, self.children = tag, step, parent, off, named, soft, []
+        below = parent is not None and parent.parent is not None
+        self.depth = step.count("/") + (parent.depth + 1 if below else 0)
+        self.sum = crc32((("/" if below else "") + step).encode(), parent.sum if below else 0)
+        self.main = tag in ("article", "main") or parent is not None and parent.main
         self.own = self.bad = self.link = 0
 
+    @property
+    def path(self) -> str:
+        steps, node = [], self
+        while node.parent is not None:
+            steps.append(node.step)
+            node = node.parent
+        return "/".join(reversed(steps))
+
 
 def _camel(name: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
@@ -94,14 +119,14 @@ def _off_name(name: str) -> bool:
     return all(w in OFF_WORDS or w in PARTS for w in found) or found[-1] in OFF_ENDS and not LINKING.intersection(found)
 
 
-def _make(tag: str, attributes: str, parent: Node | None, known: dict) -> Node:
+def _make(tag: str, attributes: str, parent: Node, known: dict) -> Node:
     key = (tag, attributes)
     if (facts := known.get(key)) is None:
         values = {}
         for name, a, b, c in _ATTR.findall(attributes) if attributes.strip(" /\n\t") else ():
             values.setdefault(name.lower(), entities.unescape(a or b or c))
         names = [part for n in (("class",) if tag in HEADINGS else ("class", "id")) for part in values.get(n, "").split() if _off_name(part)]
-        off = tag in OFF_TAGS or values.get("role", "").lower() in OFF_ROLES or "hidden" in values
+        off = tag in OFF_TAGS or values.get("role", "").lower() in OFF_ROLES or "hidden" in values or bool(_UNSEEN.search(values.get("style", "")))
         named = not off and bool(names) and (tag not in ("body", "html", "article", "main"))
         soft = tag == "form" or named and all(SOFT_WORDS.intersection(_camel(n)) for n in names)
         kinds = sorted({_DIGITS.sub("#", c) for c in values.get("class", "").split()})
@@ -110,15 +135,21 @@ def _make(tag: str, attributes: str, parent: Node | None, known: dict) -> Node:
             known.clear()
     step, off, named, soft = facts
     # an article's own header holds its headline
-    if tag == "header" and parent is not None and any(s.split(".")[0] in ("article", "main") for s in parent.path.split("/")):
+    if tag == "header" and parent.main:
         off = False
-    return Node(tag, f"{parent.path}/{step}" if parent is not None and parent.path else step, off, named, soft)
+    return Node(tag, step, parent, off, named, soft)
 
 
 def parse(page: str, known: dict) -> Node:
     """The element tree below a root without a name."""
-    root = Node("", "", False)
+    root = Node("", "", None, False)
     stack, at = [root], 0
+    open_: Counter = Counter()  # open elements by tag
+
+    def close(i: int) -> None:
+        open_.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     while (m := _TOKEN.search(page, at)) is not None:
         if m.start() > at:
             stack[-1].children.append(page[at : m.start()])
@@ -127,38 +158,41 @@ def parse(page: str, known: dict) -> Node:
         if not tag:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "body", "html", "div", "article", "main", "section"):
                     break
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
-        if tag in SAME:
+        if tag in SAME and any(open_[t] for t in ALIKE.get(tag, (tag,))):
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag or tag in ("td", "th") and stack[i].tag in ("td", "th") or tag in ("dd", "dt") and stack[i].tag in ("dd", "dt"):
-                    del stack[i:]
+                if stack[i].tag in ALIKE.get(tag, (tag,)):
+                    close(i)
                     break
                 if stack[i].tag in SAME[tag]:
                     break
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and open_[tag]:
             continue
         if tag == "body" and stack[-1].tag == "head":
-            stack.pop()
+            close(len(stack) - 1)
         node = _make(tag, m[3], stack[-1], known)
         stack[-1].children.append(node)
+        if tag in ("svg", "math") and m[3].endswith("/"):
+            continue  # elements that close themselves; elsewhere the slash says nothing
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not (m[3] or "").endswith("/"):
+        elif tag not in VOID:
             stack.append(node)
+            open_[tag] += 1
     if at < len(page):
         stack[-1].children.append(page[at:])
     _unmark(root)
@@ -182,7 +216,7 @@ def _unmark(root: Node) -> None:
         size = 0 if off else sum(len(c) for c in node.children if isinstance(c, str) and not c.isspace())
         below = [holds[id(c)] for c in node.children if isinstance(c, Node)]
         holds[id(node)] = (size + sum(b[0] for b in below), (node.tag == "main" and not off) + sum(b[1] for b in below),
-                           (node.tag == "article" and not off and not COMMENT.search(node.path.rsplit("/", 1)[-1])) + sum(b[2] for b in below))
+                           (node.tag == "article" and not off and not COMMENT.search(node.step.rsplit("/", 1)[-1])) + sum(b[2] for b in below))
     text, mains, articles = holds[id(root)]
     for node, _, _ in order:
         if node.named:
@@ -217,7 +251,7 @@ def weigh(root: Node) -> list[Node]:
 
 def best(found: list[Node]) -> Node | None:
     """The container with the highest score, the deepest of equals."""
-    return max(found, key=lambda n: (n.own - 2 * n.bad - 2 * max(0, n.link - n.own // 4), n.path.count("/")), default=None)
+    return max(found, key=lambda n: (n.own - 2 * n.bad - 2 * max(0, n.link - n.own // 4), n.depth), default=None)
 
 
 def blocks(node: Node) -> list[str]:
@@ -266,9 +300,10 @@ def extract(page: str | None, path: str | None, known: dict) -> str:
     root = parse(page, known)
     found = weigh(root)
     own = best(found) or root
-    chosen = [n for n in found if n.path == path]
+    wanted = None if path is None else (path.count("/"), crc32(path.encode()))
+    chosen = [n for n in found if (n.depth, n.sum) == wanted and n.path == path]
     held, all_ = sum(n.own + n.link for n in chosen), own.own + own.link
-    inside = chosen and own.tag != "body" and all(n.path.startswith(own.path + "/") for n in chosen)
+    inside = chosen and own.tag != "body" and path.startswith(own.path + "/")
     if not chosen or 4 * held < all_ or inside and 10 * held < 9 * all_:
         chosen = [own]
     return "\n".join(b for n in chosen for b in blocks(n))

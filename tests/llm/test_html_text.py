@@ -113,3 +113,82 @@ def test_path_inside_the_own_container_must_hold_nearly_all():
     a, b = para(r, 40), para(r, 60)
     page = f"<body><nav>{para(r, 50)}</nav><article><div class=text><p>{a}</p></div><div class=more><p>{b}</p></div></article></body>"
     assert text(page, "body/article/div.text") == f"{a}\n{b}"
+
+
+def test_lone_quotes_swallow_nothing():
+    head, tail = "<article><h1>T1</h1><p>First alpha beta gamma.</p>", "<p>Second delta epsilon.</p><p>I don't know.</p><p>She said \"no\".</p><p>Last.</p></article>"
+    want = "T1\nFirst alpha beta gamma.\nSecond delta epsilon.\nI don't know.\nShe said \"no\".\nLast."
+    for odd in ("<img alt=it's>", '<img alt=5" disc>', "<img alt=5\" title='a > b'>", "<br class=a'b'c>", '<img "loose">', "<img 'x y>", "<img alt = it's src=a/b/>",
+                "<img a==\"b>", "<img a=b=\"c>", '<hr data-x="1"data-y=\'2\'>', "<hr =a'>"):
+        assert text(head + odd + tail) == want, odd
+        assert text(head + f"<p>{odd}</p>" + tail) == want, odd
+    assert text("<article><p title=it's>One two three.</p><p>We don't mind.</p></article>") == "One two three.\nWe don't mind."
+    assert text("<article id=it's><p>One two three.</p><p>We don't mind.</p></article>") == "One two three.\nWe don't mind."
+    assert text("<article><p title=\"never closed>One two.</p><p>Three.</p></article>") == "One two.\nThree."
+
+
+def test_a_slash_closes_void_elements_only():
+    assert text("<body><div class=story/><p>one</p><p>two</p></div><nav>x</nav>") == "one\ntwo"
+    assert text("<article><p>one<br/>two<img src=a/ >three</p><svg width=1/><p>four</p></article>") == "one twothree\nfour"
+    assert text("<article><svg><text>no</text></svg><p>one</p><math/><p>two</p></article>") == "one\ntwo"
+
+
+def test_hidden_parts_are_left_out():
+    assert text("<article><p>one</p><div style='color:red; Display : none'>no</div><p hidden>no</p><p>two</p></article>") == "one\ntwo"
+
+
+def test_every_text_of_a_well_formed_article_comes_out():
+    """Random trees of blocks and inline elements (no links, no other container): the words of all
+    text nodes come out, in order, and nothing else."""
+    r = random.Random(11)
+
+    def attributes():
+        quote = r.choice(['"', "'", ""])
+        value = r.choice(["a", "it's" if quote == '"' else "its", "x>y" if quote else "xy", "5", "wide-col"])
+        return r.choice(["", f" title={quote}{value}{quote}", f" data-n={quote}{value}{quote} lang=en", " checked"])
+
+    def inline(depth):
+        out, words = [], []
+        for _ in range(r.randrange(1, 4)):
+            if depth and r.random() < 0.4:
+                tag = r.choice(["b", "i", "em", "span", "u", "code"])
+                o, w = inline(depth - 1)
+                out.append(f"<{tag}{attributes()}>{o}</{tag}>")
+                words += w
+            else:
+                w = r.choices(WORDS, k=r.randrange(1, 5))
+                out.append(" " + " ".join(w) + " ")
+                words += w
+        return "".join(out), words
+
+    for _ in range(150):
+        body, want = [], []
+        for _ in range(r.randrange(1, 9)):
+            o, w = inline(3)
+            tag = r.choice(["p", "h2", "blockquote", "pre", "li"])
+            body.append(f"<ul><li{attributes()}>{o}</li></ul>" if tag == "li" else f"<{tag}{attributes()}>{o}</{tag}>")
+            want += w
+        page = f"<html><body><nav>menu menu</nav><article{attributes()}>{''.join(body)}</article><footer>foot</footer></body></html>"
+        assert text(page).split() == want
+
+
+def test_deep_pages_take_little_memory():
+    import time
+    import tracemalloc
+
+    page = "<article><p>" + "<font size=1>w " * 20_000 + "<p>x" * 2000 + "</article>"
+    tracemalloc.start()
+    began = time.time()
+    got = text(page, "body/article")
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20 and time.time() - began < 30
+    tracemalloc.stop()
+    assert len(got.split()) == 22_000
+    assert len(text("<div>" * 5000 + "deep" + "</div>" * 5000, "div/div")) == 4
+
+
+def test_the_vote_by_hand(spark):
+    """Texts written out by hand, not by the operator's own extraction."""
+    story = "alpha beta gamma delta epsilon zeta eta theta"
+    pages = [(i, f"http://host/{i}", f"<body><div class=list><p>{'iota kappa ' * (8 if i == 5 else 1)}</p></div><div class=story><p>{story} {i}</p></div><nav>{story * 4}</nav></body>") for i in range(6)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert sorted((x.page_id, x.text) for x in ht.main_texts(df).collect()) == [(i, f"{story} {i}") for i in range(6)]
