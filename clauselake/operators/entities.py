@@ -167,15 +167,26 @@ def legal_term_array(text, existing: Column | None = None) -> Column:
     min(0.5 + 0.1 * words, 0.9).  Mentions that overlap an ``existing``
     entity span are dropped (the earlier-found entity is kept)."""
     text = col_(text)
-    spans = regex_spans(text, legal_term_regex())
-    ents = F.transform(spans, lambda s, i: _entity(
-        "legal", i, s["text"], F.lit("LEGAL_TERM"),
+    spans = F.transform(regex_spans(text, legal_term_regex()), lambda s, i: F.struct(s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"), i.alias("i")))
+    if existing is not None:
+        spans = F.filter(spans, lambda x: ~_overlaps(existing, x))
+    # contexts are cut for what stays
+    return F.transform(spans, lambda s: _entity(
+        "legal", s["i"], s["text"], F.lit("LEGAL_TERM"),
         _word_confidence(s["text"]),
         span_context(text, s["start"], s["end"], 50), s["start"], s["end"]))
-    if existing is None:
-        return ents
-    return F.filter(ents, lambda x: ~F.exists(
-        existing, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+
+
+def _overlaps(spans: Column, x: Column) -> Column:
+    """Whether a span overlaps one of ``spans``, which are in text order and do not
+    overlap each other: the last one that starts before ``x`` ends, found by
+    halving, is the only one that can."""
+    n = F.size(spans)
+    halvings = F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int"))
+    before = F.aggregate(halvings, F.struct(F.lit(0).alias("lo"), n.alias("hi")), lambda r, _: let_(
+        F.shiftright(r["lo"] + r["hi"], 1), lambda mid: F.when((r["lo"] < r["hi"]) & (F.get(spans, mid)["start"] < x["end"]), F.struct(
+            (mid + 1).alias("lo"), r["hi"].alias("hi"))).otherwise(F.struct(r["lo"].alias("lo"), F.least(mid, r["hi"]).alias("hi")))))["lo"]
+    return F.when(n > 0, F.coalesce(F.get(spans, before - 1)["end"] > x["start"], F.lit(False))).otherwise(F.lit(False))
 
 
 # --- E5 ----------------------------------------------------------------------

@@ -150,33 +150,23 @@ def heading_sections(paras: DataFrame, doc_col: str = "doc_id", order_col: str =
     joined by newlines.  One document has >= 1 heading -> heading mode
     (deliberate: the reproduced code needs two).
 
-    Plan: a running count of headings per document (window, one shuffle on
-    the document key) numbers the sections; each section is then
-    assembled by a group-by on (doc, section) that reuses the same
-    partitioning.
+    Plan: one aggregation puts a document's paragraphs, in order, into its row
+    (one shuffle on the document key; a document is one row and bounded by
+    the admission limit); headings, sections and the fallback are array
+    expressions of that row.
     """
-    from pyspark.sql.window import Window
-
-    p = paras.select(doc_col, order_col, text_col, heading_col).filter(strip(F.col(text_col)) != "")
-    w = Window.partitionBy(doc_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumn("_sec", F.sum(F.col(heading_col).cast("int")).over(w))
-    p = p.withColumn("_has", F.max(F.col(heading_col).cast("int")).over(Window.partitionBy(doc_col)))
-    with_heads = (
-        p.filter((F.col("_has") == 1) & (F.col("_sec") > 0))
-        .groupBy(doc_col, "_sec")
-        .agg(F.min(F.struct(order_col, text_col)).alias("_first"),
-             F.sort_array(F.collect_list(F.struct(order_col, text_col))).alias("_parts"))
-        .select(doc_col, (F.col("_sec") - 1).cast("int").alias("sec_no"),
-                strip(F.col("_first")[text_col]).alias("title"),
-                strip(F.array_join(F.transform("_parts", lambda x: x[text_col]), "\n")).alias("text"))
-    )
-    no_heads = (
-        p.filter(F.col("_has") == 0)
-        .groupBy(doc_col)
-        .agg(F.sort_array(F.collect_list(F.struct(order_col, text_col))).alias("_parts"))
-        .select(doc_col, F.array_join(F.transform("_parts", lambda x: x[text_col]), "\n").alias("text"))
-    )
-    return with_heads.unionByName(header_sections(no_heads, "text", doc_col))
+    kept = paras.filter(strip(F.col(text_col)) != "").groupBy(doc_col).agg(F.sort_array(F.collect_list(
+        F.struct(F.col(order_col).alias("o"), F.col(text_col).alias("text"), F.coalesce(F.col(heading_col), F.lit(False)).alias("head")))).alias("_p"))
+    kept = with_arrays(kept, _h=F.filter(F.transform("_p", lambda p, i: F.when(p["head"], i)), lambda i: i.isNotNull()))
+    lines = F.transform("_p", lambda p: p["text"])
+
+    def section(at: Column, j: Column) -> Column:
+        until = F.coalesce(F.get(F.col("_h"), j + 1), F.size("_p"))
+        return F.struct(j.alias("sec_no"), strip(F.get(F.col("_p"), at)["text"]).alias("title"),
+                        strip(F.array_join(F.slice(lines, at + 1, until - at), "\n")).alias("text"))
+
+    return kept.select(doc_col, F.inline(F.when(F.size("_h") > 0, F.transform("_h", section)).otherwise(
+        header_section_array(F.array_join(lines, "\n")))))
 
 
 # --- G9 ----------------------------------------------------------------------

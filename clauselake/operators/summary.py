@@ -2,19 +2,17 @@
 
 M1, M2 and M5 rank inside one document: the sentence/token array is
 sorted with ``array_sort`` in the task that read the document, so the
-ranking needs no shuffle and no window over a skewed key.  M3 (TF-IDF)
-needs term statistics across a document's sentences and runs as
-aggregations keyed by ``doc_id`` that share one hash partitioning.
+ranking needs no shuffle and no window over a skewed key.  M3 (TF-IDF) counts
+terms across a document's sentences by runs of one sorted array of that row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from clauselake import vocab as V
-from clauselake.functions.arrays import let_, with_arrays
+from clauselake.functions.arrays import empty_array, indices, let_, with_arrays
 from clauselake.functions.text import (clean_summary, col_, date_mentions, is_section_header,
                                        lit_str_array, sentence_array, strip, word_count)
 from clauselake.operators.boundary import BoundaryModel, sentences_of
@@ -213,52 +211,70 @@ def summarize_tfidf(df: DataFrame, max_length: int = 150, max_features: int = 10
     ``max_length`` (ties: later sentence first) are joined in document
     order.  Lengths are in sentences.
 
-    Plan: term rows are hash-partitioned once by ``doc_id``; every later
-    aggregate and window is keyed by ``doc_id`` (+ more), so they reuse that
-    partitioning.
+    Plan: everything stays in the document's row.  Its (term, sentence) pairs are
+    sorted once; runs of equal pairs give tf, runs of equal terms df and totals;
+    weights, sorted by sentence, give the norms.  No shuffle, one scan.
     """
     base = with_arrays(df.select(id_col, text_col), _clean=clean_summary(F.col(text_col)))
     base = with_arrays(base, _sents=sentence_array(F.col("_clean")))
     n = F.size("_sents")
     empty = F.col(text_col).isNull() | (strip(F.col(text_col)) == "")
-    short = base.filter(empty | (n <= max_length)).select(
-        id_col,
-        F.when(empty, F.lit("")).otherwise(F.col("_clean")).alias("summary"),
-        F.when(empty, 0).otherwise(n).cast("int").alias("original_length"),
-        F.when(empty, 0).otherwise(n).cast("int").alias("summary_length"),
-        F.when(empty, 0.0).otherwise(1.0).alias("compression_ratio"))
-
-    long_docs = base.filter(~empty & (n > max_length)).select(id_col, "_sents", n.alias("_n"))
     stop = list(V.ENGLISH_STOP_WORDS)
-    rows = long_docs.select(id_col, "_n", F.posexplode("_sents").alias("pos", "s"))
-    rows = with_arrays(rows, _t=F.filter(
-        F.regexp_extract_all(F.lower("s"), F.lit(r"([\p{L}\p{N}_]{2,})"), 1), lambda t: ~t.isin(*stop)))
-    t = F.col("_t")
-    bigrams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))),
-                          lambda i: F.concat(F.get(t, i - 1), F.lit(" "), F.get(t, i)))
-    bigrams = F.when(F.size(t) > 1, bigrams).otherwise(F.expr("CAST(array() AS array<string>)"))
-    terms = rows.select(id_col, "_n", "pos", F.explode_outer(F.concat(t, bigrams)).alias("term"))
-    terms = terms.repartition(id_col)
-    tf = terms.groupBy(id_col, "_n", "pos", "term").agg(F.count(F.lit(1)).alias("tf"))
-    by_term = Window.partitionBy(id_col, "term")
-    tf = tf.withColumn("df", F.count(F.lit(1)).over(by_term)).withColumn(
-        "total", F.sum("tf").over(by_term))
-    tf = tf.withColumn("vocab_rank", F.dense_rank().over(
-        # a sentence without terms has a NULL one, which takes no place in the vocabulary
-        Window.partitionBy(id_col).orderBy(F.col("term").isNull(), F.desc("total"), F.asc("term"))))
-    keep = F.col("term").isNotNull() & (F.col("vocab_rank") <= max_features)
-    w = F.when(keep, F.col("tf") * (F.log((F.col("_n") + 1) / (F.col("df") + 1)) + 1))
-    scores = tf.withColumn("w", w).groupBy(id_col, "pos").agg(
-        F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sw2"))
-    scores = scores.withColumn("score", F.coalesce(F.col("sw") / F.sqrt("sw2"), F.lit(0.0)))
-    scores = scores.withColumn("rk", F.row_number().over(
-        Window.partitionBy(id_col).orderBy(F.desc("score"), F.desc("pos"))))
-    chosen = scores.filter(F.col("rk") <= max_length).groupBy(id_col).agg(
-        F.sort_array(F.collect_list("pos")).alias("_sel"))
-    picked = long_docs.join(chosen, id_col).select(
+
+    def terms(t: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.concat(F.get(t, i - 1), F.lit(" "), F.get(t, i)))
+        return F.concat(t, F.when(F.size(t) > 1, pairs).otherwise(empty_array("string")))
+
+    def entries(s: Column, i: Column) -> Column:
+        words = F.filter(F.regexp_extract_all(F.lower(s), F.lit(r"([\p{L}\p{N}_]{2,})"), 1), lambda t: ~t.isin(*stop))
+        return F.transform(let_(words, terms), lambda t: F.struct(t.alias("t"), i.alias("p")))
+
+    def run_starts(z: Column, key) -> Column:
+        """Places where a sorted array's key changes."""
+        return F.filter(indices(z), lambda i: (i == 0) | (key(F.get(z, i)) != key(F.get(z, i - 1))))
+
+    def until(starts: Column, j: Column, end: Column) -> Column:
+        return F.coalesce(F.get(starts, j + 1), end)
+
+    long_ = ~F.coalesce(empty, F.lit(True)) & (n > max_length)
+    d = with_arrays(base, _z=F.when(long_, F.array_sort(F.flatten(F.transform("_sents", entries)))).otherwise(empty_array("struct<t:string,p:int>")))
+    z = F.col("_z")
+    d = with_arrays(d, _ps=run_starts(z, lambda x: x))
+    ps = F.col("_ps")
+    d = with_arrays(d, _ts=F.filter(indices(ps), lambda j: (j == 0) | (F.get(z, F.get(ps, j))["t"] != F.get(z, F.get(ps, j - 1))["t"])))
+    ts = F.col("_ts")
+    known = F.transform(ts, lambda first, k: let_(until(ts, k, F.size(ps)), lambda last: F.struct(
+        (F.get(ps, first) - F.coalesce(F.get(ps, last), F.size(z))).alias("neg"), F.get(z, F.get(ps, first))["t"].alias("t"),
+        first.alias("first"), (last - first).alias("df"))))
+    # the vocabulary: the most frequent terms, ties by code point
+    d = with_arrays(d, _vocab=F.when(F.size(ts) > max_features, F.slice(F.array_sort(known), 1, max_features)).otherwise(known))
+
+    def weighted(v: Column) -> Column:
+        idf = F.log((n + 1) / (v["df"] + 1)) + 1
+        return let_(idf, lambda w: F.transform(F.sequence(v["first"], v["first"] + v["df"] - 1), lambda j: F.struct(
+            F.get(z, F.get(ps, j))["p"].alias("p"), ((until(ps, j, F.size(z)) - F.get(ps, j)) * w).alias("w"))))
+
+    d = with_arrays(d, _w=F.array_sort(F.flatten(F.transform("_vocab", weighted))))
+    w = F.col("_w")
+    d = with_arrays(d, _ws=run_starts(w, lambda x: x["p"]))
+    ws = F.col("_ws")
+
+    def score(a: Column, j: Column) -> Column:
+        own = F.slice(w, a + 1, until(ws, j, F.size(w)) - a)
+        sums = F.aggregate(own, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda acc, x: F.struct(
+            (acc["s"] + x["w"]).alias("s"), (acc["q"] + x["w"] * x["w"]).alias("q")))
+        return let_(sums, lambda x: F.struct((-(x["s"] / F.sqrt(x["q"]))).alias("neg"), (-F.get(w, a)["p"]).alias("np")))
+
+    scored = F.transform(ws, score)
+    bare = F.array_except(indices(F.col("_sents")), F.transform(ws, lambda a: F.get(w, a)["p"]))  # sentences without a term
+    ranked = F.concat(scored, F.transform(bare, lambda p: F.struct(F.lit(0.0).alias("neg"), (-p).alias("np"))))
+    chosen = F.array_sort(F.transform(F.slice(F.array_sort(ranked), 1, max_length), lambda x: -x["np"]))
+    d = with_arrays(d, _sel=F.when(long_, chosen).otherwise(empty_array("int")))
+    picked = F.array_join(F.transform("_sel", lambda p: F.get(F.col("_sents"), p)), " ")
+    kept = F.size("_sel")
+    return d.select(
         id_col,
-        F.array_join(F.transform("_sel", lambda p: F.get(F.col("_sents"), p)), " ").alias("summary"),
-        F.col("_n").cast("int").alias("original_length"),
-        F.size("_sel").cast("int").alias("summary_length"),
-        (F.size("_sel") / F.col("_n")).cast("double").alias("compression_ratio"))
-    return short.unionByName(picked)
+        F.when(empty, F.lit("")).when(long_, picked).otherwise(F.col("_clean")).alias("summary"),
+        F.when(empty, 0).otherwise(n).cast("int").alias("original_length"),
+        F.when(empty, 0).when(long_, kept).otherwise(n).cast("int").alias("summary_length"),
+        F.when(empty, 0.0).when(long_, kept / n).otherwise(1.0).cast("double").alias("compression_ratio"))
