@@ -427,7 +427,7 @@ FROM {C} c JOIN (SELECT doc_id AS k, string_agg(CAST(start AS VARCHAR) || ':' ||
   FROM ({gold_sql()}) x GROUP BY doc_id) g ON g.k = c.doc_id"""
     o["s7_merge_store"] = f"""SELECT filename, {q(ANALYZED_AT)} AS analyzed_at,
   CASE WHEN doc_id % 9 = 0 THEN 'reloaded' ELSE regexp_extract(filename, '\\.([^./]*)$', 1) END AS file_type,
-  CAST(CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 1 END AS BIGINT) AS load_seq FROM {C} c"""
+  CAST(CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 1 END AS BIGINT) AS load_seq, n_entities, n_sections, document_type FROM ({analysis_sql()}) c"""
     o["s8_load_store"] = f"""SELECT filename, n_entities, n_sections, document_type,
   CAST(file_size AS VARCHAR) AS file_size FROM ({analysis_sql()}) a"""
     o["s9_metrics_roundtrip"] = f"SELECT label, round(f1, 6) AS f1 FROM ({a2_sql()}) a"
