@@ -12,9 +12,25 @@ lambda that references it, which re-evaluates it for every element.
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_built: dict = {}
+
+
+def by_name(build, *names: str) -> Column:
+    """``build(F.col(name), ...)``, put together once for each application.  Large
+    expression trees take longer to build than a small batch to run.  They hold
+    plain column names only, which each query resolves against its own rows."""
+    context = SparkContext._active_spark_context
+    key = (context.applicationId if context else None, build, names)
+    if key[0] is None:
+        return build(*map(F.col, names))
+    if key not in _built:
+        _built[key] = build(*map(F.col, names))
+    return _built[key]
+
 
 def with_arrays(df: DataFrame, **exprs: Column) -> DataFrame:
     """``df`` plus the given columns, each evaluated exactly once per row."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake import vocab as V
-from clauselake.functions.arrays import empty_array, let_, with_arrays
+from clauselake.functions.arrays import by_name, empty_array, let_, with_arrays
 from clauselake.functions.text import col_, lit_str_array, sentence_array, span_context, word_tokens
 
 ENTITY = ("struct<source:string,ord:int,text:string,label:string,confidence:double,"
@@ -240,12 +240,16 @@ def entities(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
 def legal_entities(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """E1 + E4 (the rule NER model): pattern entities, then legal terms that
     do not overlap them, all with the confidence of their word count."""
-    d = with_arrays(df.select(id_col, text_col), e1=pattern_entity_array(F.col(text_col)))
-    ruled = F.transform("e1", lambda e: e.withField("confidence", _word_confidence(e["text"])))
-    d = d.select(id_col, F.concat(ruled, legal_term_array(F.col(text_col), F.col("e1"))).alias("e"))
+    d = with_arrays(df.select(id_col, text_col), e1=by_name(pattern_entity_array, text_col))
+    d = d.select(id_col, by_name(_ruled, text_col, "e1").alias("e"))
     return d.select(id_col, F.inline("e"))
 
 
+def _ruled(text: Column, e1: Column) -> Column:
+    ruled = F.transform(e1, lambda e: e.withField("confidence", _word_confidence(e["text"])))
+    return F.concat(ruled, legal_term_array(text, e1))
+
+
 # --- E8 / E9 / E10 -----------------------------------------------------------
 def entities_by_label(ents: Column) -> Column:
     """Map label -> mentions, labels in first-appearance order.
