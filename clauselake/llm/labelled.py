@@ -26,6 +26,14 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, r
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(chosen, "doc_id")
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """A column name that ``rows`` doesn't have."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0, ridge: float = 1e-2, steps: int = 30) -> tuple[np.ndarray, float]:
     """Weights and intercept of a ridge logistic regression (Newton steps)."""
     x1 = np.concatenate((x, np.ones((len(x), 1))), 1)

@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm import scan
+from clauselake.llm import labelled, scan
 from clauselake.session import ensure_checkpoint_dir, work_dir
 
 SHINGLE = 3
@@ -300,8 +300,9 @@ def groups(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", per
 def keep_one(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The input's rows without those that a smaller id of their group stands
     for."""
-    gone = groups(documents, text, doc_id, percent, shingle).filter("not kept").select(F.col("doc_id").alias("_nd_id"))
-    return documents.join(gone, F.col(f"`{doc_id}`") == F.col("_nd_id"), "left_anti")
+    own = labelled.unused(documents, "_nd_id")
+    gone = groups(documents, text, doc_id, percent, shingle).filter("not kept").select(F.col("doc_id").alias(own))
+    return documents.join(gone, F.col(f"`{doc_id}`") == F.col(own), "left_anti")
 
 
 #: The same groups in DuckDB SQL: all pairs that share a shingle, and the

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm import scan
+from clauselake.llm import labelled, scan
 from clauselake.session import work_dir
 
 #: Fixed values of the base rules.
@@ -188,5 +188,6 @@ def apply_rules(documents: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame) -> DataFrame:
     """The input's rows that the rules keep."""
-    good = apply_rules(documents).filter("kept").select(F.col("doc_id").alias("_qr_id")).distinct()
-    return documents.join(good, F.col("doc_id").eqNullSafe(F.col("_qr_id")), "left_semi")
+    own = labelled.unused(documents, "_qr_id")
+    good = apply_rules(documents).filter("kept").select(F.col("doc_id").alias(own)).distinct()
+    return documents.join(good, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")

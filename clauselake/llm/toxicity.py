@@ -234,9 +234,17 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, folds: int = 3, held
                          F.col("_tx_score").alias("score"), F.col("_tx_predicted").alias("predicted"))
 
 
+@scan.lean
+def _clean(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Whole rows that are not predicted toxic."""
+    measure = Distance(model)
+    for batch in batches:
+        seen = [measure.document(words(t)) for t in batch.column("text").to_pylist()]
+        yield batch.filter(pa.array(model.score(np.array(seen, float).reshape(len(seen), 3)) < threshold))
+
+
 def drop_toxic(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = THRESHOLD) -> DataFrame:
-    """The input's rows that are not predicted toxic."""
+    """The input's rows that are not predicted toxic, whatever its columns are
+    called."""
     model = fit(documents, labels, "toxic", _learn(folds, held))
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    scored = documents.mapInArrow(lambda it: _scored(it, model, threshold), f"{columns}, _tx_score double, _tx_predicted int")
-    return scored.filter("_tx_predicted = 0").select(*(F.col(f"`{c}`") for c in documents.columns))
+    return documents.mapInArrow(lambda it: _clean(it, model, threshold), documents.schema)

@@ -10,16 +10,16 @@ from clauselake.llm import near_dup as nd
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shingles(text):
+def shingles(text, k=3):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = WORD.findall(low)
     if not w:
         return frozenset()
-    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) or frozenset([tuple(w)])
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) or frozenset([tuple(w)])
 
 
-def brute(rows):
-    s = {i: shingles(t) for i, t in rows}
+def brute(rows, k=3, percent=85):
+    s = {i: shingles(t, k) for i, t in rows}
     ids, parent = sorted(s), {i: i for i in s}
 
     def root(x):
@@ -30,7 +30,7 @@ def brute(rows):
     for p, a in enumerate(ids):
         for b in ids[p + 1 :]:
             n = len(s[a] & s[b])
-            if n and 100 * n >= 85 * len(s[a] | s[b]):
+            if n and 100 * n >= percent * len(s[a] | s[b]):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {(i, len(s[i]), root(i), root(i) == i) for i in ids}

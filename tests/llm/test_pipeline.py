@@ -41,7 +41,7 @@ def test_near_dedup_keeps_one_of_each_group(stages):
     from tests.llm.test_near_dup import brute
 
     rows = [(r.doc_id, r.text) for r in stages[1].collect()]
-    assert {r.doc_id for r in stages[2].collect()} == {i for i, _, _, kept in brute(rows) if kept}
+    assert {r.doc_id for r in stages[2].collect()} == {i for i, _, _, kept in brute(rows, 5, 80) if kept}
 
 
 def test_substring_dedup_takes_effect(stages):
