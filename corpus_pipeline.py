@@ -4,8 +4,8 @@ Each stage takes what the one before kept and returns the columns of
 ``documents`` (the last one the encoded documents):
 
 1. toxicity: documents that it rejects go;
-2. MinHash near-dedup: of each group (op9's links: 85 % of the 3-word shingles)
-   the smallest id stays;
+2. MinHash near-dedup: of each group (links: 80 % of the 5-word shingles) the
+   smallest id stays;
 3. substring dedup: words of passages that a smaller document has go; a text
    that loses some becomes its kept words joined by one space;
 4. mixing sources: each document is emitted as often as its source's rate and
@@ -32,10 +32,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that stand for their near-duplicate group, by op9's links: 85 % of the
-    3-word shingles (``keep_one`` takes another percentage and length)."""
+    """Rows that stand for their near-duplicate group, by links of 80 % of the
+    5-word shingles."""
     ship_package(spark)
-    return near_dup.keep_one(docs)
+    return near_dup.keep_one(docs, percent=80, shingle=5)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
