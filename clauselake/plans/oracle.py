@@ -12,7 +12,7 @@ from clauselake import vocab as V
 from clauselake.plans.sqlparts import (ENTITY_ALT, PARTY_ALT, WORDCH, WS, clean_app, clean_basic,
                                        clean_summary, contains_count, doc_type, ellipsize, fix_punct, iso,
                                        ordered_distinct, q, qlist, re2, section_type, sents, strip, wc)
-from clauselake.sources.fixtures import CLOSING_TYPES, FIXTURE_CLAUSE_TYPES, contract_view_sql
+from clauselake.sources.fixtures import CLOSING_TYPES, FIXTURE_CLAUSE_TYPES, RISK_RULES, contract_view_sql
 
 CONTRACTS = (f"(SELECT doc_id, filename, text, cust_key, c_name, modified_at, intended_type, "
              f"CAST(strlen(text) AS BIGINT) AS file_size FROM ({contract_view_sql()}) cv)")
@@ -433,6 +433,8 @@ FROM {C} c JOIN (SELECT doc_id AS k, string_agg(CAST(start AS VARCHAR) || ':' ||
     o["s9_metrics_roundtrip"] = f"SELECT label, round(f1, 6) AS f1 FROM ({a2_sql()}) a"
     o["s10_export_metadata"] = f"""SELECT doc_id, '{{"created_date":"' || {iso('modified_at')} ||
   '","modified_date":"' || {iso('modified_at')} || '"}}' AS metadata_json FROM {C} c"""
+    o["s10_export_metadata_pretty"] = f"""SELECT doc_id, '{{' || chr(10) || '  "created_date": "' || {iso('modified_at')} || '",' || chr(10) ||
+  '  "modified_date": "' || {iso('modified_at')} || '"' || chr(10) || '}}' AS metadata_json FROM {C} c"""
     o["s12_pages_to_text"] = f"SELECT page_id, url, {clean_basic(html_text('html'))} AS text FROM pages"
     squashed = f"trim(regexp_replace(coalesce(text, ''), {q(WS + '+')}, ' ', 'g'))"
     o["s12_join_pages"] = f"""SELECT conv_id AS doc_id, {clean_app("coalesce(string_agg(nullif(t, ''), ' ' ORDER BY turn), '')")} AS text
@@ -468,6 +470,7 @@ n AS (SELECT CAST(k // 10 AS BIGINT) AS doc_id, CAST((k % 10) // 4 + 1 AS INTEGE
   CAST(row_number() OVER (PARTITION BY k // 10, (k % 10) // 4 ORDER BY k) AS INTEGER) AS table_number,
   CAST(n_rows AS INTEGER) AS n_rows, 3 AS n_columns, cells, k FROM t)
 SELECT doc_id, page, table_number, n_rows, n_columns, cells FROM n WHERE k % 13 <> 0"""
+    o["s16_normalize_tables_stripped"] = o["s16_normalize_tables"]
     o["s17_media_inventory"] = """SELECT page_id // 10 AS doc_id, CAST((page_id % 10) // 3 + 1 AS INTEGER) AS page, page_id AS blob_no,
   CAST(row_number() OVER (PARTITION BY page_id // 10, (page_id % 10) // 3 ORDER BY page_id) AS INTEGER) AS image_number,
   CASE WHEN page_id % 3 = 0 THEN 'jpeg' ELSE 'png' END AS format FROM pages"""
@@ -607,6 +610,12 @@ FROM ({gold_sql()}) g GROUP BY doc_id"""
 SELECT doc_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)),
   doc_id) <= floor(0.2::DOUBLE * count(*) OVER (PARTITION BY label) + 0.5) THEN 'test' ELSE 'train' END AS split
 FROM l"""
+    # the annotated label follows from a line of the contract, so every held-out row has to be predicted right
+    held = f"""(SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id)
+    <= floor(0.2::DOUBLE * count(*) OVER (PARTITION BY label) + 0.5) AS test FROM ({o['d2_prepare_classifier']}) l)"""
+    o["c6_predict_clauses"] = f"""SELECT doc_id, h.label AS predicted, description, true AS sure FROM {held} h
+JOIN {_values(V.CLAUSE_TYPES)} t(label, description) ON t.label = h.label WHERE test"""
+    o["s11_model_roundtrip"] = f"SELECT label AS predicted, count(*) AS n FROM {held} h WHERE test GROUP BY label"
     # composite
     o["x1_analyze_contracts"] = x1_sql()
     o["x1_analyze_documents"] = x1_sql(DOCS_AS_CONTRACTS.replace("['pdf', 'docx', 'txt'][doc_id % 3 + 1]", "['pdf', 'docx'][doc_id % 2 + 1]"))
@@ -618,13 +627,6 @@ FROM l"""
     return o | learned.oracle_sql()
 
 
-RISK_RULES = (  # same fixed example rules as the Spark query
-    ("TERMINATION_NOTICE", "Termination needs written notice", "medium", "(?i)written notice"),
-    ("LIABILITY_CAP", "Liability is capped", "high", "(?i)liability .* capped"),
-    ("ASSIGNMENT_BAN", "Assignment is restricted", "low", "(?i)may not assign"),
-)
-
-
 def html_text(x: str) -> str:
     t = f"regexp_replace({x}, '(?is)<script\\b.*?</script[^>]*>', ' ', 'g')"
     t = f"regexp_replace({t}, '(?is)<style\\b.*?</style[^>]*>', ' ', 'g')"

@@ -172,6 +172,12 @@ def q_s10(spark, sf):
     return ST.export_metadata(c.select("doc_id", md.alias("metadata"))).select("doc_id", "metadata_json")
 
 
+def q_s10_pretty(spark, sf):
+    c = contracts(spark, sf)
+    md = FL.filter_metadata(S.metadata_map(F.col("filename"), F.col("file_size"), F.col("modified_at")))
+    return ST.export_metadata(c.select("doc_id", md.alias("metadata")), pretty=True).select("doc_id", "metadata_json")
+
+
 def q_s11(spark, sf):
     from clauselake.operators.ml import load_model, predict_clauses, save_model, train_and_hold_out
 
@@ -244,6 +250,14 @@ def q_s16(spark, sf):
                     F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";").alias("cells"))
 
 
+def q_s16_stripped(spark, sf):
+    """The variant that strips cells, on cells with white space around them."""
+    padded = F.transform("rows", lambda r: F.transform(r, lambda c: F.concat(F.lit(" \t"), c, F.lit("\n "))))
+    t = S.normalize_tables(S.order_tables(spark, sf).withColumn("rows", padded), strip_cells=True)
+    return t.select("doc_id", "page", "table_number", "n_rows", "n_columns",
+                    F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";").alias("cells"))
+
+
 def q_s17(spark, sf):
     return S.media_inventory(S.page_blobs(spark, sf)).select("doc_id", "page", "blob_no", "image_number", "format")
 
@@ -370,7 +384,7 @@ def q_c6(spark, sf):
     from clauselake.operators.ml import predict_clauses, train_and_hold_out
 
     model, test = train_and_hold_out(D.prepare_classifier(FX.annotated_corpus(spark, sf)))
-    return predict_clauses(model, test).select("doc_id", "predicted", "description")
+    return predict_clauses(model, test).select("doc_id", "predicted", "description", (F.col("confidence") > 0.5).alias("sure"))
 
 
 def q_c7(spark, sf):
@@ -385,16 +399,9 @@ def q_c8(spark, sf):
     return missing_labels(D.prepare_classifier(FX.annotated_corpus(spark, sf)))
 
 
-RISK_RULES = (  # fixed example rule table for the C9 extension
-    ("TERMINATION_NOTICE", "Termination needs written notice", "medium", "(?i)written notice"),
-    ("LIABILITY_CAP", "Liability is capped", "high", "(?i)liability .* capped"),
-    ("ASSIGNMENT_BAN", "Assignment is restricted", "low", "(?i)may not assign"),
-)
-
-
 def q_c9(spark, sf):
     secs = with_arrays(contracts(spark, sf), sections=G.header_section_array(F.col("text")))
-    r = C.risks(secs, list(RISK_RULES))
+    r = C.risks(secs, list(FX.RISK_RULES))
     return r.select("doc_id", F.size("risks").alias("n_risks"),
                     F.array_join(F.transform("risks", lambda x: x["type"]), "|").alias("types"))
 
@@ -656,9 +663,10 @@ def queries() -> dict[str, Query]:
         **learned.queries(),
         "s1_scan_documents": q_s1, "s2_file_metadata": q_s2, "s3_admission": q_s3,
         "s4_read_annotations": q_s4, "s5_s6_dataset_roundtrip": q_s5_s6, "s7_merge_store": q_s7,
-        "s8_load_store": q_s8, "s9_metrics_roundtrip": q_s9, "s10_export_metadata": q_s10,
+        "s8_load_store": q_s8, "s9_metrics_roundtrip": q_s9, "s10_export_metadata": q_s10, "s10_export_metadata_pretty": q_s10_pretty,
         "s11_model_roundtrip": q_s11, "s12_pages_to_text": q_s12, "s12_join_pages": q_s12_pages, "s7_store_save_load_search": q_s7_sink, "s13_assemble_pages": q_s13,
         "s14_assemble_paragraphs": q_s14, "s14_assemble_paragraphs_keep_blank": q_s14_keep_blank, "s15_doc_properties": q_s15, "s16_normalize_tables": q_s16,
+        "s16_normalize_tables_stripped": q_s16_stripped,
         "s17_media_inventory": q_s17,
         "n1_clean_app": q_n1, "n2_clean_basic": q_n2, "n3_clean_summary": q_n3, "n4_word_count": q_n4,
         "n5_ellipsize": q_n5, "n6_span_context": q_n6, "n7_display_formats": q_n7,
