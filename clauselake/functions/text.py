@@ -111,6 +111,30 @@ def span_context(text, start, end, width: int = 50) -> Column:
     return text.substr(lo + 1, F.greatest(hi - lo, F.lit(0)))
 
 
+#: Characters of a piece of a text that many spans are cut from.
+PIECE_BITS = 10
+
+
+def pieces_of(text) -> Column:
+    """A text as struct(length, pieces of ``2**PIECE_BITS`` characters): cutting a
+    span from it does not walk the text from its start."""
+    parts = F.regexp_extract_all(col_(text), F.lit(f"(?s).{{1,{1 << PIECE_BITS}}}"), 0)
+    return F.get(F.transform(F.array(parts), lambda p: F.struct(
+        F.when(F.size(p) > 0, F.shiftleft(F.size(p) - 1, PIECE_BITS) + F.length(F.get(p, F.size(p) - 1))).otherwise(F.lit(0)).alias("n"), p.alias("p"))), 0)
+
+
+def cut(pieces: Column, lo: Column, hi: Column) -> Column:
+    """Characters lo..hi-1 (0-based, inside the text) from its pieces."""
+    first = F.shiftright(lo, PIECE_BITS)
+    last = F.shiftright(F.greatest(hi - 1, lo), PIECE_BITS)
+    return F.array_join(F.slice(pieces["p"], first + 1, last - first + 1), "").substr(lo - F.shiftleft(first, PIECE_BITS) + 1, F.greatest(hi - lo, F.lit(0)))
+
+
+def cut_context(pieces: Column, start: Column, end: Column, width: int = 50) -> Column:
+    """N6 from a text's pieces."""
+    return cut(pieces, F.greatest(start - width, F.lit(0)), F.least(pieces["n"], end + width))
+
+
 def fmt_percent(x, dp: int = 1) -> Column:
     """Python ``f"{x:.{dp}%}"`` (ties go to the even digit)."""
     return F.format_string(f"%.{dp}f%%", F.bround(col_(x) * 100.0, dp))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clauselake import vocab as V
 from clauselake.functions.arrays import by_name, empty_array, let_, with_arrays
-from clauselake.functions.text import col_, lit_str_array, sentence_array, span_context, word_tokens
+from clauselake.functions.text import col_, cut_context, lit_str_array, pieces_of, sentence_array, word_tokens
 
 ENTITY = ("struct<source:string,ord:int,text:string,label:string,confidence:double,"
           "context:string,start:int,end:int>")
@@ -100,9 +100,9 @@ def pattern_entity_array(text, rules=V.PATTERN_ENTITY_RULES, confidence: float =
             out = F.when(m.rlike(f"^(?:{p})$"), F.lit(lab)).otherwise(out)
         return out
 
-    return F.transform(spans, lambda s, i: _entity(
+    return let_(pieces_of(text), lambda ps: F.transform(spans, lambda s, i: _entity(
         source, i, s["text"], label(s["text"]), F.lit(confidence),
-        span_context(text, s["start"], s["end"], 50), s["start"], s["end"]))
+        cut_context(ps, s["start"], s["end"], 50), s["start"], s["end"])))
 
 
 def party_mentions(text) -> Column:
@@ -171,10 +171,10 @@ def legal_term_array(text, existing: Column | None = None) -> Column:
     if existing is not None:
         spans = F.filter(spans, lambda x: ~_overlaps(existing, x))
     # contexts are cut for what stays
-    return F.transform(spans, lambda s: _entity(
+    return let_(pieces_of(text), lambda ps: F.transform(spans, lambda s: _entity(
         "legal", s["i"], s["text"], F.lit("LEGAL_TERM"),
         _word_confidence(s["text"]),
-        span_context(text, s["start"], s["end"], 50), s["start"], s["end"]))
+        cut_context(ps, s["start"], s["end"], 50), s["start"], s["end"])))
 
 
 def _overlaps(spans: Column, x: Column) -> Column:
