@@ -5,20 +5,24 @@ round every sequence finds the lowest merge rank among its adjacent pairs and
 all sequences apply theirs at once (occurrences of the pair from left to right,
 without overlap); a sequence that has no pair left is done, and its surviving
 symbols are its tokens.  Only distinct pre-tokens are merged; a bounded cache
-keeps counts between slices.
+keeps counts between slices.  A pre-token of over ``LONG`` bytes keeps its pairs'
+ranks, and their places by rank, between rounds: a round then costs as much as
+its pair has occurrences.
 
 The vocabulary is a byte-level BPE file of the tokenizers library (its path is
 a parameter); special strings found in a text count as one token each, which is
 the library's default.  No begin, end or added tokens, no truncation.
 
-Cases: a null or empty text has 0 bytes and 0 tokens; extra columns are not
-read; repeated rows are counted each; an empty table gives an empty result.
+Cases: a null or empty text has 0 bytes and 0 tokens; very long texts and
+pre-tokens are counted whole (1 MB of letters takes seconds), memory follows a
+slice of about ``SLICE_BYTES`` or the longest text; extra columns are not read; repeated rows are counted each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,8 @@ SLICE_BYTES = 4 << 20
 #: UTF-8 bytes of pre-tokens merged at a time.
 MERGE_BYTES = 2 << 20
 _NONE = np.int64(1 << 40)
+#: Bytes from which a pre-token keeps its ranks between rounds.
+LONG = 2048
 
 
 def byte_symbols() -> dict[str, int]:
@@ -67,6 +73,11 @@ class RankMerger:
         """Number of tokens of each pre-token."""
         out = np.zeros(len(tokens), np.int64)
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        if (long := np.flatnonzero(sizes > LONG)).size:
+            out[long] = [self._long(tokens[i]) for i in long.tolist()]
+            rest = np.flatnonzero(sizes <= LONG)
+            out[rest] = self.counts([tokens[i] for i in rest.tolist()])
+            return out
         total = np.concatenate(([0], np.cumsum(sizes)))
         lo = 0
         while lo < len(tokens):
@@ -75,6 +86,60 @@ class RankMerger:
             lo = hi
         return out
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], _NONE)
+
+    def _long(self, token: bytes) -> int:
+        """Number of tokens of one long pre-token."""
+        sym = self.base[np.frombuffer(token, np.uint8)]
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, _NONE)  # of each symbol with the one after it
+        rank[:-1] = self._rank(sym[:-1], sym[1:])
+        places: dict[int, list[np.ndarray]] = {}
+
+        def file(at: np.ndarray) -> list[int]:
+            """Puts places down under their ranks; returns ranks that are new."""
+            at = at[rank[at] != _NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            cut = np.flatnonzero(np.diff(rank[at])) + 1
+            fresh = []
+            for part in np.split(at, cut) if len(at) else ():
+                r = int(rank[part[0]])
+                if r not in places:
+                    places[r] = []
+                    fresh.append(r)
+                places[r].append(part)
+            return fresh
+
+        left, heap = n, file(np.arange(n))
+        heapify(heap)
+        while heap:
+            r = heappop(heap)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # of touching occurrences (one symbol paired with itself) every second stays
+            begin = np.concatenate(([True], at[1:] != after[at[:-1]]))
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(begin, place, 0))) % 2 == 0]
+            gone = after[at]
+            sym[at], rank[gone] = self.made[r], _NONE
+            after[at] = ahead = after[gone]
+            inside = ahead < n
+            before[ahead[inside]] = at[inside]
+            left -= len(at)
+            changed = np.unique(np.concatenate((at, before[at][before[at] >= 0])))
+            paired = changed[after[changed] < n]
+            rank[changed] = _NONE
+            rank[paired] = self._rank(sym[paired], sym[after[paired]])
+            for new in file(paired):
+                heappush(heap, new)
+        return left
+
     def _merge(self, data: bytes, sizes: np.ndarray) -> np.ndarray:
         left = np.zeros(len(sizes), np.int64)
         sym = self.base[np.frombuffer(data, np.uint8)]

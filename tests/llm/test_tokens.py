@@ -101,3 +101,28 @@ def test_long_words_hold_little_and_equal_the_library():
         out += machine.finish()
         assert [v.ids[t] for t in out] == lib.encode(word, add_special_tokens=False).ids
         assert most <= v.lookahead + 64 + 32
+
+
+def test_long_pre_tokens_equal_the_library_in_seconds(monkeypatch):
+    import random
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from clauselake.llm import token_counts as tc
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, counter = Tokenizer.from_file(path), tc.TextCounter(path)
+    r = random.Random(8)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)), "a" * 100_001, "ab" * 50_000, "the" * 40_000 + "!" * 3_000 + "é" * 5_000,
+             " " * 5_000 + "x", "".join(r.choices("aab", k=30_000)), "0123456789" * 900]
+    began = time.time()
+    assert counter(texts) == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert time.time() - began < 60
+    began = time.time()
+    counter(["".join(r.choices("etaoinshrdlu", k=1_000_000))])
+    assert time.time() - began < 60
+    monkeypatch.setattr(tc, "LONG", 0)  # every pre-token
+    words = [("".join(r.choices("abcdeé ", k=r.randrange(40))) + r.choice(["", "ing", "tion"])) for _ in range(400)]
+    assert tc.TextCounter(path)(words) == [len(lib.encode(t, add_special_tokens=False).ids) for t in words]
