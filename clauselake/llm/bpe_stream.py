@@ -9,9 +9,11 @@ had to be made first.  The longest total length of such a chain of merges,
 computed once from the merge list, is the lookahead: a token that ends at least
 so many symbols before the end of what has arrived is stable and is emitted.
 Between the last stable token and the end lie a bounded number of symbols, which
-is all that the transducer holds.  ``Encoder`` uses it for words of more than
-``lookahead + BLOCK`` symbols and merges shorter ones whole; it holds each word,
-its tokens and each piece of text up to the next white space.
+is all that the transducer holds.  ``Encoder`` feeds it the symbols of every word,
+``BLOCK`` at a time, and hands on what is stable; a word that ends before anything
+has to be settled is merged when it ends.  Ids of words up to ``BLOCK`` characters
+are kept in a bounded cache; a longer word's are handed on block by block.  Held
+beside them is a piece of text up to the next white space.
 
 Decoding.  Ids become bytes, and an incremental UTF-8 state machine turns bytes
 into text while a character may still be cut between two tokens.
@@ -21,7 +23,8 @@ parameter) that normalises by NFC, one space for white space, and lower case.
 Special strings in a text are one token each, the library's default.
 
 Cases: a null or empty text has no tokens and decodes to nothing; extra columns
-are not read; an empty table gives an empty result.
+are not read; repeated rows give equal results; very long texts and words are
+coded whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -175,20 +178,22 @@ class Encoder:
                                      if vocabulary.special else r"((?!))")
         self.space = regex.compile(r"\s+")
         self.cache: dict[str, bytes] = {}
+        self.machine = WordTransducer(vocabulary.ranks, vocabulary.lookahead)
+
+    def stream(self, word: str) -> Iterator[bytes]:
+        """Ids of one pre-token, as they settle."""
+        plain = word.isascii() and word.isalnum()
+        for i in range(0, len(word), self.block):
+            part = word[i : i + self.block]
+            if settled := self.machine.feed(list(part if plain else map(self.v.chars.__getitem__, part.encode()))):
+                yield self._packed(settled)
+        yield self._packed(self.machine.finish())
+
+    def _packed(self, tokens: list[str]) -> bytes:
+        return struct.pack(f"<{len(tokens)}I", *map(self.v.ids.__getitem__, tokens))
 
     def word(self, word: str) -> bytes:
-        """Ids of one pre-token."""
-        parts = list(word if word.isascii() and word.isalnum() else map(self.v.chars.__getitem__, word.encode()))
-        if len(parts) > self.v.lookahead + self.block:
-            machine = WordTransducer(self.v.ranks, self.v.lookahead)
-            tokens: list[str] = []
-            for i in range(0, len(parts), self.block):
-                tokens += machine.feed(parts[i : i + self.block])
-            tokens += machine.finish()
-        else:  # merged whole, the same tokens at less cost
-            parts[-1] += WORD_END
-            tokens = merge(parts, self.v.ranks)
-        return struct.pack(f"<{len(tokens)}I", *map(self.v.ids.__getitem__, tokens))
+        return b"".join(self.stream(word))
 
     def normal(self, text: str) -> str:
         # lower-casing goes character by character, so no final sigma
@@ -214,10 +219,20 @@ class Encoder:
                 words = self.split.findall(self.normal(piece))
                 if len(cache) > CACHE:
                     cache.clear()
+                long = False
                 for w in set(words):
-                    if w not in cache:
+                    if len(w) > self.block:
+                        long = True
+                    elif w not in cache:
                         cache[w] = self.word(w)
-                yield b"".join(map(cache.__getitem__, words))
+                if not long:
+                    yield b"".join(map(cache.__getitem__, words))
+                    continue
+                for w in words:
+                    if len(w) > self.block:
+                        yield from self.stream(w)
+                    else:
+                        yield cache[w]
 
 
 class Decoder:

@@ -126,3 +126,31 @@ def test_long_pre_tokens_equal_the_library_in_seconds(monkeypatch):
     monkeypatch.setattr(tc, "LONG", 0)  # every pre-token
     words = [("".join(r.choices("abcdeé ", k=r.randrange(40))) + r.choice(["", "ing", "tion"])) for _ in range(400)]
     assert tc.TextCounter(path)(words) == [len(lib.encode(t, add_special_tokens=False).ids) for t in words]
+
+
+def test_every_word_passes_the_transducer_and_long_ones_leave_it_in_parts(monkeypatch):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from clauselake.llm import bpe_stream as bs
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    vocabulary, lib = bs.Vocabulary(path), Tokenizer.from_file(path)
+    fed = []
+    plain = bs.WordTransducer.feed
+    monkeypatch.setattr(bs.WordTransducer, "feed", lambda self, parts: fed.append(len(parts)) or plain(self, parts))
+    r = random.Random(3)
+    for block in (1, 7, 64, bs.BLOCK):
+        encode = bs.Encoder(vocabulary, block)
+        for n in (1, 2, 6, 63, 64, 65, 700, 730, 1100, 1800, 5000):
+            if n > 2000 and block < 64:
+                continue
+            text = "x " + "".join(r.choices("etaonéß", k=n)) + " y"
+            fed.clear()
+            parts = list(encode(text))
+            want = lib.encode(text, add_special_tokens=False).ids
+            assert [i for p in parts for i in struct.unpack(f"<{len(p) // 4}I", p)] == want
+            assert sum(fed) >= n and max(fed) <= 2 * block
+    assert max(map(len, encode("".join(r.choices("etaoin", k=50_000))))) < 4 * 2048
