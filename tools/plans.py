@@ -3,8 +3,9 @@
 For each query: shuffles (Exchange other than broadcast), broadcasts,
 sort-merge / broadcast-hash joins, windows, aggregates, generators, and the
 scans' ReadSchema.  Plans are taken before execution (AQE may still turn a
-shuffled join into a broadcast join at run time).  Queries that write files
-while being built (sources, training, streaming) are skipped.
+shuffled join into a broadcast join at run time).  Of queries that write files
+or run jobs while being built (sources, training, streaming), the plan is that of
+what they return.
 Usage: python tools/plans.py [sf_dir] > PLANS.md
 """
 
@@ -19,11 +20,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from clauselake.plans.queries import queries  # noqa: E402
 from clauselake.session import local_session  # noqa: E402
 
-SKIP = {"s4_read_annotations", "s5_s6_dataset_roundtrip", "s9_metrics_roundtrip", "s11_model_roundtrip",
-        "c4_tfidf_classifier", "c5_embedding_classifier", "c6_predict_clauses", "x3_train_all",
-        "x4_stream_contracts", "d4_split_rows", "d5_split_stratified", "s7_merge_store", "c9_risks"}
-
-
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session()
@@ -32,8 +28,6 @@ def main():
     print("| query | shuffles | broadcasts | SMJ | BHJ | windows | aggregates | generators | scans (columns read) |")
     print("|---|---|---|---|---|---|---|---|---|")
     for name, fn in queries().items():
-        if name in SKIP:
-            continue
         plan = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
         shuffles = len(re.findall(r"\bExchange (hashpartitioning|rangepartitioning|RoundRobin|SinglePartition)", plan))
         bcast = plan.count("BroadcastExchange")
@@ -45,7 +39,6 @@ def main():
         scans = re.findall(r"FileScan parquet \[([^\]]*)\][^\n]*?Location: [^\[\n]*\[[^\]\n]*/(\w+)\.parquet", plan)
         scan_txt = "; ".join(f"{t}({len(cols.split(','))})" for cols, t in scans)
         print(f"| {name} | {shuffles} | {bcast} | {smj} | {bhj} | {win} | {agg} | {gen} | {scan_txt} |")
-    print("\nSkipped (write files or run jobs while being built): " + ", ".join(sorted(SKIP)))
 
 
 if __name__ == "__main__":
