@@ -428,7 +428,7 @@ def q_e5(spark, sf):
     """E5 per header section (cue words sit early in a section)."""
     secs = G.header_sections(contracts(spark, sf))
     s = secs.select((F.col("doc_id") * 1000 + F.col("sec_no")).alias("doc_id"), "text")
-    return s.select("doc_id", F.inline(E.cue_entity_array(G.sentence_array(F.col("text"))))).select(
+    return s.select("doc_id", F.inline(E.cue_entity_array(sentence_array(F.col("text"))))).select(
         "doc_id", "ord", "text", "context")
 
 
