@@ -150,7 +150,7 @@ class WordTransducer:
         self.held += parts
         out: list[str] = []
         if len(self.held) <= self.ahead + 1:
-            return out
+            return out  # nothing can be stable yet
         # the last symbol may yet turn out to end the word
         known = self.held[:-1]
         at, stable = 0, len(known) - self.ahead
@@ -163,9 +163,11 @@ class WordTransducer:
         return out
 
     def finish(self) -> list[str]:
-        out = merge(self.held[:-1] + [self.held[-1] + WORD_END], self.ranks) if self.held else []
-        self.held = []
-        return out
+        held, self.held = self.held, []
+        if held:
+            held[-1] += WORD_END
+            held = merge(held, self.ranks)
+        return held
 
 
 class Encoder:
@@ -193,7 +195,11 @@ class Encoder:
         return struct.pack(f"<{len(tokens)}I", *map(self.v.ids.__getitem__, tokens))
 
     def word(self, word: str) -> bytes:
-        return b"".join(self.stream(word))
+        """All ids of a pre-token of one block."""
+        machine = self.machine
+        tokens = machine.feed(list(word if word.isascii() and word.isalnum() else map(self.v.chars.__getitem__, word.encode())))
+        tokens += machine.finish()
+        return struct.pack(f"<{len(tokens)}I", *map(self.v.ids.__getitem__, tokens))
 
     def normal(self, text: str) -> str:
         # lower-casing goes character by character, so no final sigma
@@ -221,10 +227,11 @@ class Encoder:
                     cache.clear()
                 long = False
                 for w in set(words):
-                    if len(w) > self.block:
-                        long = True
-                    elif w not in cache:
-                        cache[w] = self.word(w)
+                    if w not in cache:
+                        if len(w) > self.block:
+                            long = True
+                        else:
+                            cache[w] = self.word(w)
                 if not long:
                     yield b"".join(map(cache.__getitem__, words))
                     continue
