@@ -7,6 +7,10 @@ pattern once per task.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +32,7 @@ def section_type(text) -> Column:
         for label, conf, words in reversed(V.SECTION_TYPE_RULES):
             cond = None
             for w in words:
-                c = F.instr(low, w) > 0
+                c = F.contains(low, F.lit(w))
                 cond = c if cond is None else (cond | c)
             expr = F.when(cond, F.struct(F.lit(label).alias("type"),
                                          F.lit(conf).alias("confidence"))).otherwise(expr)
@@ -44,19 +48,29 @@ def _pattern_points(text: Column, pattern: str) -> Column:
     return F.when(m == 0, 0).when(m == 1, 3).when(m == 2, 5).otherwise(7)
 
 
+def _stem(pattern: str) -> str:
+    """The letters that each match of a clause pattern starts with."""
+    return re.match(r"[a-z-]+(?![a-z*?{+-])", pattern).group()
+
+
+def _category_points(text: Column, low: Column, ascii_: Column, patterns) -> Column:
+    """Points (tenths) of one category.  In an ASCII text a pattern is counted only
+    if its first letters occur, elsewhere (where other letters may fold to them) if
+    it matches."""
+    pts = None
+    for p in patterns:
+        hit = F.when(ascii_, F.contains(low, F.lit(_stem(p)))).otherwise(text.rlike(_C2_FLAGS + jre(p)))
+        x = F.when(hit, _pattern_points(text, p)).otherwise(F.lit(0))
+        pts = x if pts is None else pts + x
+    return pts
+
+
 def clause_scores(text) -> Column:
-    """Integer category points (tenths), in category order.  A category's
-    patterns are counted only when the union of its patterns matches."""
+    """Integer category points (tenths), in category order."""
+    def body(v):
+        return F.array(*[_category_points(v["text"], v["low"], v["ascii"], patterns) for _, patterns in V.CLAUSE_RULES])
     text = col_(text)
-    cols = []
-    for cat, patterns in V.CLAUSE_RULES:
-        pts = None
-        for p in patterns:
-            x = _pattern_points(text, p)
-            pts = x if pts is None else pts + x
-        any_p = _C2_FLAGS + "|".join(f"(?:{jre(p)})" for p in patterns)
-        cols.append(F.when(text.rlike(any_p), pts).otherwise(F.lit(0)))
-    return F.array(*cols)
+    return let_(F.struct(text.alias("text"), F.lower(text).alias("low"), (F.octet_length(text) == F.length(text)).alias("ascii")), body)
 
 
 def classify_clause(text) -> Column:
@@ -79,20 +93,25 @@ def classify_clause(text) -> Column:
         return F.struct(best["category"].alias("category"), conf.cast("double").alias("confidence"),
                         scores.alias("scores"))
     text = col_(text)
-    no_hit = F.array(*[F.lit(0) for _ in cats])
-    any_rule = _C2_FLAGS + "|".join(f"(?:{jre(p)})" for _, ps in V.CLAUSE_RULES for p in ps)
-    # One pass of the union of all patterns first: most clauses hit none,
-    # and then the 22 separate counts are skipped.
-    pts = F.when(F.coalesce(text.rlike(any_rule), F.lit(False)), clause_scores(text)).otherwise(no_hit)
-    return let_(pts, body)
+    return let_(clause_scores(text), body)
 
 
 def classify_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """C2 applied per line: (doc_id, line_no, line, category, confidence)."""
     lines = df.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    c = with_arrays(lines, _c=classify_clause(F.col("line")))  # evaluated once per line
-    return c.select(id_col, "line_no", "line", F.col("_c.category").alias("category"),
-                    F.col("_c.confidence").alias("confidence"))
+    # plain columns instead of one array: no higher-order function, so the rules
+    # run as generated code
+    d = with_arrays(lines, _low=F.lower("line"), _ascii=F.octet_length("line") == F.length("line"))
+    points = {}
+    for k, (cat, patterns) in enumerate(V.CLAUSE_RULES):
+        d = with_arrays(d, **{f"_p{k}": _category_points(F.col("line"), F.col("_low"), F.col("_ascii"), patterns)})
+        points[cat] = F.col(f"_p{k}")
+    d = with_arrays(d, _total=reduce(add, points.values()), _best=F.greatest(*points.values()))
+    category = F.lit(None).cast("string")
+    for cat, p in reversed(points.items()):  # the first category wins a tie
+        category = F.when(p == F.col("_best"), F.lit(cat)).otherwise(category)
+    share = F.when(F.col("_total") > 0, F.col("_best") / F.col("_total")).otherwise(F.lit(0.0))
+    return d.select(id_col, "line_no", "line", category.alias("category"), share.alias("confidence"))
 
 
 # --- C3 ----------------------------------------------------------------------
@@ -104,7 +123,7 @@ def document_type(text) -> Column:
         for i, (name, words) in enumerate(V.DOC_TYPE_KEYWORDS):
             score = None
             for w in words:
-                x = F.when(F.instr(low, w) > 0, 1).otherwise(0)
+                x = F.when(F.contains(low, F.lit(w)), 1).otherwise(0)
                 score = x if score is None else score + x
             entries.append(F.struct(score.alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("t")))
         return F.array_max(F.array(*entries))["t"]

@@ -154,3 +154,29 @@ def test_key_points_and_summaries(spark):
     got = [r[0] for r in s.select(M.summaries_array(F.col("s"))).collect()]
     assert got[0] == ["One. Two. Three.", "One  Two"]
     assert got[1] == ["...", "..."]
+
+
+def test_clause_lines_in_generated_code(spark):
+    """C2's scores need no higher-order function, and odd letters fold as before."""
+    import re
+
+    from clauselake import vocab as V
+    from clauselake.operators.classify import classify_clause, classify_lines
+
+    texts = ["", "x", "The seller SHALL ship and shall pay", "ſhall pay", "She may not pay; he cannot pay; they cannot go",
+             "Secret data and damages paid", "Keep means all", "shall pay", "non-disclosure of it", "terminat", "WARRANTIES end of it"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    lines = classify_lines(df)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan.lower() and "transform(" not in plan
+    one = {r.doc_id: r.c for r in df.select("doc_id", classify_clause("text").alias("c")).collect()}
+    for r in lines.collect():
+        points = []
+        for _, patterns in V.CLAUSE_RULES:
+            found = [len(re.findall(p.replace(r"\s", r"[ \t\n\r\f\x0b]"), r.line, re.I)) for p in patterns]
+            points.append(sum(0 if n == 0 else min(1 + 2 * n, 7) for n in found))
+        names = [c for c, _ in V.CLAUSE_RULES]
+        best = max(range(len(points)), key=lambda i: (points[i], -i))
+        total = sum(points)
+        assert (r.category, r.confidence) == (names[best], points[best] / total if total else 0.0), r.line
+        assert (one[r.doc_id].category, one[r.doc_id].confidence) == (r.category, r.confidence)
