@@ -53,8 +53,13 @@ def _past(p: str, i: int, close: str) -> int:
 
 
 def required_literals(pattern: str) -> list[str]:
-    """Lower-cased strings that every match of ``pattern`` holds; none where that
-    is not certain."""
+    """Lower-cased strings of ``LEAST`` characters or more that every match of
+    ``pattern`` holds; none where that is not certain."""
+    return [r for r in _runs(pattern) if len(r) >= LEAST]
+
+
+def _runs(pattern: str) -> list[str]:
+    """Such strings of any length."""
     runs, run, i = [], "", 0
 
     def end():
@@ -113,12 +118,12 @@ def required_literals(pattern: str) -> list[str]:
         elif atom is not None:
             run += atom
     end()
-    return [r.lower() for r in runs if len(r) >= LEAST]
+    return [r.lower() for r in runs]
 
 
 def _with_literals(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for t in tables:
-        yield t.assign(literals=[required_literals(p) for p in t["pattern"]])
+        yield t.assign(literals=[required_literals(p) for p in t["pattern"]], runs=[sorted(set(_runs(p))) for p in t["pattern"]])
 
 
 def rule_hits(sections: DataFrame, rules: DataFrame, id_cols: tuple[str, ...] = ("doc_id", "sec_no"), text: str = "text",
@@ -129,12 +134,14 @@ def rule_hits(sections: DataFrame, rules: DataFrame, id_cols: tuple[str, ...] =
     spark = sections.sparkSession
     ship_package(spark)
     path = f"{work_dir(spark, 'rules')}/rules"
-    schema = ", ".join(f"{c} string" for c in RULE) + ", literals array<string>"
+    schema = ", ".join(f"{c} string" for c in RULE) + ", literals array<string>, runs array<string>"
     rules.select(*RULE).filter(F.col("pattern").isNotNull()).distinct().mapInPandas(_with_literals, schema).write.parquet(path)
     table = spark.read.parquet(path)
     rows = sections.select(*id_cols, F.col(f"`{text}`").alias("_section"))
-    indexed = table.filter(F.size("literals") > 0).select(*RULE, F.explode("literals").alias("_literal"))
+    indexed = table.filter(F.size("literals") > 0).select(*RULE, "runs", F.explode("literals").alias("_literal"))
     hits = occurrences(rows, indexed, id_cols, "_section", "_literal", per=RULE, broadcast_bytes=broadcast_bytes)
+    # a pattern of a table is compiled for each candidate: those without all its literals are left out first
+    hits = hits.filter(F.forall("runs", lambda x: F.contains(F.lower("_section"), x)))
     hits = hits.filter(F.rlike(F.col("_section"), F.col("pattern"))).select(*id_cols, *RULE)
     plain = table.filter(F.size("literals") == 0).select(*RULE).collect()  # literals of the plan below
     if not plain:

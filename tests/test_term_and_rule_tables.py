@@ -95,3 +95,43 @@ def test_no_rules(spark):
     sections = spark.createDataFrame([(1, 0, "text")], "doc_id long, sec_no int, text string")
     empty = spark.createDataFrame([], "type string, description string, severity string, pattern string")
     assert [tuple(r) for r in RT.table_risks(sections.select("doc_id"), sections, empty).collect()] == [(1, [])]
+
+
+def test_grams_of_bytes_equal_slices():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(4)
+    texts = ["", None, "a", "abc", "ß😀z", *["".join(r.choices("abß😀 ", k=r.randrange(40))) for _ in range(50)]]
+    hashes = {n: dict() for n in GI.SIZES}
+    for n in GI.SIZES:
+        rows, places, found = GI._batch_grams(pa.array(texts), [n], None, None)
+        want = [(i, k, t.encode()[k : k + n]) for i, t in enumerate(texts) if t for k in range(len(t.encode()) - n + 1)]
+        assert list(zip(rows.tolist(), places.tolist())) == [w[:2] for w in want]
+        for g, w in zip(found.tolist(), want):
+            assert hashes[n].setdefault(w[2], g) == g
+        assert len(set(hashes[n].values())) == len(hashes[n])
+    some = np.sort(np.array(list(hashes[3].values())[:5] + list(hashes[8].values())[:5], np.int64))
+    got = GI._batch_grams(pa.array(texts).slice(3), [3, 8], some, GI._bitmap(some))
+    every = GI._batch_grams(pa.array(texts).slice(3), [3, 8], None, None)
+    assert sorted(zip(*map(np.ndarray.tolist, got))) == sorted(x for x in zip(*map(np.ndarray.tolist, every)) if x[2] in set(some.tolist()))
+
+
+def test_long_literals_meet_few_texts_without_them(spark, tmp_path):
+    """Pairs of words that share five characters around the space, but no more."""
+    from clauselake.session import ship_package
+
+    ship_package(spark)
+    pairs = [f"{a}{i}ing {j}{b}" for i, a in enumerate(("mo", "sa", "pa", "ro", "li", "wa")) for j, b in enumerate(("one", "two", "six", "ten"))]
+    terms = [f"x{p}" for p in pairs] + [f"lease of {w} rent" for w in ("a1", "b2", "c3", "d4")]
+    texts = spark.createDataFrame([(i, f"{t} and more") for i, t in enumerate(terms)], "doc_id long, text string")
+    lits = spark.createDataFrame([(t,) for t in terms], "literal string")
+    found, sizes = GI._byte_index(lits, texts, str(tmp_path), "literal", "text", None, GI.BROADCAST_BYTES)
+    held = GI._byte_grams(texts, "text", sizes, None, ["doc_id"]).select("doc_id", F.explode("_grams").alias("_gram"))
+    assert max(sizes) == 12 and held.join(found, "_gram").count() <= 2 * len(terms)
+    assert {(r.doc_id, r.literal) for r in GI.occurrences(texts, lits).collect()} == {(i, x) for i, t in enumerate(terms) for x in terms if x in t}
+
+
+def test_candidates_hold_all_literals_of_a_pattern():
+    assert RT._runs(r"(?i)house: customer#0*7\s+corp") == ["house: customer#", "7", "corp"]
+    assert RT.required_literals(r"(?i)house: customer#0*7\s+corp") == ["house: customer#", "corp"] and RT._runs("a|b") == []
