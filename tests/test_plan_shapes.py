@@ -102,3 +102,20 @@ def test_contexts_from_pieces_equal_those_from_the_text(spark):
     got = df.select("t", "a", "z", cut(pieces_of("t"), F.col("a"), F.col("z")).alias("cut"), cut_context(pieces_of("t"), F.col("a"), F.col("z")).alias("near"),
                     span_context("t", "a", "z").alias("want")).collect()
     assert all(x.cut == x.t[x.a : x.z] and x.near == x.want for x in got)
+
+
+def test_spans_by_one_scan_equal_those_by_two(spark):
+    """Texts without the mark are scanned once; one with it gives the same spans."""
+    import re
+
+    r = random.Random(11)
+    texts = [None, "", "Party A", "no match here", "Party B.", "\U0001f600 Party A\u0002 Party B \u0002", "$5 $6", "\\$7 $0 $1", "\n\nParty Z\n"]
+    texts += ["".join(r.choice(["Party A", "Party", " ", "é", "\U0001f600", "\n", "$12", "x", "\u0001"]) for _ in range(r.choice([3, 30, 900]))) for _ in range(40)]
+    texts += [t + "\u0002" for t in texts[9:20]]
+    pattern = r"\bParty [A-Z]\b|\$[0-9]+"
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    one = df.filter("i <> 5 AND i < 49").select(E.regex_spans("t", pattern).alias("s"))
+    assert "regexp_replace" in plan(one)
+    for x in df.select("i", "t", E.regex_spans("t", pattern).alias("s")).collect():
+        want = None if x.t is None else [(m.group(), m.start(), m.end()) for m in re.finditer(pattern, x.t, re.A if "é" not in x.t else 0)]
+        assert (None if x.s is None else [tuple(s) for s in x.s]) == want
