@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clauselake.operators import ml
 from clauselake.operators import prep as D
+from clauselake.plans import train as T
 
 
 def plan(df):
@@ -41,3 +42,16 @@ def test_vocabulary_ties_go_by_code_point(spark):
     df = spark.createDataFrame([(["b", "a", "b", "d", "c"],), ([],), (["a"],)], "_terms array<string>")
     counter = ml.featurizer().getStages()[4].copy().setVocabSize(3)
     assert ml.counted_terms(df, counter).vocabulary == ["a", "b", "c"]
+
+
+def test_metrics_are_staged(spark, tmp_path, monkeypatch):
+    took = []
+    monkeypatch.setattr(T, "staged", lambda df, name: took.append(name) or df)
+    base = spark.createDataFrame([(i, f"Signed by Oak{i} Corp on 1/2/2020 for {'rent' if i % 2 else 'sale'}.", i % 2) for i in range(20)], "doc_id long, text string, k int")
+    notes = "array<struct<entity:string,start:int,end:int,label:string,clause_type:string,summary:string>>"
+    annotated = base.select("doc_id", "text", F.array(F.struct(
+        F.lit("Signed").alias("entity"), F.lit(0).alias("start"), F.lit(6).alias("end"), F.lit("PARTY").alias("label"),
+        F.when(F.col("k") == 0, "SALE").otherwise("RENT").alias("clause_type"), F.lit("Signed.").alias("summary"))).cast(notes).alias("annotations"))
+    T.prepare_all(annotated, str(tmp_path))
+    out = T.train_all(spark, str(tmp_path), max_iter=5)
+    assert took == ["metrics"] * 4 and set(out) == {"classifier", "ner", "tagger", "summarization"}
