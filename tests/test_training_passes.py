@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from clauselake.operators import boundary as B
 from clauselake.operators import ml
 from clauselake.operators import prep as D
 from clauselake.plans import train as T
@@ -55,3 +56,12 @@ def test_metrics_are_staged(spark, tmp_path, monkeypatch):
     T.prepare_all(annotated, str(tmp_path))
     out = T.train_all(spark, str(tmp_path), max_iter=5)
     assert took == ["metrics"] * 4 and set(out) == {"classifier", "ner", "tagger", "summarization"}
+
+
+def test_type_counts_read_neighbours_as_rows(spark):
+    d = spark.createDataFrame([("No. 7 came. The cat! the cat. Go",), (None,), ("",), ("One.",)], "text string")
+    counts = B.type_counts(d)
+    assert "lambda" not in plan(counts)
+    got = {(r.type, r.next): tuple(r)[2:] for r in counts.collect()}
+    assert got == {("no", "#"): (1, 0, 0, 0, 0), ("#", None): (0, 1, 0, 0, 0), ("came", None): (1, 0, 1, 0, 0), ("the", None): (0, 2, 1, 0, 1),
+                   ("cat", None): (1, 1, 2, 0, 0), ("go", None): (0, 1, 0, 0, 1), ("one", None): (1, 0, 0, 0, 0)}
