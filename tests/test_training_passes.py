@@ -4,9 +4,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from clauselake.functions.text import is_section_header, more_words_than
 from clauselake.operators import boundary as B
 from clauselake.operators import ml
 from clauselake.operators import prep as D
+from clauselake.operators import summary as M
 from clauselake.plans import train as T
 
 
@@ -65,3 +67,23 @@ def test_type_counts_read_neighbours_as_rows(spark):
     got = {(r.type, r.next): tuple(r)[2:] for r in counts.collect()}
     assert got == {("no", "#"): (1, 0, 0, 0, 0), ("#", None): (0, 1, 0, 0, 0), ("came", None): (1, 0, 1, 0, 0), ("the", None): (0, 2, 1, 0, 1),
                    ("cat", None): (1, 1, 2, 0, 0), ("go", None): (0, 1, 0, 0, 1), ("one", None): (1, 0, 0, 0, 0)}
+
+
+def test_terms_are_asked_once_for_a_text(spark):
+    texts = ["The KEY part of this is here. Nothing else of it was seen. Then the deadline and the goal came.", None, "", "No sentence",
+             "A key \u0001 part of the sentence here. Next step of it is there."]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for out in (M.summarize(d), M.summarize_legal(d)):
+        p = out._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "_joined" in p and out.count() == len(texts)
+    # a separator inside a given sentence does not shift the others
+    given = d.limit(1).withColumn("s", F.array(F.lit("One two \u0001 three four."), F.lit("The main goal is the key result."), F.lit("Five six seven eight.")))
+    assert M.with_summary(given, sents_col="s").count() == 1
+    kept = M._with_terms(given, F.col("s"), F.array(F.lit("goal"), F.lit("zzz")), lambda t: t).first()
+    assert kept._terms == ["goal"] and kept._low[1] == "the main goal is the key result." and len(kept._low) == 3
+
+
+def test_word_bounds_and_headers(spark):
+    s = spark.createDataFrame([(" a  b c",), ("a b",), ("",), (None,), ("Payment Terms:",), ("Payment Terms",), ("1. Payment",), ("A" + " b" * 30000,)], "s string")
+    got = s.select(more_words_than("s", 2), is_section_header("s")).collect()
+    assert [tuple(r) for r in got] == [(True, False), (False, False), (False, False), (None, None), (False, True), (False, False), (False, True), (True, False)]
