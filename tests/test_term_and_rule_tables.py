@@ -135,3 +135,53 @@ def test_long_literals_meet_few_texts_without_them(spark, tmp_path):
 def test_candidates_hold_all_literals_of_a_pattern():
     assert RT._runs(r"(?i)house: customer#0*7\s+corp") == ["house: customer#", "7", "corp"]
     assert RT.required_literals(r"(?i)house: customer#0*7\s+corp") == ["house: customer#", "corp"] and RT._runs("a|b") == []
+
+
+def test_memory_follows_the_chunk(monkeypatch):
+    """A whole batch's grams of all sizes were held at once before."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(GI, "CHUNK", 64)
+    r = random.Random(6)
+    texts = [None, "", *["".join(r.choices("abcß ", k=r.choice((3, 20, 63, 64, 65, 400)))) for _ in range(80)]]
+    sizes = [1, 3, 12]
+    held = [sum(len(p[0]) for p in parts) for _, _, parts in GI._groups(pa.array(texts[2:40] * 1), sizes, None)]
+    assert len(held) > 20
+    pairs = [(i, g) for rows, found in GI._distinct_groups(pa.array(texts), sizes, None) for i, g in zip(rows.tolist(), found.tolist())]
+    assert len(pairs) == len(set(pairs)) == sum(len({t.encode()[k : k + n] for k in range(len(t.encode()) - n + 1)}) for t in texts if t for n in sizes)
+    some = np.sort(np.array([g for _, g in pairs[:50]], np.int64))
+    got = {x for rows, found in GI._distinct_groups(pa.array(texts), sizes, GI._Known(some, GI._bitmap(some))) for x in zip(rows.tolist(), found.tolist())}
+    assert got == {x for x in pairs if x[1] in set(some.tolist())}
+
+
+def test_the_bitmap_lets_the_set_pass_and_little_else(spark):
+    import numpy as np
+
+    grams = [0, -1, 1 << 62, -(1 << 63), 12345, *(random.Random(7).getrandbits(64) - (1 << 63) for _ in range(2000))]
+    known = GI._known(GI._filter(spark.createDataFrame([(g,) for g in grams], "_gram long")))
+    assert len(known.places(np.array(grams, np.int64))) == len(grams)
+    others = np.random.default_rng(8).integers(-(1 << 63), 1 << 63, 100_000, np.int64)
+    assert len(known.places(others)) < 50
+
+
+def test_hashed_pieces_are_freed_at_once():
+    """Each piece's arrays stayed in a reference cycle before."""
+    import gc
+    import tracemalloc
+
+    import numpy as np
+
+    data = np.zeros(1 << 16, np.uint8)
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for _ in range(20):
+            for _n, _h in GI._hashes(data, list(GI.SIZES)):
+                pass
+            del _h
+        assert tracemalloc.get_traced_memory()[0] < 1 << 20
+    finally:
+        tracemalloc.stop()
+        gc.enable()
