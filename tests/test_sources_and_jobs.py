@@ -224,3 +224,29 @@ def test_property_counts(spark):
     got = sorted((r.doc_id, r.title, r.section_count, r.table_count) for r in S.doc_properties(props, sections, tables).collect())
     assert got == [(1, "", 2, 0), (2, "t", 0, 1)]
     assert S.doc_properties(props).columns == props.columns
+
+
+def test_keys_of_a_stream_are_joined_without_python(spark):
+    """A Python call for each key of the keyed state before."""
+    from clauselake.streaming import intake as I
+
+    for j in range(70):  # the folders below j have each batch once, and are few
+        held = [n for top in I._below(j) for n in range(top + 1 - ((top + 1) & -(top + 1)), top + 1)]
+        assert sorted(held) == list(range(j)) and len(I._below(j)) <= 7
+    path = work_dir(spark, "seen-keys")
+    schema = "doc_id long, filename string, text string, file_size long, modified_at timestamp, submitted_at timestamp"
+    day = "2024-05-10 00:00:00.123456"
+
+    def batch(rows):
+        d = spark.createDataFrame(rows, "doc_id long, filename string, text string, submitted_at string")
+        return d.withColumns({"file_size": F.lit(5), "modified_at": F.lit(None).cast("timestamp")}).select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in schema.split(", ")])
+
+    def taken(rows, n):
+        got = I.first_copies(batch(rows), path, n)
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+        return sorted(((r.doc_id, r.filename, r.text, str(r.submitted_at)) for r in got.collect()), key=str)
+
+    for n in range(6):
+        rows = [(n, f"f{k}.pdf", f"{x} {n}", day) for k in range(n, -1, -1) for x in "zab"] + [(n, None, "no name", day)]
+        for _ in range(2):  # a re-run batch takes the same
+            assert taken(rows, n) == sorted([(n, f"f{n}.pdf", f"a {n}", day), (n, None, "no name", day)], key=str)
