@@ -91,7 +91,8 @@ class Network:
 
     def log_shares(self, codes: np.ndarray) -> np.ndarray:
         """Log-probability of each language for each window."""
-        z = self._pooled(codes) @ self.out + self.base
+        # not a matrix product: that rounds by the number of windows, and equal texts have equal scores
+        z = (self._pooled(codes)[:, :, None] * self.out).sum(1) + self.base
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
